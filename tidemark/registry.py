@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import technical
+from tidemark.plans import technical, text
 
-PLANS = (technical,)
+PLANS = (technical, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
