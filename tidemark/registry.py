@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import technical, text
+from tidemark.plans import records, technical, text
 
-PLANS = (technical, text)
+PLANS = (technical, text, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
