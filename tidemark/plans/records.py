@@ -70,7 +70,7 @@ WATCH = "watch AS (SELECT o_custkey AS user_id, 'T' || (o_orderkey % 37) AS tick
 def consensus(s, d):
     g = orders(s, d).groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean"), F.var_pop("o_totalprice").alias("variance"), F.stddev_pop("o_totalprice").alias("sd"))
     penalty = F.least(F.lit(1.0), F.col("sd") / 25)
-    return g.select("o_custkey", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), F.round(F.greatest(F.lit(0.0), F.col("mean") - penalty * 20), 4).alias("score"))
+    return g.select("o_custkey", round_half_up(F.col("mean"), 4).alias("mean"), round_half_up(F.col("sd"), 4).alias("sd"), round_half_up(F.greatest(F.lit(0.0), F.col("mean") - penalty * 20), 4).alias("score"))
 
 
 QUERIES = {
@@ -116,7 +116,7 @@ QUERIES = {
     "date14_15_periods": (lambda s, d: orders(s, d).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("period"), (F.year("o_orderdate") * 12 + F.month("o_orderdate") - (1995 * 12 + 1)).alias("months"), F.date_add(F.to_date("o_orderdate"), F.ceil(F.col("o_orderkey") % 60 * 1.45).cast("int")).alias("due")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS period, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 23941 AS INTEGER) AS months, CAST(o_orderdate AS DATE) + CAST(ceil(o_orderkey % 60 * 1.45) AS INTEGER) AS due FROM orders"),
     "date16_relative": (lambda s, d: table(s, d, "part").select("p_partkey", D.relative_date(F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, (" day ago", " days ago", " weeks ago", " months ago", " years ago", " moons ago"))), (F.col("p_partkey") % 6 + 1).cast("int"))), F.lit("2026-01-15").cast("date")).alias("day")), "SELECT p_partkey, CASE WHEN p_partkey % 6 < 5 THEN DATE '2026-01-15' - CAST(p_size * CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 7 WHEN 3 THEN 30 ELSE 365 END AS INTEGER) END AS day FROM part"),
     "math01_round_half_up": (lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", round_half_up(F.col("l_discount") * F.col("l_tax") * 100 + 1.005).alias("x")), "SELECT l_orderkey, l_linenumber, l_partkey, floor((l_discount * l_tax * 100 + 1.005::DOUBLE) * 100 + 0.5) / 100 AS x FROM lineitem"),
-    "math09_change": (lambda s, d: table(s, d, "customer").select("c_custkey", F.round(percent_change(F.col("c_acctbal"), F.col("c_nationkey").cast("double")), 6).alias("change")), "SELECT c_custkey, round(CASE WHEN c_nationkey <> 0 THEN (c_acctbal - c_nationkey) / c_nationkey * 100 END, 6) AS change FROM customer"),
+    "math09_change": (lambda s, d: table(s, d, "customer").select("c_custkey", round_half_up(percent_change(F.col("c_acctbal"), F.col("c_nationkey").cast("double")), 6).alias("change")), "SELECT c_custkey, round(CASE WHEN c_nationkey <> 0 THEN (c_acctbal - c_nationkey) / c_nationkey * 100 END, 6) AS change FROM customer"),
     "strm07_dedupe_events": (lambda s, d: E.latest_per(table(s, d, "events"), "user_id", F.col("ts"), F.col("event_id")).select("user_id", "event_id"), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"),
     "strm08_interval_join": (lambda s, d: table(s, d, "events").filter("event_type = 'view'").select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("t")).join(table(s, d, "events").filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("u")), "user_id").filter("u BETWEEN t AND t + INTERVAL 1 HOUR").select("user_id", "a", "b"), "SELECT x.user_id, x.event_id AS a, y.event_id AS b FROM events x JOIN events y ON x.user_id = y.user_id AND x.event_type = 'view' AND y.event_type = 'purchase' AND y.ts BETWEEN x.ts AND x.ts + INTERVAL 1 HOUR"),
 }

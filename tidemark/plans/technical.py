@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.math import round_half_up
 from tidemark.operators import performance as P
 from tidemark.operators import technical as T
 from tidemark.plans.views import BARS, bars
@@ -14,7 +15,7 @@ CRITERIA = {"price_min": 900, "price_max": 2000, "avg_volume_min": 20, "rsi_min"
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded: sums of doubles depend on the engine's order in the last bits."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[round_half_up(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def over(fn, *columns: str, last: bool = False):

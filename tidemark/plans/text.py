@@ -116,7 +116,7 @@ SELECT phrase, words, count(*) AS n FROM g WHERE NOT list_contains({STOP}, strin
     "fil13_host_tier": (lambda s, d: L.host_tier(table(s, d, "pages").select("page_id", "url"), HOSTS), "WITH p AS (SELECT page_id, regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*://)?([^/?#]*)', 1), '^www\\.', '') AS host FROM pages), l AS (SELECT * FROM (VALUES " + ", ".join(f"('{h}', {t}, {i})" for i, (h, t) in enumerate(HOSTS)) + ") v(d, t, i)) SELECT page_id, host, CAST(coalesce((SELECT arg_min(t, i) FROM l WHERE host = d OR ends_with(host, '.' || d)), 2) AS INTEGER) AS tier FROM p"),
     "fil12_topk01_symbol_lookup": (lambda s, d: L.search_symbols(symbols(s, d), "p1", 10), f"WITH {SYMBOLS} SELECT symbol, name, exchange, CAST(CASE WHEN lower(symbol) = 'p1' THEN 100 WHEN starts_with(lower(symbol), 'p1') THEN 90 WHEN starts_with(n, 'p1') THEN 80 WHEN contains(n, ' p1') THEN 70 ELSE 60 END AS INTEGER) AS rank FROM (SELECT *, regexp_replace(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), '^the ', '') AS n FROM symbols) WHERE tradable AND (starts_with(lower(symbol), 'p1') OR contains(n, 'p1')) ORDER BY rank DESC, CASE WHEN exchange IN ('NASDAQ', 'NYSE') THEN 0 ELSE 1 END, length(symbol), symbol LIMIT 10"),
     "fil24_ticker_shape": (lambda s, d: symbols(s, d).select("symbol", F.col("symbol").rlike(r"^[A-Za-z]{1,5}(\.[A-Za-z]{1,2})?$").alias("ok")), f"WITH {SYMBOLS} SELECT symbol, regexp_full_match(symbol, '[A-Za-z]{{1,5}}(\\.[A-Za-z]{{1,2}})?') AS ok FROM symbols"),
-    "fil03_spread": (lambda s, d: table(s, d, "part").select("p_partkey", F.round(spread_percent(F.col("p_retailprice") - F.col("p_size") % 5, F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice") + 1).otherwise(0.0)), 6).alias("spread")), "SELECT p_partkey, round(CASE WHEN b > 0 AND a > 0 THEN (a - b) / ((a + b) / 2) * 100 END, 6) AS spread FROM (SELECT p_partkey, p_retailprice - p_size % 5 AS b, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice + 1 ELSE 0 END AS a FROM part)"),
+    "fil03_spread": (lambda s, d: table(s, d, "part").select("p_partkey", round_half_up(spread_percent(F.col("p_retailprice") - F.col("p_size") % 5, F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice") + 1).otherwise(0.0)), 6).alias("spread")), "SELECT p_partkey, round(CASE WHEN b > 0 AND a > 0 THEN (a - b) / ((a + b) / 2) * 100 END, 6) AS spread FROM (SELECT p_partkey, p_retailprice - p_size % 5 AS b, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice + 1 ELSE 0 END AS a FROM part)"),
     "fil28_banned_phrases": (lambda s, d: L.banned(table(s, d, "documents"), ["guaranteed", "the and", "license"]), "SELECT doc_id, array_to_string(list_filter(['guaranteed', 'the and', 'license'], lambda p: contains(lower(text), p)), ',') AS banned FROM documents WHERE contains(lower(text), 'guaranteed') OR contains(lower(text), 'the and') OR contains(lower(text), 'license')"),
     "math06_tier_weight": (lambda s, d: docs(s, d).select("id", tier_weight(F.col("tier")).alias("weight")), f"WITH {DOCS} SELECT id, {S_TIER} AS weight FROM docs"),
     "math07_lag_weight": (lambda s, d: docs(s, d).select("id", lag_weight((F.col("id") % 400 - 100).cast("int")).alias("weight")), f"SELECT doc_id AS id, {S_LAG} AS weight FROM (SELECT doc_id, CAST(doc_id % 400 - 100 AS INTEGER) AS lag_days FROM documents)"),
@@ -124,5 +124,5 @@ SELECT phrase, words, count(*) AS n FROM g WHERE NOT list_contains({STOP}, strin
     "join20_signals_and_news": (lambda s, d: signals(s, d).groupBy(F.col("id").alias("sid")).agg(F.count("*").alias("n")).join(docs(s, d).filter("tier = 1").select("id"), F.col("sid") == F.col("id"), "full_outer").select(F.coalesce("sid", "id").alias("id"), F.coalesce("n", F.lit(0)).alias("n")), f"WITH {SIGNALS}, {DOCS}, g AS (SELECT id AS sid, count(*) AS n FROM signals GROUP BY id) SELECT coalesce(sid, id) AS id, coalesce(n, 0) AS n FROM g FULL OUTER JOIN (SELECT id FROM docs WHERE tier = 1) ON sid = id"),
     "set01_known_tickers": (lambda s, d: docs(s, d).select("ticker").union(symbols(s, d).select("symbol")).distinct(), f"WITH {DOCS}, {SYMBOLS} SELECT ticker FROM docs UNION SELECT symbol FROM symbols"),
     "set03_distinct": (lambda s, d: docs(s, d).select("ticker", "host").distinct(), f"WITH {DOCS} SELECT DISTINCT ticker, host FROM docs"),
-    "set06_containment": (lambda s, d: table(s, d, "documents").select("doc_id", F.round(T.overlap(F.array(*map(F.lit, ("the", "and", "which", "zzz"))), F.col("text")), 6).alias("ratio")), "SELECT doc_id, len(list_filter(['the', 'and', 'which', 'zzz'], lambda t: contains(lower(text), t))) / 4 AS ratio FROM documents"),
+    "set06_containment": (lambda s, d: table(s, d, "documents").select("doc_id", round_half_up(T.overlap(F.array(*map(F.lit, ("the", "and", "which", "zzz"))), F.col("text")), 6).alias("ratio")), "SELECT doc_id, len(list_filter(['the', 'and', 'which', 'zzz'], lambda t: contains(lower(text), t))) / 4 AS ratio FROM documents"),
 }

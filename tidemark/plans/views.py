@@ -90,3 +90,19 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SYMBOLS = "symbols AS (SELECT 'P' || p_partkey AS symbol, p_name AS name, ['NASDAQ', 'NYSE', 'OTC'][CAST(p_partkey % 3 + 1 AS INTEGER)] AS exchange, p_partkey % 11 <> 0 AS tradable FROM part)"
+
+
+def half_up(sql: str) -> str:
+    """SQL with round(x, d) spelt as floor(x * 10^d + 0.5) / 10^d, so that both engines round the same way."""
+    at = sql.find("round(")
+    while at >= 0:
+        depth, end = 0, at + 5
+        for end in range(at + 5, len(sql)):
+            depth += (sql[end] == "(") - (sql[end] == ")")
+            if not depth:
+                break
+        inner, _, digits = sql[at + 6 : end].rpartition(",")
+        scale = 10 ** int(digits)
+        sql = f"{sql[:at]}(floor(({inner}) * {scale} + 0.5) / {scale}){sql[end + 1 :]}"
+        at = sql.find("round(")
+    return sql

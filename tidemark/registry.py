@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import records, technical, text
+from tidemark.plans import feeds, records, technical, text
+from tidemark.plans.views import half_up
 
-PLANS = (technical, text, records)
+PLANS = (technical, text, records, feeds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q[1] for plan in PLANS for name, q in plan.QUERIES.items() if q[1]}
+    return {name: half_up(q[1]) for plan in PLANS for name, q in plan.QUERIES.items() if q[1]}
