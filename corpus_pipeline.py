@@ -27,14 +27,14 @@ def _labels(spark: SparkSession, sf_dir: str, column: str, folds: int, held_out:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a toxicity under 0.7."""
-    model = toxicity.train(docs.select("doc_id", "text").join(_labels(spark, sf_dir, "toxic", 3, 1), "doc_id"))
+    model = toxicity.train(docs, _labels(spark, sf_dir, "toxic", 3, 1))
     scored = toxicity.score(docs.select(*COLUMNS, F.col("text").alias("_read")), model, "_read", threshold=0.7)
     return scored.filter("predicted = 0").select(COLUMNS)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a quality of 0.3 or more."""
-    model = quality.train(docs.select("doc_id", "text").join(_labels(spark, sf_dir, "quality", 5, 0), "doc_id"))
+    model = quality.train(docs, _labels(spark, sf_dir, "quality", 5, 0))
     scored = quality.score(docs.select(*COLUMNS, F.col("text").alias("_read")), model, "_read", threshold=0.3)
     return scored.filter("predicted = 1").select(COLUMNS)
 

@@ -48,3 +48,12 @@ def lowest(df: DataFrame, order: Column, n: int, by: Column | None = None) -> Da
     key = F.lit(0) if by is None else by
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
+
+
+def labelled(docs: DataFrame, known: DataFrame, n: int, doc_id: str = "doc_id") -> DataFrame:
+    """docs with `label`, for at most n ids of each label in known (doc_id, label): those of the lowest hash of the id.
+
+    The ids are chosen before any text is read and then broadcast: n a label, whatever the size of docs.
+    """
+    ids = lowest(known.select("doc_id", "label").filter("doc_id IS NOT NULL AND label IS NOT NULL"), F.xxhash64("doc_id"), n, F.col("label"))
+    return docs.join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), "label")), F.col(doc_id) == F.col("_id")).drop("_id")

@@ -13,10 +13,10 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lowest, slices
+from tidemark.llm.common import labelled, slices
 
 SLOTS = 1 << 16
 #: Training rows of a language: those of the lowest hash of the id.
@@ -46,10 +46,9 @@ def trigrams(text: str | None) -> np.ndarray:
     return (h >> np.uint64(48)).astype(np.int64)[c[1:-1] != 32]
 
 
-def train(rows: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None) -> tuple[list[str], np.ndarray]:
-    """The languages and their distributions (slots x languages), from SAMPLE rows of each language at most."""
-    rows = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sample = lowest(rows, F.xxhash64(text) if order is None else order, SAMPLE, F.col(lang)).select(lang, text)
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+    """The languages and their distributions (slots x languages), from SAMPLE rows of each language in docs (doc_id, text, lang) at most."""
+    sample = labelled(docs.select("doc_id", F.col(text).alias("text")), docs.select("doc_id", F.col(lang).alias("label")), SAMPLE).filter("text IS NOT NULL").select("label", "text")
 
     def work(batches):
         total: dict[str, np.ndarray] = {}

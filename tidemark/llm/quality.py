@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lowest, slices
+from tidemark.llm.common import labelled, slices
 
 WORDS, TAILS, STATS = 1 << 15, 1 << 10, 1 << 10
 SIZE = WORDS + TAILS + STATS
 RANK = 8
-#: Labelled rows of each class that training reads at most: those of the lowest hash of the text.
+#: Labelled rows of each class that training reads at most: those of the lowest hash of the id.
 SAMPLE = 6000
 EPOCHS = 5
 KEPT = 300_000
@@ -100,10 +100,10 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarr
     return w0, w, v
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "label") -> tuple[float, np.ndarray, np.ndarray]:
-    """A machine from labelled rows: SAMPLE of each class at most, fitted by one task; no labelled row gives even scores."""
-    rows = rows.filter(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = lowest(rows.dropDuplicates(["text"]), F.xxhash64("text"), SAMPLE, F.col("label"))
+def train(docs: DataFrame, known: DataFrame, text: str = "text") -> tuple[float, np.ndarray, np.ndarray]:
+    """A machine from docs (doc_id, text) and labels known (doc_id, label): SAMPLE of each class at most, fitted by one task; no labelled row gives even scores."""
+    rows = labelled(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")), known.filter(F.col("label").isin(0, 1)), SAMPLE)
+    sample = rows.select(F.col("label").cast("int").alias("label"), "text").dropDuplicates(["text"])
 
     def work(batches):
         slots, found = Slots(), []

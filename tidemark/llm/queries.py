@@ -42,7 +42,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.filter(fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("quality").alias("label"))
-    model = quality.train(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = quality.train(docs, known)
     found = quality.score(docs.select("doc_id", "text"), model, threshold=0.3)
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
@@ -60,7 +60,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.filter(fold(F.col("doc_id"), 3) != 1).select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.train(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = toxicity.train(docs, known)
     found = toxicity.score(docs.select("doc_id", "text"), model, threshold=0.7)
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "clauses")
 

@@ -103,7 +103,7 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", limit: in
     lengths besides the table.
     """
     keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
-    words = [r["pretoken"] for r in frequent_pretokens(docs, model_file, text, table_size).collect()]  # at most table_size
+    words = [r["pretoken"] for r in frequent_pretokens(docs, model_file, text, table_size).coalesce(1).collect()]  # at most table_size
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(words, PreTokens(model_file).lengths(words), strict=True)) if words else {})
 
     def count(batches):

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lowest, slices
+from tidemark.llm.common import labelled, slices
 
-#: Labelled rows that training reads at most, toxic and other: those of the lowest hash of the text.
-SAMPLE = {1: 4000, 0: 12_000}
+#: Labelled rows that training reads at most, of toxic and of other ones: those of the lowest hash of the id.
+SAMPLE = 12_000
 PREFIXES = (4, 5, 6)
 LEXICON = 8192
 KEPT = 400_000
@@ -205,7 +205,7 @@ def learn_insults(sample: DataFrame) -> dict[str, float]:
     odds = F.log((F.col("bad") + 0.5) / (a + 1)) - F.log((F.col("good") + 0.5) / (b + 1))
     weight = odds - 1.3 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     top = found.filter(F.col("bad") >= 5).withColumn("weight", weight).filter("weight > 1.4").orderBy(F.desc("weight"), "key").limit(LEXICON)
-    return {r["key"]: min(r["weight"], 6.0) for r in top.collect()}
+    return {r["key"]: min(r["weight"], 6.0) for r in top.coalesce(1).collect()}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -220,18 +220,17 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
     return w
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "label") -> tuple[dict[str, float], np.ndarray]:
-    """The insult lexicon and the weights of a text's features, from labelled rows.
+def train(docs: DataFrame, known: DataFrame, text: str = "text") -> tuple[dict[str, float], np.ndarray]:
+    """The insult lexicon and the weights of a text's features, from docs (doc_id, text) and labels known (doc_id, label).
 
-    Of texts that begin with the same five words one is used, so that a group
-    of copies counts once. Without a toxic and another row, the default
-    insults and fixed weights hold.
+    SAMPLE of each label at most; of texts that begin with the same five
+    words one is used, so that a group of copies counts once. Without a toxic
+    and another row, the default insults and fixed weights hold.
     """
-    rows = rows.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
+    rows = labelled(docs.select("doc_id", F.col(text).alias("text")).filter("text IS NOT NULL"), known.filter(F.col("label").isin(0, 1)), SAMPLE)
     opening = F.concat_ws(" ", F.slice(F.split(F.lower(F.substring("text", 1, 400)), r"\s+"), 1, 5))
-    rows = rows.withColumn("opening", opening).dropDuplicates(["label", "opening"]).select("label", "text")
-    parts = [lowest(rows.filter(F.col("label") == y), F.xxhash64("text"), n) for y, n in SAMPLE.items()]
-    sample = parts[0].unionByName(parts[1]).repartition(8, "text").persist()
+    rows = rows.select(F.col("label").cast("int").alias("label"), "text", opening.alias("opening"))
+    sample = rows.dropDuplicates(["label", "opening"]).select("label", "text").repartition(8, "text").persist()
     insults = learn_insults(sample)
     if not insults:
         insults = {w: 4.0 for w in DEFAULT_INSULTS.split()}
