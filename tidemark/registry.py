@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import feeds, records, technical, text
+from tidemark.plans import feeds, records, scalars, technical, text
 from tidemark.plans.views import half_up
 
-PLANS = (technical, text, records, feeds)
+PLANS = (technical, text, records, feeds, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
