@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Slots of the lexicon's byte string.
 SLOTS = 1 << 19
 #: Sub-lexicons: (bits that must be zero, first bit), 2^-bits of the lexicon each.
-LEXICONS = [(bits, first) for bits in (3, 5, 7, 9) for first in (4, 15, 26, 37)]
+LEXICONS = [(bits, first) for bits in (4, 5, 6, 7, 8, 9, 10) for first in range(0, 56, 7)]
 #: Documents of a run of ids that a task looks at together, and runs at most.
 RUN, RUNS = 1000, 65_536
 
@@ -40,7 +40,7 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = 0.15, high: float
     if n > 1:
         df = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         idf = F.log(F.lit(float(n)) / F.col("df")) / math.log(n)
-        for r in df.filter(idf.between(low, high)).orderBy(F.desc("df"), "term").limit(size).select("term").collect():
+        for r in df.filter(idf.between(low, high)).orderBy(F.desc("df"), "term").limit(size).select("term").coalesce(1).collect():  # cut down on an executor
             table[r["term"] % SLOTS] = 1
     return bytes(table)
 
@@ -64,8 +64,8 @@ def hashes(sorted_marks: Column) -> Column:
 
 
 def digest(h: Column) -> Column:
-    """The hashes as text: 16 hexadecimal digits each, '-' for an empty sub-lexicon."""
-    return F.array_join(F.transform(h, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x), 16, "0")), F.lit("-"))), "")
+    """The hashes as text: 8 hexadecimal digits of each, '-' for an empty sub-lexicon."""
+    return F.array_join(F.transform(h, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x.bitwiseAND(0xFFFFFFFF)), 8, "0")), F.lit("-"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
