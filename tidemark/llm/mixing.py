@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Parts that a leaf's order is cut in (hexadecimal digits of the order's hash): only one of them is cut by the budget.
 PART = 3
 NONE = "?"
+#: Leaves whose budgets are broadcast (some 100 bytes each); more are joined by a shuffle, which Spark splits where a leaf is hot.
+MOST_LEAVES = 200_000
 WIDE = "decimal(38,0)"
 
 
@@ -75,13 +77,15 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
     plan = budgets(leaves, node, own, whole, epochs).withColumnRenamed("tokens", "leaf_tokens").withColumnRenamed("budget", "leaf_budget")
     plan = plan.withColumn("epoch", F.expr("CASE WHEN leaf_tokens > 0 THEN leaf_budget div leaf_tokens ELSE 0 END")).withColumn("rest", F.expr("leaf_budget - epoch * leaf_tokens"))
 
+    few = leaves.count() <= MOST_LEAVES
+    side = F.broadcast if few else lambda df: df
     place = F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.col(doc_id).cast("string")))
-    rows = rows.join(plan, node).withColumn("_place", place).withColumn("_part", F.substring("_place", 1, PART))
+    rows = rows.join(side(plan), node).withColumn("_place", place).withColumn("_part", F.substring("_place", 1, PART))
     parts = rows.groupBy(*node, "_part", "rest").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy(*node).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** PART rows a leaf
     parts = parts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     edge = parts.filter("_before < rest").groupBy(*node).agg(F.max(F.struct("_part", "_before")).alias("edge"))
-    rows = rows.join(edge, node, "left")
+    rows = rows.join(side(edge), node, "left")
 
     names = [*keep, "tokens", "leaf_budget"]
     inside = rows.filter(F.col("edge").isNull() | (F.col("_part") != F.col("edge._part")))
