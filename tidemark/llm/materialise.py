@@ -20,6 +20,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +31,8 @@ from tidemark.llm.common import slices
 from tidemark.session import settle_table
 
 ROUNDS = 4
+#: Tasks whose first numbers are broadcast (16 bytes each); more are joined by a shuffle.
+MOST_TASKS = 1_000_000
 
 
 def round_keys(key: str) -> np.ndarray:
@@ -65,15 +68,19 @@ def permute(index: np.ndarray, n: int, key: str, inverse: bool = False) -> np.nd
 
 
 def token_blocks(docs: DataFrame, tokenizer_file: str, length: int = 1024, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(task, nth, first_doc, n_tokens, ids): the tasks' streams in sequences of `length` ids of 2 bytes each, 4 if the vocabulary needs it."""
+    """(task, nth, first_doc, n_tokens, packed): the tasks' streams in sequences of `length` ids of 2 bytes each, 4 if the vocabulary needs it.
+
+    packed is a sequence's ids under zstd: what is written and moved before
+    the shards is then half as much.
+    """
 
     def work(batches):
-        bpe, task = ByteBPE(tokenizer_file), TaskContext.get().partitionId()
+        bpe, task, pack = ByteBPE(tokenizer_file), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3, write_content_size=True).compress
         wide = "<u4" if bpe.fast.max_token_value >= 1 << 16 else "<u2"
         held, first, nth = np.empty(0, wide), None, 0
 
         def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["task", "nth", "first_doc", "n_tokens", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["task", "nth", "first_doc", "n_tokens", "packed"])
 
         for piece in slices(batches):
             rows = []
@@ -82,14 +89,14 @@ def token_blocks(docs: DataFrame, tokenizer_file: str, length: int = 1024, end_i
                 held = np.concatenate([held, np.append(bpe.ids(t or ""), end_id).astype(wide)])
                 whole = len(held) // length
                 for i in range(whole):
-                    rows.append((task, nth, first if i == 0 else d, length, held[i * length : (i + 1) * length].tobytes()))
+                    rows.append((task, nth, first if i == 0 else d, length, pack(held[i * length : (i + 1) * length].tobytes())))
                     nth += 1
                 held, first = held[whole * length :], d if whole else first
             yield out(rows)
         if len(held):
-            yield out([(task, nth, first, len(held), np.append(held, np.full(length - len(held), end_id, wide)).tobytes())])
+            yield out([(task, nth, first, len(held), pack(np.append(held, np.full(length - len(held), end_id, wide)).tobytes()))])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(work, "task long, nth long, first_doc long, n_tokens long, ids binary")
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(work, "task long, nth long, first_doc long, n_tokens long, packed binary")
 
 
 def training_order(blocks: DataFrame, key: str, per_shard: int = 8192) -> DataFrame:
@@ -104,6 +111,8 @@ def training_order(blocks: DataFrame, key: str, per_shard: int = 8192) -> DataFr
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permute(index.to_numpy(), total, key))
 
+    if counts.count() <= MOST_TASKS:
+        bases = F.broadcast(bases)
     numbered = blocks.join(bases, "task").withColumn("number", F.col("base") + F.col("nth"))
     return numbered.withColumn("slot", slot("number")).withColumn("shard", F.floor(F.col("slot") / per_shard)).drop("base")
 
@@ -125,7 +134,7 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = 8192) -> Data
     def work(batches):
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        mine, sink, at = f"{TaskContext.get().taskAttemptId()}", None, -1
+        mine, sink, at, unpack = f"{TaskContext.get().taskAttemptId()}", None, -1, zstandard.ZstdDecompressor().decompress
 
         def close():
             if sink is not None:
@@ -134,6 +143,7 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = 8192) -> Data
 
         for piece in slices(batches):
             slots, shards, ids = (piece.column(i).to_pylist() for i in (0, 1, 4))
+            ids = list(map(unpack, ids))
             for shard, data in zip(shards, ids, strict=True):
                 if shard != at:
                     close()
@@ -147,7 +157,7 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = 8192) -> Data
         close()
 
     tasks = max(1, int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = ordered.select("slot", "shard", "first_doc", "n_tokens", "ids").repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
+    dealt = ordered.select("slot", "shard", "first_doc", "n_tokens", "packed").repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
     return dealt.mapInArrow(work, "slot long, shard long, at long, first_doc long, n_tokens long, crc32 long")
 
 
@@ -177,4 +187,4 @@ def materialise(docs: DataFrame, tokenizer_file: str, folder: str, key: str, len
     that goes on there if none begins earlier. Null and empty texts are one
     end id; repeated rows are written each; an empty table writes no file.
     """
-    return write_shards(training_order(settle_table(token_blocks(docs, tokenizer_file, length, end_id)), key, per_shard), folder, per_shard)
+    return write_shards(training_order(settle_table(token_blocks(docs, tokenizer_file, length, end_id), "none"), key, per_shard), folder, per_shard)
