@@ -14,9 +14,9 @@ Empty segments and crowded index entries find too much. A similar pair
 shares more than `slack` units of cover, so a set may leave out entries of up
 to `slack` units in all, and the pair still meets elsewhere. Sets with more
 empty segments than that are indexed in a coarser scheme besides; sets with
-more crowded entries stay in them. In crowded entries, sets are compared with
-one leader at a time, those already in one component no more; what is left
-after some rounds is compared in full. Every link is verified on the sets.
+more crowded entries stay in them. Sets that crowded entries hold together
+are compared with one leader; links between two of them are found by a join
+of their rarest differences from it. Every link is verified on the sets.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
@@ -38,21 +38,8 @@ from tidemark.session import settle, settle_table
 U = np.uint64
 #: Sets in an index entry that are all compared at once; more make it crowded.
 CROWD = 8
-#: Rounds of leaders before the rest is compared in full.
-LEADERS = 4
-WORDS_KEPT = 400_000
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, kept for a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < WORDS_KEPT:
-            self[word] = h
-        return h
+#: Digests that a task remembers to send the entries of equal sets once.
+KEPT = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,21 +48,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def shingle_set(text: str | None, width: int, words: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; one for the whole sequence if it is shorter.
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Of each text, the sorted distinct 64-bit hashes of its word shingles; one for the whole sequence if it is shorter.
 
     Words are runs of bytes other than ASCII space and controls 9-13; A-Z are
-    lower-cased, no other letter.
+    lower-cased, no other letter. Each distinct word of the batch is hashed once.
     """
-    found = text.encode().lower().split() if text else []
-    if not found:
-        return np.empty(0, U)
-    w = np.fromiter(map(words.__getitem__, found), U, len(found))
-    n = min(width, len(w))
-    h = np.full(len(w) - n + 1, n, U)
-    for i in range(n):
-        h = mix(h + w[i : len(w) - n + 1 + i])
-    return np.unique(h)
+    import xxhash
+
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = pc.ascii_split_whitespace(texts)
+    at = np.asarray(words.offsets).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), U, len(coded.dictionary))
+    w = known[np.asarray(coded.indices)]
+    at, full, out = at - at[0], np.asarray(pc.not_equal(texts, "")), []
+    runs = np.full(max(0, len(w) - width + 1), width, U)
+    for i in range(width):
+        runs = mix(runs + w[i : len(w) - width + 1 + i])
+    for k in range(len(full)):
+        a, n = at[k], at[k + 1] - at[k]
+        if not full[k]:
+            out.append(np.empty(0, U))
+        elif n >= width:
+            out.append(np.unique(runs[a : a + n - width + 1]))
+        else:
+            h = np.full(1, n, U)
+            for i in range(n):
+                h = mix(h + w[a + i : a + i + 1])
+            out.append(h)
+    return out
 
 
 class Scheme:
@@ -119,23 +121,21 @@ def tag(h: np.ndarray, scheme: Scheme, double: bool, coarse: bool) -> np.ndarray
     return (h & ~U(255)) | U(scheme.band | double << 6 | coarse << 7)
 
 
-def parts(elements: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Elements' marks sorted by segment; of the segments that have any: number, first position, size."""
-    marks = mix(elements + U(salt))
-    seg = ((marks >> U(32)) * U(m)) >> U(32)
-    order = np.argsort(seg, kind="stable")
-    seg = seg[order]
+def parts(elements: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the segments that have any of the sorted elements: number, first position, size. A segment is a range of hashes."""
+    seg = ((elements >> U(32)) * U(m)) >> U(32)
     first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-    return mix(marks[order]), seg[first], first, np.diff(np.r_[first, len(seg)])
+    return seg[first], first, np.diff(np.r_[first, len(seg)])
 
 
 def entries(elements: np.ndarray, num: int, den: int) -> np.ndarray:
     """Index entries of a set, over all its schemes."""
     n, out = len(elements), []
-    for s in of_size(n, num, den):
-        marks, seg, first, size = parts(elements, s.m, 2 * s.band)
-        total = np.add.reduceat(marks, first)
-        name = mix(seg + U(s.band << 32))
+    found = of_size(n, num, den)
+    marks = mix(elements) if found else elements
+    for s in found:
+        seg, first, size = parts(elements, s.m)
+        total, name = np.add.reduceat(marks, first), mix(seg + U(s.band << 32))
         exact = seg < s.x
         keys = [tag(mix(total + name)[exact], s, False, False)]
         empty = s.x - int(exact.sum())
@@ -143,7 +143,7 @@ def entries(elements: np.ndarray, num: int, den: int) -> np.ndarray:
             keys += deletions(marks, total, name, size, ~exact, s, False)
             empty += 2 * (s.y - int((~exact & (size > 1)).sum()))
         if empty > slack(n, s, num, den):
-            marks, seg, first, size = parts(elements, s.coarse, 2 * s.band + 1)
+            seg, first, size = parts(elements, s.coarse)
             total, name = np.add.reduceat(marks, first), mix(seg + U(s.band << 32 | 1 << 40))
             keys += deletions(marks, total, name, size, np.ones(len(seg), bool), s, True)
             missing = np.setdiff1d(np.arange(s.coarse, dtype=U), seg)
@@ -168,41 +168,65 @@ def slack(n: int, s: Scheme, num: int, den: int) -> int:
 
 def empty_cover(elements: np.ndarray, s: Scheme) -> int:
     """Units of cover in empty segments, and in segments that a deletion may empty."""
-    _, seg, _, size = parts(elements, s.m, 2 * s.band)
+    seg, _, size = parts(elements, s.m)
     return s.x - int((seg < s.x).sum()) + 2 * (s.y - int(((seg >= s.x) & (size > 1)).sum()))
 
 
-def document_sets(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, hi, lo): size and 128-bit digest of every document's set."""
+def sketch(elements: np.ndarray) -> bytes:
+    """Parities of the elements' counts by hash slot: two sets differ in at least as many elements as their sketches in bits."""
+    bits = 1 << min(14, max(6, (2 * len(elements) - 1).bit_length()))
+    odd = np.bincount((elements & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def spare_cover(elements: np.ndarray, num: int, den: int) -> dict[int, int]:
+    """For each scheme of a set, its band and the cover that it may still leave out, empty segments taken off; band | 128 is the coarse scheme."""
+    out = {}
+    for s in of_size(len(elements), num, den):
+        spare = slack(len(elements), s, num, den)
+        out[s.band] = spare - empty_cover(elements, s)
+        out[s.band | 128] = 2 * s.coarse - (s.x + 2 * s.y - spare)
+    return out
+
+
+def document_sets(docs: DataFrame, width: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, n_shingles, hi, lo, spare, sketch): size, 128-bit digest, spare cover and sketch of every document's set."""
 
     def work(batches):
-        words = WordHashes()
         for piece in slices(batches):
-            ids, n, hi, lo = piece.column(0), [], [], []
-            for t in piece.column(1).to_pylist():
-                e = shingle_set(t, width, words)
+            rows = []
+            for e in shingle_sets(piece.column(1), width):
                 d = hashlib.blake2b(e.tobytes(), digest_size=16).digest()
-                n.append(len(e))
-                hi.append(int.from_bytes(d[:8], "little", signed=True))
-                lo.append(int.from_bytes(d[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (n, hi, lo))], ["doc_id", "n_shingles", "hi", "lo"])
+                rows.append((len(e), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), list(spare_cover(e, num, den).items()), sketch(e)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.int32(), pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_shingles", "hi", "lo", "spare", "sketch"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(work, "doc_id long, n_shingles long, hi long, lo long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(work, "doc_id long, n_shingles long, hi long, lo long, spare map<int,int>, sketch binary")
 
 
 def index(docs: DataFrame, width: int, num: int, den: int, text: str) -> DataFrame:
     """(entry, node): a task sends the entries of equal sets once, so copies don't crowd an entry."""
 
     def work(batches):
-        words, sent = WordHashes(), set()
+        sent: set[int] = set()
         for piece in slices(batches, 256):
             keys, nodes = [np.empty(0, U)], [np.empty(0, np.int64)]
-            for t in piece.column(0).to_pylist():
-                e = shingle_set(t, width, words)
+            for e in shingle_sets(piece.column(0), width):
                 node = int.from_bytes(hashlib.blake2b(e.tobytes(), digest_size=16).digest()[8:], "little", signed=True)
                 if not len(e) or node in sent:
                     continue
-                if len(sent) < WORDS_KEPT:
+                if len(sent) < KEPT:
                     sent.add(node)
                 keys.append(entries(e, num, den))
                 nodes.append(np.full(len(keys[-1]), node, np.int64))
@@ -279,43 +303,43 @@ def bitmap(ids: DataFrame, bits: int, tasks: int = 8) -> np.ndarray:
     return total
 
 
-def needed_sets(docs: DataFrame, ids: DataFrame, count: int, width: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
-    """(rep, node, n, elements, spare): the sets of the documents in ids (and of a few more: a bounded bitmap chooses them).
-
-    spare has, for each scheme of the set, its band and the units of cover
-    that it may still leave out, empty segments taken off; 255 is the coarse
-    scheme's mark.
-    """
+def needed_sets(docs: DataFrame, ids: DataFrame, count: int, width: int, doc_id: str, text: str) -> DataFrame:
+    """(rep, n, elements): the sets of the documents in ids, and of a few more: a bitmap of bounded size chooses them."""
     bits = 1 << min(30, max(16, (count * 16).bit_length()))
     chosen = docs.sparkSession.sparkContext.broadcast(bitmap(ids, bits))
 
     def work(batches):
-        words, have = WordHashes(), chosen.value
+        have = chosen.value
         for piece in slices(batches):
             piece = piece.filter(pc.is_valid(piece.column(0)))
             ids = np.asarray(piece.column(0)).astype(np.int64)
             at = mix(ids.view(U)) % U(bits)
             want = np.flatnonzero(have[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8) & 1)
-            rows = []
-            for i, t in zip(want, piece.column(1).take(pa.array(want)).to_pylist(), strict=True):
-                e = shingle_set(t, width, words)
-                if len(e):
-                    node = int.from_bytes(hashlib.blake2b(e.tobytes(), digest_size=16).digest()[8:], "little", signed=True)
-                    spare = {}
-                    for s in of_size(len(e), num, den):
-                        spare[s.band] = slack(len(e), s, num, den) - empty_cover(e, s)
-                        most = s.x + 2 * s.y - 1 - slack(len(e), s, num, den)
-                        spare[s.band | 128] = 2 * s.coarse - 1 - most
-                    rows.append((int(ids[i]), node, len(e), e.tobytes(), list(spare.items())))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.map_(pa.int32(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["rep", "node", "n", "elements", "spare"])
+            sets = shingle_sets(piece.column(1).take(pa.array(want)), width)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[want]), pa.array([len(e) for e in sets], pa.int64()), pa.array([e.tobytes() for e in sets], pa.binary())], ["rep", "n", "elements"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(work, "rep long, node long, n long, elements binary, spare map<int,int>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(work, "rep long, n long, elements binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, by: str, num: int, den: int) -> DataFrame:
-    """(a, b) by rep: the pairs (a, b) of `by` whose sets have den * intersection >= num * union."""
+def plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) by rep from pairs (a, b) by node: those whose sizes and sketches allow a link."""
+
+    def work(batches):
+        for piece in slices(batches):
+            n_a, n_b = (np.asarray(piece.column(i)) for i in (2, 3))
+            most = (den - num) * (n_a + n_b) // (den + num)
+            ok = [sketch_distance(x, y) <= m for x, y, m in zip(piece.column(4).to_pylist(), piece.column(5).to_pylist(), most, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in piece.columns[:2]], ["a", "b"])
+
+    def side(c: str) -> DataFrame:
+        return classes.select(F.col("lo").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    return both.select("rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(work, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets have den * intersection >= num * union."""
 
     def work(batches):
         for piece in slices(batches):
@@ -328,40 +352,75 @@ def verified(pairs: DataFrame, sets: DataFrame, by: str, num: int, den: int) ->
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in piece.columns[:2]], ["a", "b"])
 
-    right = sets.select(F.col(by).alias("b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("elements").alias("set_b"))
-    left = sets.select(F.col(by).alias("a"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("elements").alias("set_a"))
-    sized = pairs.join(right.drop("set_b", "rep_b"), "b").join(left.drop("set_a", "rep_a"), "a").filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num))
-    both = sized.select("a", "b").distinct().join(right, "b").join(left, "a")
-    return both.select("rep_a", "rep_b", "set_a", "set_b").mapInArrow(work, "a long, b long")
+    right = sets.select(F.col("rep").alias("b"), F.col("elements").alias("set_b"))
+    left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("set_a"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long")
+
 
+def differences(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(cluster, rep, element, size, most, near): the elements in which a member differs from its cluster's leader.
+
+    near: the two link. most: differences that a link of the member allows.
+    A member equal to its leader gives no row.
+    """
+    own = sets.select("rep", F.col("elements").alias("mine"))
+    led = sets.select(F.col("rep").alias("leader"), F.col("elements").alias("led"))
+    rows = members.join(own, "rep").join(led, "leader").select("cluster", "rep", "mine", "led")
 
-def crowded_links(crowded: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
-    """All links and those within crowded entries (entry, node) that join different components."""
-    names = sets.select("node", "rep", "spare")
+    def work(batches):
+        for piece in slices(batches, 64):
+            out: list[list] = [[], [], [], [], [], []]
+            for cluster, rep, mine, led in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                x, y = np.frombuffer(mine, U), np.frombuffer(led, U)
+                d = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(d)) // 2
+                near = den * both >= num * (len(x) + len(y) - both)
+                most = len(x) * (den - num) // num
+                for column, value in zip(out, (np.full(len(d), cluster), np.full(len(d), rep), d.view(np.int64), np.full(len(d), len(d)), np.full(len(d), most), np.full(len(d), near)), strict=True):
+                    column.append(value)
+            types = (np.int64, np.int64, np.int64, np.int64, np.int64, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, t), *c]).astype(t)) for c, t in zip(out, types, strict=True)], ["cluster", "rep", "element", "size", "most", "near"])
+
+    return rows.mapInArrow(work, "cluster long, rep long, element long, size long, most long, near boolean")
+
+
+def crowded_members(crowded: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cluster, rep, leader) of the sets that crowded entries (entry, node) hold together: leaders included, entries within a set's slack left out."""
+    names = classes.select(F.col("lo").alias("node"), "rep", "spare")
     low, weight = F.col("entry").bitwiseAND(63 | 128).cast("int"), F.when(F.col("entry").bitwiseAND(64) == 64, 2).otherwise(1)
     rows = crowded.join(names, "node").select("entry", "rep", low.alias("scheme"), weight.alias("weight"), "spare")
     load = rows.groupBy("rep", "scheme").agg(F.sum("weight").alias("load"), F.first("spare").alias("spare"))
     kept = load.filter(F.col("load") > F.coalesce(F.element_at("spare", F.col("scheme")), F.lit(-1))).select("rep", "scheme")
-    rows = settle(rows.select("entry", "rep", "scheme").join(kept, ["rep", "scheme"]).select("entry", "rep"))
-    tried = None
-    for turn in range(LEADERS + 1):
-        member = components(links)
-        placed = rows.join(member.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_ = placed.groupBy("entry").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("leader")).filter("c0 < c1")
-        if turn < LEADERS:
-            pairs = placed.join(open_.select("entry", "leader"), "entry").filter(F.col("component") != F.col("leader.component")).select(F.col("leader.rep").alias("x"), F.col("rep").alias("y"))
-        else:
-            left = placed.join(open_.select("entry"), "entry")
-            pairs = left.select("entry", F.col("rep").alias("x"), F.col("component").alias("cx")).join(left.select("entry", F.col("rep").alias("y"), F.col("component").alias("cy")), "entry").filter("cx < cy").select("x", "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = settle(links.unionByName(verified(pairs, sets, "rep", num, den)).distinct())
-    return links
+    rows = rows.select("entry", "rep", "scheme").join(kept, ["rep", "scheme"])
+    member = F.col("rep") * 64 + F.col("scheme").bitwiseAND(63)
+    meet = rows.groupBy("entry").agg(F.min(member).alias("b")).join(rows.select("entry", member.alias("a")), "entry").select("a", "b").distinct()
+    return components(meet).select(F.col("component").alias("cluster"), F.floor(F.col("node") / 64).alias("rep"), F.floor(F.col("component") / 64).alias("leader"))
+
+
+def crowded_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links of leaders, and pairs of other members that may link.
+
+    The sets of a band that crowded entries hold together are a cluster, its
+    smallest id the leader. Each member is compared with the leader. Two
+    members differ in just the elements in which one of them differs from the
+    leader and the other doesn't, so a link between two that aren't both the
+    leader's needs many differences in common. In one order for all, rarest
+    first, the first common one stands early for both: only such places are
+    joined, not all pairs.
+    """
+    away = settle_table(differences(members.filter("rep <> leader"), sets, num, den), "lz4")
+    led = away.filter("near").select(F.floor(F.col("cluster") / 64).alias("a"), F.col("rep").alias("b")).distinct()
+    open_ = away.filter("NOT near").select("cluster").distinct()
+    away = away.join(open_, "cluster", "left_semi")
+    counted = away.join(away.groupBy("cluster", "element").agg(F.count("*").alias("n")).filter("n > 1"), ["cluster", "element"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("cluster", "rep").orderBy("n", "element"))
+    ranked = counted.withColumn("rank", rank).filter("n > 1")
+    other = ranked.filter("2 * (rank - 1) <= most").select("cluster", "element", *[F.col(c).alias(f"{c}_b") for c in ("rep", "size", "most", "near", "rank")])
+    most = F.least("most", "most_b")
+    early = (2 * (F.col("rank") - 1) <= F.col("size") - F.col("size_b") + most) & (2 * (F.col("rank_b") - 1) <= F.col("size_b") - F.col("size") + most)
+    ahead = (F.col("size") > F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("rep") > F.col("rep_b")))
+    pairs = other.join(ranked, ["cluster", "element"]).filter(early & ahead & ~(F.col("near") & F.col("near_b"))).select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
+    return led, pairs
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,23 +436,21 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     """
     if docs.schema[text].dataType.simpleString() != "string":
         docs = docs.withColumn(text, F.col(text).cast("string"))
-    rows = settle_table(document_sets(docs, width, doc_id, text))
-    full = rows.filter("n_shingles > 0")
-    classes = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+    rows = settle_table(document_sets(docs, width, num, den, doc_id, text))
+    classes = rows.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch"))
 
     met = index(docs, width, num, den, text).repartition("entry").sortWithinPartitions("entry", "node").mapInArrow(meetings, "a long, b long, entry long")
     met = settle_table(met)
-    pairs = met.filter("entry IS NULL").select("a", "b").distinct()
-    crowded = met.filter("b IS NULL").select("entry", F.col("a").alias("node"))
-    nodes = pairs.select(F.col("a").alias("lo")).union(pairs.select("b")).union(crowded.select("node")).distinct()
-    wanted = settle(classes.filter("rep IS NOT NULL").join(nodes, "lo", "left_semi").select("rep"))
+    known = classes.filter("rep IS NOT NULL")
+    pairs = settle(plausible(met.filter("entry IS NULL").select("a", "b").distinct(), known, num, den).distinct())
+    members = settle(crowded_members(met.filter("b IS NULL").select("entry", F.col("a").alias("node")), known))
+    wanted = settle(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(members.select("rep")).distinct())
     count = wanted.count()
     named = classes.select("hi", "lo", F.col("rep").alias("class_id"))
     if count:
-        sets = settle_table(needed_sets(docs, wanted, count, width, num, den, doc_id, text), "lz4")
-        links = settle(verified(pairs, sets, "node", num, den))
-        links = crowded_links(crowded, sets, links, num, den)
-        member = components(links)
+        sets = settle_table(needed_sets(docs, wanted, count, width, doc_id, text).join(wanted, "rep", "left_semi"), "lz4")
+        led, more = crowded_pairs(members, sets, num, den)
+        member = components(verified(pairs.unionByName(more).distinct(), sets, num, den).unionByName(led))
         named = classes.join(member.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("class_id"))
     found = rows.join(named, ["hi", "lo"], "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"))
