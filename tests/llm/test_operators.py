@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import imatch, langid, materialise, mixing, packing, quality, token_counts, topk_search, toxicity
+from tidemark.llm import common, imatch, langid, materialise, mixing, packing, quality, token_counts, topk_search, toxicity
 from tidemark.llm.bpe import ByteBPE
 from tidemark.llm.queries import BYTE_BPE, PIECE_BPE
 
@@ -213,3 +213,14 @@ def test_mixing(spark):
     assert mixing.mix(df.filter("false"), ["dom", "src"], {}, 0.5, 1, "s", n).collect() == []
     all_ = mixing.mix(df, ["dom", "src"], {}, share=5.0, epochs=2, seed="s", tokens=n).toPandas()
     assert (all_[all_.tokens > 0].copies == 2).all()
+
+
+def test_labelled_takes_the_lowest_hashes(spark):
+    """The bound on the hash leaves the same ids as a sort of all of them; repeated ids count once."""
+    known = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "few").otherwise("many").alias("label"))
+    odd = spark.createDataFrame([(7, "many")] * 50 + [(None, "many"), (3, None)], "doc_id long, label string")
+    got = common.labelled(known.select("doc_id"), known.unionByName(odd), 20).collect()
+    for label in ("few", "many"):
+        order = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()
+        assert sorted(r["doc_id"] for r in got if r["label"] == label) == sorted(r["doc_id"] for r in order)
+    assert common.labelled(known.select("doc_id"), known.filter("false"), 20).collect() == []

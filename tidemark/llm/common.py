@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a batch that are turned into Python objects at a time.
@@ -38,16 +39,18 @@ def by_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
     return run
 
 
-def lowest(df: DataFrame, order: Column, n: int, by: Column | None = None) -> DataFrame:
-    """The n rows of each value of `by` that come first in `order`: a bounded sample.
+def lowest(known: DataFrame, n: int) -> DataFrame:
+    """(_id, label): of each label in known (doc_id, label), the n ids of the lowest hash; labels are few.
 
-    Spark keeps n rows of a value in each task before it shuffles them.
+    A label of many ids is cut by a bound on the hash that some 2 n + 1000 of
+    them pass, whatever the number of tasks, before its ids meet in one task.
     """
-    from pyspark.sql import Window
-
-    key = F.lit(0) if by is None else by
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    return ranked.filter(F.col("_rank") <= n).drop("_rank")
+    place, room = F.xxhash64("doc_id"), 2 * n + 1000
+    sizes = known.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("n")).filter(F.col("n") > room).collect()  # a row a label
+    bound = reduce(lambda c, r: F.when(F.col("label") == r["label"], int((room / r["n"] - 0.5) * 2**64)).otherwise(c), sizes, F.lit(2**63 - 1))
+    near = known.filter(place <= bound).select(F.col("doc_id").alias("_id"), "label", place.alias("_place")).distinct()
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("label").orderBy("_place", "_id")))
+    return ranked.filter(F.col("_rank") <= n).select("_id", "label")
 
 
 def labelled(docs: DataFrame, known: DataFrame, n: int, doc_id: str = "doc_id") -> DataFrame:
@@ -55,5 +58,5 @@ def labelled(docs: DataFrame, known: DataFrame, n: int, doc_id: str = "doc_id")
 
     The ids are chosen before any text is read and then broadcast: n a label, whatever the size of docs.
     """
-    ids = lowest(known.select("doc_id", "label").filter("doc_id IS NOT NULL AND label IS NOT NULL"), F.xxhash64("doc_id"), n, F.col("label"))
-    return docs.join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), "label")), F.col(doc_id) == F.col("_id")).drop("_id")
+    ids = lowest(known.select("doc_id", "label").filter("doc_id IS NOT NULL AND label IS NOT NULL"), n)
+    return docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_id")).drop("_id")
