@@ -40,6 +40,8 @@ U = np.uint64
 CROWD = 8
 #: Digests that a task remembers to send the entries of equal sets once.
 KEPT = 400_000
+#: Clusters with a member far from its leader that are broadcast (8 bytes each); more are joined by a shuffle.
+MOST_OPEN = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -410,7 +412,9 @@ def crowded_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> tu
     """
     away = settle_table(differences(members.filter("rep <> leader"), sets, num, den), "lz4")
     led = away.filter("near").select(F.floor(F.col("cluster") / 64).alias("a"), F.col("rep").alias("b")).distinct()
-    open_ = away.filter("NOT near").select("cluster").distinct()
+    open_ = settle(away.filter("NOT near").select("cluster").distinct())
+    if open_.count() <= MOST_OPEN:
+        open_ = F.broadcast(open_)
     away = away.join(open_, "cluster", "left_semi")
     counted = away.join(away.groupBy("cluster", "element").agg(F.count("*").alias("n")).filter("n > 1"), ["cluster", "element"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("cluster", "rep").orderBy("n", "element"))
