@@ -126,6 +126,17 @@ def test_imatch(spark):
     assert len(imatch.edit_report(frame(spark, ["one"])).collect()) == 1
 
 
+def test_imatch_lexicon_holds_the_whole_band(spark):
+    shared = [f"w{i}" for i in range(40_000)]  # df 2 of 4: in the band
+    rows = [" ".join(shared + ["one"]), " ".join(shared), " ".join(f"r{i}" for i in range(5000)), "two"]  # r0.. have df 1: out of it
+    df = frame(spark, rows)
+    lex = imatch.lexicon(df)
+    inside = lambda words: F.size(imatch.marks(F.lit(" ".join(words)), lex))
+    held, rare = spark.range(1).select(inside(shared), inside(["w0"] + [f"r{i}" for i in range(5000)])).first()
+    assert held == 40_000 and rare < 300
+    assert imatch.lexicon(df.filter("false")) == b"\0"
+
+
 def labelled(n, seed, make):
     r = random.Random(seed)
     return [(i, *make(r)) for i in range(n)]

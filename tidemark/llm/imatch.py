@@ -3,9 +3,9 @@
 Terms whose inverse document frequency lies in a band form the lexicon. A
 text's fingerprint hashes its sorted distinct lexicon terms, once whole and
 once for each of several randomised sub-lexicons of different density, so
-that texts which share much agree on some of them. The lexicon is bounded
-(the most frequent terms of the band) and is looked up by hashed slot in a
-byte string that each task gets with the plan; a slot shared with a term
+that texts which share much agree on some of them. The lexicon holds every
+term of the band and is looked up by hashed slot in a string of bits that
+each task gets with the plan, 32 slots a term; a slot shared with a term
 outside the band lets that term in, alike in every text.
 """
 
@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of the lexicon's byte string.
-SLOTS = 1 << 19
+#: Slots of the lexicon for each of its terms, and slots held by a byte: seven, so that each byte is an ASCII sign.
+SLOTS, BITS = 32, 7
 #: Sub-lexicons: (bits that must be zero, first bit), 2^-bits of the lexicon each.
 LEXICONS = [(bits, first) for bits in (4, 5, 6, 7, 8, 9, 10) for first in range(0, 56, 7)]
 #: Documents of a run of ids that a task looks at together, and runs at most.
@@ -30,25 +31,34 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text: str = "text", low: float = 0.15, high: float = 0.85, size: int = 32_768) -> bytes:
-    """A byte per slot, 1 where a term of the band falls: ln(N / df) / ln(N) in low..high, the `size` most frequent.
+def lexicon(docs: DataFrame, text: str = "text", low: float = 0.15, high: float = 0.85) -> bytes:
+    """A bit per slot, 1 where a term of the band falls: ln(N / df) / ln(N) in low..high.
 
-    df counts all documents; at most `size` hashes reach the driver.
+    df counts all documents. The driver gets the band's hashes as Arrow
+    batches, 8 bytes a term; the string has 32 / 7 bytes a term.
     """
     n = docs.count()
-    table = bytearray(SLOTS)
+    held = np.zeros(0, dtype=np.int64)
     if n > 1:
         df = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         idf = F.log(F.lit(float(n)) / F.col("df")) / math.log(n)
-        for r in df.filter(idf.between(low, high)).orderBy(F.desc("df"), "term").limit(size).select("term").coalesce(1).collect():  # cut down on an executor
-            table[r["term"] % SLOTS] = 1
-    return bytes(table)
+        held = df.filter(idf.between(low, high)).select("term").toArrow()["term"].to_numpy()
+    table = np.zeros(max(1, -(-SLOTS * len(held) // BITS)), dtype=np.uint8)
+    slot = held % (len(table) * BITS)
+    np.bitwise_or.at(table, slot // BITS, np.left_shift(1, slot % BITS).astype(np.uint8))
+    return table.tobytes()
 
 
 def marks(text: Column, lex: bytes) -> Column:
     """The sorted hashes that stand for a text: lexicon terms, else all terms, else the text itself."""
     every = terms(text)
-    inside = F.filter(every, lambda h: F.substr(F.lit(lex), F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
+
+    def held(h: Column) -> Column:
+        slot = F.pmod(h, F.lit(len(lex) * BITS))
+        byte = F.ascii(F.substr(F.lit(lex), F.floor(slot / BITS).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.getbit(byte, F.pmod(slot, F.lit(BITS)).cast("int")) == 1
+
+    inside = F.filter(every, held)
     return F.sort_array(F.when(F.size(inside) > 0, inside).when(F.size(every) > 0, every).otherwise(F.array(F.xxhash64(text))))
 
 
