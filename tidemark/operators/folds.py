@@ -26,6 +26,20 @@ def drop_rolling(cues: Column) -> Column:
     return F.aggregate(cues, F.array().cast("array<string>"), step)
 
 
+def strip_roll(cues: Column) -> Column:
+    """Captions without the roll, as the reference's dedupeRolling: a cue that begins with the last kept one replaces it; of any other the longest run of words that ends the last kept one is cut off its front, and what is left is added."""
+    def step(acc: Column, s: Column) -> Column:
+        last = F.coalesce(F.element_at(acc, -1), F.lit(""))
+        kept = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+        old, new = F.split(last, " "), F.split(s, " ")
+        most = F.least(F.size(old), F.size(new))
+        shared = F.filter(F.sequence(F.lit(0), most), lambda n: F.slice(old, F.size(old) - n + 1, n) == F.slice(new, F.lit(1), n))
+        rest = F.trim(F.array_join(F.slice(new, F.array_max(shared) + 1, F.size(new)), " "))
+        return F.when(F.size(acc) == 0, F.array(s)).when(s.startswith(last), F.concat(kept, F.array(s))).when(rest == "", acc).otherwise(F.concat(acc, F.array(rest)))
+
+    return F.aggregate(F.filter(cues, lambda c: c != ""), F.array().cast("array<string>"), step)
+
+
 def greedy_phrases(candidates: DataFrame, limit: int = 12) -> DataFrame:
     """(rank, phrase, n): the most frequent phrases, none of which holds or is held by one kept before it.
 
