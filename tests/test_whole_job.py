@@ -39,3 +39,25 @@ def test_rolled_turns(spark):
         turns.setdefault(x["conv_id"], []).append((x["turn"], x["text"]))
     got = {x["document_id"]: x["kept"] for x in registry.queries()["win24_str37_rolled_turns"](spark, SMALL).collect()}
     assert got == {k: "|".join(rolled([t for _, t in sorted(v)])) for k, v in turns.items()}
+
+
+def greedy(rows, limit):
+    out = []
+    for p, w, n in sorted(rows, key=lambda r: (-r[2], -r[1], r[0])):
+        if len(out) < limit and not any(f" {p} " in f" {k} " or f" {k} " in f" {p} " for k, _ in out):
+            out.append((p, n))
+    return [(i + 1, p, n) for i, (p, n) in enumerate(out)]
+
+
+def test_greedy_phrases_goes_on_after_a_page(spark):
+    rows = [("hot", 1, 900)] + [(f"hot w{i:03}", 2, 800) for i in range(150)] + [(f"z{i}", 1, 5 - i) for i in range(4)]
+    df = spark.createDataFrame(rows, "phrase string, words int, n long")
+    for limit in (2, 3, 12):
+        assert [tuple(r) for r in folds.greedy_phrases(df, limit).collect()] == greedy(rows, limit)
+    assert folds.greedy_phrases(df.filter("false")).collect() == []
+
+
+def test_greedy_phrases_counts_all_languages(spark):
+    q = registry.queries()
+    rows = [(r["phrase"], r["words"], r["n"]) for r in q["agg16_phrase_frequency"](spark, SMALL).collect()]
+    assert sorted(tuple(r) for r in q["topk05_greedy_phrases"](spark, SMALL).collect()) == greedy(rows, 12)

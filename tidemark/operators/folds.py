@@ -43,17 +43,30 @@ def strip_roll(cues: Column) -> Column:
 def greedy_phrases(candidates: DataFrame, limit: int = 12) -> DataFrame:
     """(rank, phrase, n): the most frequent phrases, none of which holds or is held by one kept before it.
 
-    Candidates go in the order of count, words and letters. A report over the
-    best of them: the first 50 * limit in that order are looked at, which
-    bounds the fold.
+    Candidates go in the order of count, words and letters, in pages of
+    50 * limit, which bounds each fold. While fewer than `limit` are kept and
+    a page was full, the next page follows; what clashes with a kept phrase is
+    filtered out before it is cut.
     """
-    top = candidates.orderBy(F.desc("n"), F.desc("words"), "phrase").limit(50 * limit)
-    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.col("words")).alias("w"), "phrase")))
     padded = lambda p: F.concat(F.lit(" "), p, F.lit(" "))
-
-    def step(acc: Column, c: Column) -> Column:
-        clash = F.exists(acc, lambda k: padded(k["phrase"]).contains(padded(c["phrase"])) | padded(c["phrase"]).contains(padded(k["phrase"])))
-        return F.when((F.size(acc) < limit) & ~clash, F.concat(acc, F.array(F.struct(c["phrase"].alias("phrase"), (-c["n"]).alias("n"))))).otherwise(acc)
-
-    picked = top.agg(F.aggregate(order, F.array().cast("array<struct<phrase:string,n:bigint>>"), step).alias("p"))
-    return picked.select(F.posexplode("p").alias("rank", "p")).select((F.col("rank") + 1).alias("rank"), "p.phrase", "p.n")
+    page, kept, after = 50 * limit, [], None
+
+    def clashes(c: Column, k: Column) -> Column:
+        return padded(k).contains(padded(c)) | padded(c).contains(padded(k))
+
+    while len(kept) < limit:
+        left = candidates
+        for k in kept:
+            left = left.filter(~clashes(F.col("phrase"), F.lit(k["phrase"])))
+        if after:
+            n, w, p = F.col("n"), F.col("words"), F.col("phrase")
+            left = left.filter((n < after["n"]) | ((n == after["n"]) & ((w < after["words"]) | ((w == after["words"]) & (p > after["phrase"])))))
+        rows = left.orderBy(F.desc("n"), F.desc("words"), "phrase").limit(page).select("phrase", "words", "n").collect()
+        for r in rows:
+            held = f" {r['phrase']} "
+            if len(kept) < limit and not any(held in f" {k['phrase']} " or f" {k['phrase']} " in held for k in kept):
+                kept.append(r)
+        if len(rows) < page:
+            break
+        after = rows[-1]
+    return candidates.sparkSession.createDataFrame([(i + 1, r["phrase"], r["n"]) for i, r in enumerate(kept)], "rank int, phrase string, n bigint")

@@ -113,5 +113,5 @@ SELECT doc_id, CAST(len(p) AS INTEGER) AS paragraphs, sha256(array_to_string(p,
     "win24_rolling_captions": (lambda s, d: segments(s, d).groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seg_index", F.substring("text", 1, F.col("seg_index").cast("int") % 3 + 1).alias("c")))), lambda x: x["c"]).alias("cues")).select("document_id", F.array_join(O.drop_rolling(F.col("cues")), "|").alias("kept")), f"""WITH {SEGMENTS}, l AS (SELECT document_id, list(substr(text, 1, CAST(seg_index % 3 + 1 AS INTEGER)) ORDER BY seg_index, text) AS c FROM segments GROUP BY document_id)
 SELECT document_id, array_to_string(list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN starts_with(x[1], acc[-1]) THEN list_concat(acc[1:len(acc) - 1], x) WHEN ends_with(acc[-1], x[1]) THEN acc ELSE list_concat(acc, x) END), '|') AS kept FROM l"""),
     "win24_str37_rolled_turns": (lambda s, d: segments(s, d).groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seg_index", "text"))), lambda x: x["text"]).alias("cues")).select("document_id", F.array_join(O.strip_roll(F.col("cues")), "|").alias("kept")), None),
-    "topk05_greedy_phrases": (lambda s, d: O.greedy_phrases(E.phrase_frequency(docs(s, d).filter("lang = 'en'"))), None),
+    "topk05_greedy_phrases": (lambda s, d: O.greedy_phrases(E.phrase_frequency(docs(s, d))), None),
 }
