@@ -3,6 +3,7 @@
 import random
 
 from tidemark import registry
+from tidemark.functions import text as T
 from tidemark.operators import folds
 
 SMALL = "/root/testdata/sf0.001"
@@ -61,3 +62,11 @@ def test_greedy_phrases_counts_all_languages(spark):
     q = registry.queries()
     rows = [(r["phrase"], r["words"], r["n"]) for r in q["agg16_phrase_frequency"](spark, SMALL).collect()]
     assert sorted(tuple(r) for r in q["topk05_greedy_phrases"](spark, SMALL).collect()) == greedy(rows, 12)
+
+
+def test_headline_key(spark):
+    same = "x" * 70
+    cases = [f"{same} one", f"{same} two", "Acme buys Bolt - Daily News", "Acme buys Bolt!", "a-b", "Q1 | Wire"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
+    got = {r["i"]: r["k"] for r in df.select("i", T.headline_key(df["t"]).alias("k")).collect()}
+    assert [got[i] for i in range(6)] == [f"{same} one", f"{same} two", "acme buys bolt", "acme buys bolt", "a b", "q1"]

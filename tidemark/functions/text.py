@@ -35,6 +35,12 @@ def fingerprint(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+def headline_key(title: Column) -> Column:
+    """Identity of a headline: a trailing ' - Publisher' gone, letters and digits of the rest; nothing is cut."""
+    bare = F.regexp_replace(title, r"[\s\p{Z}]+[-–—|][\s\p{Z}]+[^-–—|]{2,40}\z", "")
+    return F.trim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "))
+
+
 def shingles(sentence: Column, n: int = 8) -> Column:
     """Overlapping runs of n words of a sentence's fingerprint; a shorter one is its own; none of an empty one."""
     held = F.split(fingerprint(sentence), " ")
