@@ -5,6 +5,7 @@ import random
 from tidemark import registry
 from tidemark.functions import text as T
 from tidemark.operators import folds
+from tidemark.plans import feeds
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -70,3 +71,10 @@ def test_headline_key(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
     got = {r["i"]: r["k"] for r in df.select("i", T.headline_key(df["t"]).alias("k")).collect()}
     assert [got[i] for i in range(6)] == [f"{same} one", f"{same} two", "acme buys bolt", "acme buys bolt", "a b", "q1"]
+
+
+def test_feeds_stay_small(spark, tmp_path):
+    spark.range(12_000).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    for make, sign in ((feeds.rss, "<item>"), (feeds.news_body, '"title"')):
+        counts = [r["raw"].count(sign) for r in make(spark, str(tmp_path)).collect()]
+        assert sum(counts) == 12_000 and len(counts) == 24 and max(counts) == 500

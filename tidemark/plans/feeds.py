@@ -16,6 +16,9 @@ from tidemark.sources import parsers as S
 RULES = [("guidance", "positive", 0.8, r"\b(the|and)\b.*\bof\b", r"\bnot\b"), ("litigation", "negative", 0.7, r"ing\b", None), ("backlog", "mixed", 0.5, r"\d", r"@")]
 SENTENCES = f"SELECT doc_id, i AS pos, l[i] AS sentence FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {s_sentences('text')} AS l FROM documents))"
 
+#: Ids of documents that share a feed or page, so that feeds grow in number and not in size.
+ITEMS = 500
+
 
 def sentences(s, d):
     return table(s, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
@@ -41,12 +44,12 @@ def tuples(s, d):
 
 def news_body(s, d):
     hit = F.struct(F.substring("text", 1, 40).alias("title"), F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit("https://www.host"), (F.col("doc_id") % 7).cast("string"), F.lit(".com/a?d="), F.col("doc_id").cast("string"))).alias("link"), F.col("source"), F.lit("2 days ago").alias("date"))
-    return table(s, d, "documents").groupBy((F.col("doc_id") % 50).alias("page")).agg(F.to_json(F.struct(F.collect_list(hit).alias("news_results"))).alias("raw"))
+    return table(s, d, "documents").groupBy(F.floor(F.col("doc_id") / ITEMS).alias("page")).agg(F.to_json(F.struct(F.collect_list(hit).alias("news_results"))).alias("raw"))
 
 
 def rss(s, d):
     item = F.concat(F.lit("<item><title><![CDATA["), F.col("source"), F.lit(" & "), F.col("doc_id").cast("string"), F.lit("]]></title><link>https://h.com/"), F.col("doc_id").cast("string"), F.lit("</link><pubDate>Mon</pubDate><source url='x'>"), F.col("lang"), F.lit("</source>"), F.when(F.col("doc_id") % 2 == 0, F.lit('<enclosure url="https://h.com/a.mp3" length="1" type="audio/mpeg"/>')).otherwise(F.lit('<enclosure url="https://h.com/a.png" type="image/png"/>')), F.lit("</item>"))
-    return table(s, d, "documents").groupBy((F.col("doc_id") % 20).alias("feed")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), "\n"), F.lit("</channel></rss>")).alias("raw"))
+    return table(s, d, "documents").groupBy(F.floor(F.col("doc_id") / ITEMS).alias("feed")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), "\n"), F.lit("</channel></rss>")).alias("raw"))
 
 
 def facts_raw(s, d):
