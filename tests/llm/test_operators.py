@@ -106,6 +106,12 @@ def test_topk(spark):
     assert topk_search.top_k(df.filter("false"), F.lit(True)).collect() == []
 
 
+def test_topk_fails_on_large_components(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [70_000.0, 1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="too large"):
+        topk_search.top_k(df, F.col("vec_id") == 0, k=1).collect()
+
+
 def test_imatch(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(2000)]

@@ -41,9 +41,10 @@ def features(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def usable(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """(vec_id, v): vectors as scaled integers; null, empty, non-finite or too large ones are left out."""
-    x = F.transform(F.col(vector), lambda c: F.floor(c.cast("double") * scale))
-    whole = F.forall(F.col(vector), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double") * scale) <= LARGEST))
+    """(vec_id, v): vectors as scaled integers; null, empty or non-finite ones are left out, one whose products can't fit a long fails the query."""
+    large = F.raise_error(F.lit("a component of a vector is too large for exact products")).cast("long")
+    x = F.transform(F.col(vector), lambda c: F.when(F.abs(c.cast("double") * scale) > LARGEST, large).otherwise(F.floor(c.cast("double") * scale)))
+    whole = F.forall(F.col(vector), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     rows = df.filter(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & F.coalesce(whole, F.lit(False)))
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), x.cast("array<long>").alias("v"))
 
