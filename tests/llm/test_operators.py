@@ -84,10 +84,23 @@ def test_materialise_round_trip(spark, tmp_path):
     assert [zlib.crc32(b) for b in read.ids] == index.crc32.tolist()
     part = materialise.read_slots(spark, folder, 5, 9, length=32, per_shard=7).toPandas().sort_values("slot")
     assert part.ids.tolist() == read.ids.tolist()[5:9]
+    df = materialise.materialise(docs, BPE, f"{folder}-2", "k", length=32, per_shard=7)
+    stamps = {f: f.stat().st_mtime_ns for f in (tmp_path / "shards-2").iterdir()}
+    assert len(df.limit(1).collect()) == 1 and df.count() == n and {f: f.stat().st_mtime_ns for f in (tmp_path / "shards-2").iterdir()} == stamps
+    none = materialise.materialise(docs.filter("false"), BPE, f"{folder}-3", "k", length=32, per_shard=7)
+    assert none.collect() == [] and not (tmp_path / "shards-3").exists()
     bpe = ByteBPE(BPE)
     assert sum(index.n_tokens) == sum(len(bpe.ids(t or "")) + 1 for t in rows)
 
 
+def test_coder():
+    rng = np.random.default_rng(1)
+    coder = materialise.Coder(rng.permutation(60_000), 500)
+    for high in (100, 20_000, 60_000):
+        ids = rng.integers(0, high, 500)
+        assert coder.unpack(coder.pack(ids), "<u2") == ids.astype("<u2").tobytes()
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(400, 20)).astype(np.float32)

@@ -10,6 +10,10 @@ computed from the other. Slots are dealt in ranges of `per_shard`; each shard
 is one file of fixed stride, so slot s begins at byte
 (s mod per_shard) * length * width of shard s div per_shard, and a reader
 resumes at any slot by one seek.
+
+What is settled and moved before the shards is coded: ids are numbered by
+their frequency in a bounded sample, frequent ones take one byte, and the
+bytes go through zstd.
 """
 
 from __future__ import annotations
@@ -33,6 +37,11 @@ from tidemark.session import settle_table
 ROUNDS = 4
 #: Tasks whose first numbers are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_TASKS = 1_000_000
+#: Texts whose ids are counted to number ids by frequency; only the size of the coded sequences depends on them.
+SAMPLE = 2000
+#: Ranks of one byte, and ranks of two: a first byte of ONE..254 and a second one. Others are 255 and four bytes.
+ONE = 192
+TWO = ONE + (255 - ONE) * 256
 
 
 def round_keys(key: str) -> np.ndarray:
@@ -67,16 +76,62 @@ def permute(index: np.ndarray, n: int, key: str, inverse: bool = False) -> np.nd
     return out.astype(np.int64)
 
 
-def token_blocks(docs: DataFrame, tokenizer_file: str, length: int = 1024, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(task, nth, first_doc, n_tokens, packed): the tasks' streams in sequences of `length` ids of 2 bytes each, 4 if the vocabulary needs it.
+class Coder:
+    """Sequences of `length` ids as bytes and back, by the rank of each id."""
 
-    packed is a sequence's ids under zstd: what is written and moved before
-    the shards is then half as much.
-    """
+    def __init__(self, ranks: np.ndarray, length: int):
+        self.rank, self.length = ranks, length
+        self.id = np.empty(len(ranks), "<u4")
+        self.id[ranks] = np.arange(len(ranks), dtype="<u4")
+        self.zip, self.unzip = zstandard.ZstdCompressor(level=3, write_content_size=True).compress, zstandard.ZstdDecompressor().decompress
+
+    def pack(self, ids: np.ndarray) -> bytes:
+        r = self.rank[ids]
+        first = np.where(r < ONE, r, np.where(r < TWO, ONE + ((r - ONE) >> 8), 255)).astype(np.uint8)
+        second = ((r[(r >= ONE) & (r < TWO)] - ONE) & 255).astype(np.uint8)
+        return self.zip(first.tobytes() + second.tobytes() + r[r >= TWO].astype("<u4").tobytes())
+
+    def unpack(self, data: bytes, wide: str) -> bytes:
+        raw = np.frombuffer(self.unzip(data), np.uint8)
+        first = raw[: self.length].astype(np.int64)
+        two, far = (first >= ONE) & (first < 255), first == 255
+        n = self.length + int(two.sum())
+        first[two] = ONE + ((first[two] - ONE) << 8) + raw[self.length : n]
+        first[far] = np.frombuffer(raw[n:].tobytes(), "<u4")
+        return self.id[first].astype(wide).tobytes()
+
+
+def width_of(bpe: ByteBPE) -> str:
+    return "<u4" if bpe.fast.max_token_value >= 1 << 16 else "<u2"
+
+
+def id_ranks(docs: DataFrame, tokenizer_file: str, text: str = "text") -> np.ndarray:
+    """The rank of each id of the vocabulary by its frequency in SAMPLE texts; unseen ids follow in order."""
+
+    def work(batches):
+        bpe = ByteBPE(tokenizer_file)
+        seen = np.zeros(bpe.fast.max_token_value + 1, np.int64)
+        for piece in slices(batches):
+            for t in piece.column(0).to_pylist():
+                seen += np.bincount(bpe.ids(t or ""), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["id", "n"])
+
+    found = docs.select(text).limit(SAMPLE).mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # the vocabulary at most
+    seen = np.zeros(ByteBPE(tokenizer_file).fast.max_token_value + 1, np.int64)
+    seen[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    ranks = np.empty(len(seen), np.int64)
+    ranks[np.argsort(-seen, kind="stable")] = np.arange(len(seen))
+    return ranks
+
+
+def token_blocks(docs: DataFrame, tokenizer_file: str, ranks: np.ndarray, length: int = 1024, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(task, nth, first_doc, n_tokens, packed): the tasks' streams in sequences of `length` ids, coded by Coder(ranks, length)."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # 8 bytes an id of the vocabulary
 
     def work(batches):
-        bpe, task, pack = ByteBPE(tokenizer_file), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3, write_content_size=True).compress
-        wide = "<u4" if bpe.fast.max_token_value >= 1 << 16 else "<u2"
+        bpe, task, pack = ByteBPE(tokenizer_file), TaskContext.get().partitionId(), Coder(shared.value, length).pack
+        wide = width_of(bpe)
         held, first, nth = np.empty(0, wide), None, 0
 
         def out(rows):
@@ -89,12 +144,12 @@ def token_blocks(docs: DataFrame, tokenizer_file: str, length: int = 1024, end_i
                 held = np.concatenate([held, np.append(bpe.ids(t or ""), end_id).astype(wide)])
                 whole = len(held) // length
                 for i in range(whole):
-                    rows.append((task, nth, first if i == 0 else d, length, pack(held[i * length : (i + 1) * length].tobytes())))
+                    rows.append((task, nth, first if i == 0 else d, length, pack(held[i * length : (i + 1) * length])))
                     nth += 1
                 held, first = held[whole * length :], d if whole else first
             yield out(rows)
         if len(held):
-            yield out([(task, nth, first, len(held), pack(np.append(held, np.full(length - len(held), end_id, wide)).tobytes()))])
+            yield out([(task, nth, first, len(held), pack(np.append(held, np.full(length - len(held), end_id, wide))))])
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(work, "task long, nth long, first_doc long, n_tokens long, packed binary")
 
@@ -121,20 +176,22 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write_shards(ordered: DataFrame, folder: str, per_shard: int = 8192) -> DataFrame:
+def write_shards(ordered: DataFrame, folder: str, ranks: np.ndarray, wide: str, length: int = 1024, per_shard: int = 8192) -> DataFrame:
     """Write the shards as raw files of fixed stride; one row per record: slot, shard, at, first_doc, n_tokens, crc32.
 
     `folder` must be shared by the executors (a path or URI that pyarrow
     opens). Ranges of shards go to tasks, each writes its shards one after
     the other, under another name until a shard is whole; a task that runs
-    again replaces its files by the same bytes. Files are written when the
-    result is computed.
+    again replaces its files by the same bytes. All files are written before
+    the result is returned, which reads a settled table: a limit or a second
+    action writes nothing.
     """
+    shared = ordered.sparkSession.sparkContext.broadcast(ranks)
 
     def work(batches):
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        mine, sink, at, unpack = f"{TaskContext.get().taskAttemptId()}", None, -1, zstandard.ZstdDecompressor().decompress
+        mine, sink, at, unpack = f"{TaskContext.get().taskAttemptId()}", None, -1, Coder(shared.value, length).unpack
 
         def close():
             if sink is not None:
@@ -143,7 +200,7 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = 8192) -> Data
 
         for piece in slices(batches):
             slots, shards, ids = (piece.column(i).to_pylist() for i in (0, 1, 4))
-            ids = list(map(unpack, ids))
+            ids = [unpack(x, wide) for x in ids]
             for shard, data in zip(shards, ids, strict=True):
                 if shard != at:
                     close()
@@ -158,7 +215,7 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = 8192) -> Data
 
     tasks = max(1, int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = ordered.select("slot", "shard", "first_doc", "n_tokens", "packed").repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
-    return dealt.mapInArrow(work, "slot long, shard long, at long, first_doc long, n_tokens long, crc32 long")
+    return settle_table(dealt.mapInArrow(work, "slot long, shard long, at long, first_doc long, n_tokens long, crc32 long"))
 
 
 def read_slots(spark: SparkSession, folder: str, start: int, stop: int, length: int = 1024, width: int = 2, per_shard: int = 8192) -> DataFrame:
@@ -187,4 +244,6 @@ def materialise(docs: DataFrame, tokenizer_file: str, folder: str, key: str, len
     that goes on there if none begins earlier. Null and empty texts are one
     end id; repeated rows are written each; an empty table writes no file.
     """
-    return write_shards(training_order(settle_table(token_blocks(docs, tokenizer_file, length, end_id), "none"), key, per_shard), folder, per_shard)
+    ranks = id_ranks(docs, tokenizer_file)
+    blocks = settle_table(token_blocks(docs, tokenizer_file, ranks, length, end_id), "none")
+    return write_shards(training_order(blocks, key, per_shard), folder, ranks, width_of(ByteBPE(tokenizer_file)), length, per_shard)
