@@ -37,7 +37,7 @@ from tidemark.session import settle_table
 ROUNDS = 4
 #: Tasks whose first numbers are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_TASKS = 1_000_000
-#: Texts whose ids are counted to number ids by frequency; only the size of the coded sequences depends on them.
+#: Texts, about, whose ids are counted to number ids by frequency; only the size of the coded sequences depends on them.
 SAMPLE = 2000
 #: Ranks of one byte, and ranks of two: a first byte of ONE..254 and a second one. Others are 255 and four bytes.
 ONE = 192
@@ -105,8 +105,8 @@ def width_of(bpe: ByteBPE) -> str:
     return "<u4" if bpe.fast.max_token_value >= 1 << 16 else "<u2"
 
 
-def id_ranks(docs: DataFrame, tokenizer_file: str, text: str = "text") -> np.ndarray:
-    """The rank of each id of the vocabulary by its frequency in SAMPLE texts; unseen ids follow in order."""
+def id_ranks(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """The rank of each id of the vocabulary by its frequency in some SAMPLE texts, those of a range of hashes of the id; unseen ids follow in order."""
 
     def work(batches):
         bpe = ByteBPE(tokenizer_file)
@@ -117,7 +117,8 @@ def id_ranks(docs: DataFrame, tokenizer_file: str, text: str = "text") -> np.nda
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["id", "n"])
 
-    found = docs.select(text).limit(SAMPLE).mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # the vocabulary at most
+    some = docs.filter(F.pmod(F.xxhash64(doc_id), F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    found = some.select(text).mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # the vocabulary at most
     seen = np.zeros(ByteBPE(tokenizer_file).fast.max_token_value + 1, np.int64)
     seen[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     ranks = np.empty(len(seen), np.int64)
