@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tidemark.llm.components import components
-from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.jaccard_join import jaccard_components, schemes
 
 
 def brute(rows, width, num, den):
@@ -77,3 +77,16 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = dict(map(tuple, components(edges).collect()))
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_ids_over_the_whole_range(spark):
+    """Crowded near copies with ids at both ends of a long."""
+    rows = [((-1) ** i * (2**63 - 1 - i), t) for i, t in corpus(3)[:120]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {tuple(r) for r in jaccard_components(df, 3, 90, 100).collect()} == brute(rows, 3, 90, 100)
+
+
+def test_bands_hold_any_text():
+    for num, den in ((90, 100), (80, 100), (1, 2)):
+        assert len(schemes(num, den)) < 64 and schemes(num, den)[-1].high >= 1 << 31
+        assert all(a.high + 1 == b.low for a, b in zip(schemes(num, den), schemes(num, den)[1:], strict=False))

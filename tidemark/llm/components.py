@@ -13,8 +13,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round links every node to the smallest of its neighbourhood, first
     the larger neighbours and then the smaller ones, until all links go
-    straight to the smallest node of a component. Links are settled each
-    round; nothing but counts reaches the driver. Null ends and loops count
+    straight to the smallest node of a component. Nodes may be of any type that
+    has an order, structs too. Links are settled each round; nothing but counts reaches the driver. Null ends and loops count
     for nothing.
     """
     links = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()

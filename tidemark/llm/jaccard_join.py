@@ -40,7 +40,7 @@ U = np.uint64
 CROWD = 8
 #: Digests that a task remembers to send the entries of equal sets once.
 KEPT = 400_000
-#: Clusters with a member far from its leader that are broadcast (8 bytes each); more are joined by a shuffle.
+#: Clusters with a member far from its leader that are broadcast (12 bytes each); more are joined by a shuffle.
 MOST_OPEN = 1_000_000
 
 
@@ -104,7 +104,8 @@ class Scheme:
 
 
 @lru_cache
-def schemes(num: int, den: int, largest: int = 1 << 26) -> tuple[Scheme, ...]:
+def schemes(num: int, den: int, largest: int = 1 << 31) -> tuple[Scheme, ...]:
+    """Bands up to more shingles than a string can hold: under 64 of them, as `tag` needs."""
     out, low = [], 1
     while low <= largest:
         high = max(low, low * 3 // 2 - 1)
@@ -360,43 +361,44 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def differences(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(cluster, rep, element, size, most, near): the elements in which a member differs from its cluster's leader.
+    """(band, leader, rep, element, size, most, near): the elements in which a member differs from its cluster's leader.
 
     near: the two link. most: differences that a link of the member allows.
     A member equal to its leader gives no row.
     """
     own = sets.select("rep", F.col("elements").alias("mine"))
     led = sets.select(F.col("rep").alias("leader"), F.col("elements").alias("led"))
-    rows = members.join(own, "rep").join(led, "leader").select("cluster", "rep", "mine", "led")
+    rows = members.join(own, "rep").join(led, "leader").select("band", "leader", "rep", "mine", "led")
 
     def work(batches):
         for piece in slices(batches, 64):
-            out: list[list] = [[], [], [], [], [], []]
-            for cluster, rep, mine, led in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for band, leader, rep, mine, led in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                 x, y = np.frombuffer(mine, U), np.frombuffer(led, U)
                 d = np.setxor1d(x, y, assume_unique=True)
                 both = (len(x) + len(y) - len(d)) // 2
                 near = den * both >= num * (len(x) + len(y) - both)
                 most = len(x) * (den - num) // num
-                for column, value in zip(out, (np.full(len(d), cluster), np.full(len(d), rep), d.view(np.int64), np.full(len(d), len(d)), np.full(len(d), most), np.full(len(d), near)), strict=True):
+                n = len(d)
+                for column, value in zip(out, (np.full(n, band), np.full(n, leader), np.full(n, rep), d.view(np.int64), np.full(n, n), np.full(n, most), np.full(n, near)), strict=True):
                     column.append(value)
-            types = (np.int64, np.int64, np.int64, np.int64, np.int64, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, t), *c]).astype(t)) for c, t in zip(out, types, strict=True)], ["cluster", "rep", "element", "size", "most", "near"])
+            types = (np.int32, np.int64, np.int64, np.int64, np.int64, np.int64, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, t), *c]).astype(t)) for c, t in zip(out, types, strict=True)], ["band", "leader", "rep", "element", "size", "most", "near"])
 
-    return rows.mapInArrow(work, "cluster long, rep long, element long, size long, most long, near boolean")
+    return rows.mapInArrow(work, "band int, leader long, rep long, element long, size long, most long, near boolean")
 
 
 def crowded_members(crowded: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cluster, rep, leader) of the sets that crowded entries (entry, node) hold together: leaders included, entries within a set's slack left out."""
+    """(band, leader, rep) of the sets that crowded entries (entry, node) hold together: leaders included, entries within a set's slack left out."""
     names = classes.select(F.col("lo").alias("node"), "rep", "spare")
     low, weight = F.col("entry").bitwiseAND(63 | 128).cast("int"), F.when(F.col("entry").bitwiseAND(64) == 64, 2).otherwise(1)
     rows = crowded.join(names, "node").select("entry", "rep", low.alias("scheme"), weight.alias("weight"), "spare")
     load = rows.groupBy("rep", "scheme").agg(F.sum("weight").alias("load"), F.first("spare").alias("spare"))
     kept = load.filter(F.col("load") > F.coalesce(F.element_at("spare", F.col("scheme")), F.lit(-1))).select("rep", "scheme")
     rows = rows.select("entry", "rep", "scheme").join(kept, ["rep", "scheme"])
-    member = F.col("rep") * 64 + F.col("scheme").bitwiseAND(63)
+    member = F.struct(F.col("scheme").bitwiseAND(63).alias("band"), "rep")
     meet = rows.groupBy("entry").agg(F.min(member).alias("b")).join(rows.select("entry", member.alias("a")), "entry").select("a", "b").distinct()
-    return components(meet).select(F.col("component").alias("cluster"), F.floor(F.col("node") / 64).alias("rep"), F.floor(F.col("component") / 64).alias("leader"))
+    return components(meet).select("component.band", F.col("component.rep").alias("leader"), "node.rep")
 
 
 def crowded_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -410,20 +412,21 @@ def crowded_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> tu
     first, the first common one stands early for both: only such places are
     joined, not all pairs.
     """
+    cluster = ["band", "leader"]
     away = settle_table(differences(members.filter("rep <> leader"), sets, num, den), "lz4")
-    led = away.filter("near").select(F.floor(F.col("cluster") / 64).alias("a"), F.col("rep").alias("b")).distinct()
-    open_ = settle(away.filter("NOT near").select("cluster").distinct())
+    led = away.filter("near").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    open_ = settle(away.filter("NOT near").select(*cluster).distinct())
     if open_.count() <= MOST_OPEN:
         open_ = F.broadcast(open_)
-    away = away.join(open_, "cluster", "left_semi")
-    counted = away.join(away.groupBy("cluster", "element").agg(F.count("*").alias("n")).filter("n > 1"), ["cluster", "element"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy("cluster", "rep").orderBy("n", "element"))
+    away = away.join(open_, cluster, "left_semi")
+    counted = away.join(away.groupBy(*cluster, "element").agg(F.count("*").alias("n")).filter("n > 1"), [*cluster, "element"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy(*cluster, "rep").orderBy("n", "element"))
     ranked = counted.withColumn("rank", rank).filter("n > 1")
-    other = ranked.filter("2 * (rank - 1) <= most").select("cluster", "element", *[F.col(c).alias(f"{c}_b") for c in ("rep", "size", "most", "near", "rank")])
+    other = ranked.filter("2 * (rank - 1) <= most").select(*cluster, "element", *[F.col(c).alias(f"{c}_b") for c in ("rep", "size", "most", "near", "rank")])
     most = F.least("most", "most_b")
     early = (2 * (F.col("rank") - 1) <= F.col("size") - F.col("size_b") + most) & (2 * (F.col("rank_b") - 1) <= F.col("size_b") - F.col("size") + most)
     ahead = (F.col("size") > F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("rep") > F.col("rep_b")))
-    pairs = other.join(ranked, ["cluster", "element"]).filter(early & ahead & ~(F.col("near") & F.col("near_b"))).select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
+    pairs = other.join(ranked, [*cluster, "element"]).filter(early & ahead & ~(F.col("near") & F.col("near_b"))).select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
     return led, pairs
 
 
