@@ -4,14 +4,17 @@ Terms whose inverse document frequency lies in a band form the lexicon. A
 text's fingerprint hashes its sorted distinct lexicon terms, once whole and
 once for each of several randomised sub-lexicons of different density, so
 that texts which share much agree on some of them. The lexicon holds every
-term of the band and is looked up by hashed slot in a string of bits that
-each task gets with the plan, 32 slots a term; a slot shared with a term
-outside the band lets that term in, alike in every text.
+term of the band and is looked up in a string of bits that each task gets
+with the plan, 32 slots a term and PROBES slots looked at; one in some
+5,000 terms outside the band is let in by others' slots, alike in every text.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -19,10 +22,13 @@ from pyspark.sql import functions as F
 
 #: Slots of the lexicon for each of its terms, and slots held by a byte: seven, so that each byte is an ASCII sign.
 SLOTS, BITS = 32, 7
-#: Sub-lexicons: (bits that must be zero, first bit), 2^-bits of the lexicon each.
-LEXICONS = [(bits, first) for bits in (4, 5, 6, 7, 8, 9, 10) for first in range(0, 56, 7)]
-#: Documents of a run of ids that a task looks at together, and runs at most.
-RUN, RUNS = 1000, 65_536
+#: Slots that a term sets and that all must be set to find it; none but the first is looked at for most terms outside.
+PROBES = 4
+SHIFT = 13
+#: Sub-lexicons: the first of the hash bits that must be zero, and how many of them: 2^-bits of the lexicon each.
+FIRSTS, DENSITIES = range(0, 56, 7), (4, 5, 6, 7, 8, 9, 10)
+#: Documents of a run of ids that a task looks at together; STEPS * STEPS runs at most.
+RUN, STEPS = 1000, 256
 
 
 def terms(text: Column) -> Column:
@@ -44,33 +50,51 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = 0.15, high: float
         idf = F.log(F.lit(float(n)) / F.col("df")) / math.log(n)
         held = df.filter(idf.between(low, high)).select("term").toArrow()["term"].to_numpy()
     table = np.zeros(max(1, -(-SLOTS * len(held) // BITS)), dtype=np.uint8)
-    slot = held % (len(table) * BITS)
-    np.bitwise_or.at(table, slot // BITS, np.left_shift(1, slot % BITS).astype(np.uint8))
+    with np.errstate(over="ignore"):
+        for i in range(PROBES):
+            slot = (held ^ (held >> np.int64(SHIFT * i)) if i else held) % (len(table) * BITS)
+            np.bitwise_or.at(table, slot // BITS, np.left_shift(1, slot % BITS).astype(np.uint8))
     return table.tobytes()
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def marks(text: Column, lex: bytes) -> Column:
     """The sorted hashes that stand for a text: lexicon terms, else all terms, else the text itself."""
-    every = terms(text)
 
-    def held(h: Column) -> Column:
+    def probe(h: Column) -> Column:
         slot = F.pmod(h, F.lit(len(lex) * BITS))
         byte = F.ascii(F.substr(F.lit(lex), F.floor(slot / BITS).cast("int") + 1, F.lit(1)).cast("string"))
         return F.getbit(byte, F.pmod(slot, F.lit(BITS)).cast("int")) == 1
 
-    inside = F.filter(every, held)
-    return F.sort_array(F.when(F.size(inside) > 0, inside).when(F.size(every) > 0, every).otherwise(F.array(F.xxhash64(text))))
+    def held(h: Column) -> Column:
+        return reduce(lambda a, i: a & probe(h.bitwiseXOR(F.shiftright(h, SHIFT * i))), range(1, PROBES), probe(h))
+
+    def chosen(every: Column) -> Column:
+        return bound(F.filter(every, held), lambda inside: F.when(F.size(inside) > 0, inside).when(F.size(every) > 0, every).otherwise(F.array(F.xxhash64(text))))
+
+    return F.sort_array(bound(terms(text), chosen))
 
 
 def hashes(sorted_marks: Column) -> Column:
-    """The whole fingerprint's hash, then one for each sub-lexicon; null where a sub-lexicon has none of the terms."""
-    subsets = F.array(*[F.struct(F.lit((1 << bits) - 1).cast("long").alias("mask"), F.lit(first).alias("first")) for bits, first in LEXICONS])
+    """The whole fingerprint's hash, then one for each sub-lexicon; null where a sub-lexicon has none of the terms.
+
+    Sub-lexicons of the same first bit lie in one another, so each denser one is cut down from the first.
+    """
 
-    def one(k: Column) -> Column:
-        kept = F.filter(sorted_marks, lambda h: F.call_function("shiftright", h, k["first"]).bitwiseAND(k["mask"]) == 0)
+    def keep(hs: Column, first: Column, bits: int) -> Column:
+        return F.filter(hs, lambda h: F.call_function("shiftright", h, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) == 0)
+
+    def one(kept: Column) -> Column:
         return F.when(F.size(kept) > 0, F.xxhash64(kept))
 
-    return F.concat(F.array(F.xxhash64(sorted_marks)), F.transform(subsets, one))
+    def family(first: Column) -> Column:
+        return bound(keep(sorted_marks, first, DENSITIES[0]), lambda k: F.array(one(k), *[bound(keep(k, first, bits), one) for bits in DENSITIES[1:]]))
+
+    return F.concat(F.array(F.xxhash64(sorted_marks)), F.flatten(F.transform(F.array(*map(F.lit, FIRSTS)), family)))
 
 
 def digest(h: Column) -> Column:
@@ -91,28 +115,56 @@ def fingerprints(docs: DataFrame, lex: bytes, text: str = "text") -> DataFrame:
     return held.withColumn("fingerprint", digest(hashes(F.col("_marks")))).drop("_marks")
 
 
+def quantiles(rows: DataFrame, order: str, parts: int) -> list[int]:
+    """Distinct bounds that part the ids into `parts` of about equal size."""
+    probs = [i / parts for i in range(1, parts)]
+    found = rows.agg(F.percentile_approx(order, probs, 10_000)).first()[0] if probs else None
+    return sorted(set(found or []))
+
+
+def runs_of(rows: DataFrame, order: str) -> Column:
+    """The run of an id: a number that grows with the id, for runs of about RUN rows wherever the ids lie; null ids are the last run.
+
+    Bounds are quantiles, first of all ids and then of each part's: STEPS * STEPS numbers at most on the driver.
+    """
+    n = rows.count()
+    coarse = quantiles(rows, order, min(STEPS, -(-n // RUN)))
+    steps = min(STEPS, -(-n // (RUN * (len(coarse) + 1))))
+    ids = F.col(order)
+
+    def place(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda b: b <= ids))
+
+    def given(bounds: list) -> Column:
+        return F.from_json(F.lit(json.dumps(bounds)), "array<bigint>" if not bounds or isinstance(bounds[0], int) else "array<array<bigint>>")
+
+    part = place(given(coarse))
+    if steps <= 1:
+        run = part
+    else:
+        probs = [i / steps for i in range(1, steps)]
+        found = {r["part"]: sorted(set(r["b"])) for r in rows.filter(ids.isNotNull()).groupBy(part.alias("part")).agg(F.percentile_approx(order, probs, 10_000).alias("b")).collect()}
+        run = part * STEPS + place(F.get(given([found.get(i, []) for i in range(len(coarse) + 1)]), part))
+    return F.when(ids.isNull(), STEPS * STEPS).otherwise(run).cast("long")
+
+
 def with_next(rows: DataFrame, columns: list[str], order: str = "doc_id") -> DataFrame:
     """rows with next_<column> of the row that follows by `order`; the first follows the last.
 
-    Ids are dealt in runs of about RUN rows (RUNS runs at most, by ranges of
-    ids); each run also gets a copy of the row that begins the next one, so no
-    task looks beyond its run. Null ids come last; equal ids follow each other
-    by the first column named.
+    Ids are dealt in runs; each run also gets a copy of the row that begins
+    the next one, so no task looks beyond its run. Null ids come last; equal
+    ids follow each other by the first column named.
     """
-    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
-    low, high = low or 0, high or 0
-    runs = max(1, min(RUNS, -(-n // RUN)))
-    width = max(1, -(-(high - low + 2) // runs))
-    rows = rows.withColumn("_at", F.coalesce(F.col(order), F.lit(high + 1)))
-    run = F.floor((F.col("_at") - low) / width).cast("long")
-    starts = rows.groupBy(run.alias("_run")).agg(F.min("_at").alias("_at"))  # RUNS rows at most
+    run = runs_of(rows, order)
+    starts = rows.groupBy(run.alias("_run")).agg(F.min(order).alias("_start"))  # a row a run
     last = F.max("_run").over(Window.partitionBy(F.lit(0)))
-    starts = starts.select("_at", F.coalesce(F.lag("_run").over(Window.partitionBy(F.lit(0)).orderBy("_run")), last).alias("_before"))
-    dealt = rows.join(F.broadcast(starts), "_at", "left").withColumn("_copy", F.explode(F.when(F.col("_before").isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    starts = starts.select("_start", F.coalesce(F.lag("_run").over(Window.partitionBy(F.lit(0)).orderBy("_run")), last).alias("_before"))
+    dealt = rows.join(F.broadcast(starts), F.col(order).eqNullSafe(F.col("_start")), "left")
+    dealt = dealt.withColumn("_copy", F.explode(F.when(F.col("_before").isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
     dealt = dealt.withColumn("_run", F.when(F.col("_copy"), F.col("_before")).otherwise(run))
-    follows = Window.partitionBy("_run").orderBy("_copy", "_at", columns[0])
+    follows = Window.partitionBy("_run").orderBy("_copy", F.col(order).asc_nulls_last(), columns[0])
     out = dealt.select("*", *[F.lead(c).over(follows).alias(f"next_{c}") for c in columns])
-    return out.filter(~F.col("_copy")).drop("_at", "_before", "_copy", "_run")
+    return out.filter(~F.col("_copy")).drop("_start", "_before", "_copy", "_run")
 
 
 def edit_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
