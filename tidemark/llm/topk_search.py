@@ -7,7 +7,8 @@ distance |q - x|^2 turned round: both differ by (|q|^2 + |x|^2) / 2. Summed
 over segments this bounds the whole inner product; finer segments bound it
 closer. Each task scans its rows once against all queries of a block, drops
 pairs whose bound is under the query's k-th best score so far, coarse to
-fine, and computes exact integer products for the survivors.
+fine, and computes exact integer products for the survivors. The first
+bounds of all tasks are the k-th best scores in a sample of the candidates.
 
 Queries are taken in blocks of bounded size, read in the order of their ids;
 each block is one scan of the candidates with k rows a query and task out.
@@ -15,13 +16,15 @@ each block is one scan of the candidates with k rows a query and task out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Scaled components beyond this can't give an exact 64-bit product.
-LARGEST = 1 << 26
+#: Bytes of scaled queries of a block that the driver and each task hold, and rows of the sample that gives the first bounds.
+BLOCK_BYTES, SEEDS = 64 << 20, 4096
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -41,12 +44,12 @@ def features(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def usable(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """(vec_id, v): vectors as scaled integers; null, empty or non-finite ones are left out, one whose products can't fit a long fails the query."""
-    large = F.raise_error(F.lit("a component of a vector is too large for exact products")).cast("long")
-    x = F.transform(F.col(vector), lambda c: F.when(F.abs(c.cast("double") * scale) > LARGEST, large).otherwise(F.floor(c.cast("double") * scale)))
+    """(vec_id, v): vectors as scaled whole numbers, held as doubles, which are exact for them; null, empty or non-finite ones are left out."""
+    scaled = lambda c: c.cast("double") * scale
+    x = F.transform(F.col(vector), lambda c: F.when(F.abs(scaled(c)) < 2.0**53, F.floor(scaled(c)).cast("double")).otherwise(scaled(c)))  # larger doubles are whole
     whole = F.forall(F.col(vector), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     rows = df.filter(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & F.coalesce(whole, F.lit(False)))
-    return rows.select(F.col(vec_id).cast("long").alias("vec_id"), x.cast("array<long>").alias("v"))
+    return rows.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("v"))
 
 
 def matrix(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,54 +71,79 @@ def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.
     return q[keep], ids[keep], score[keep]
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers; one that fits no long is an error."""
+    dim = q.shape[1]
+    size = dim * np.abs(q).max(axis=1, initial=0) * np.abs(x).max(axis=1, initial=0)
+    if size.max(initial=0) < 1 << 53:
+        return np.einsum("ij,ij->i", q, x).astype(np.int64)
+    out = np.zeros(len(q), np.int64)
+    fits = size < 1 << 62
+    small = fits & (np.maximum(np.abs(q).max(axis=1), np.abs(x).max(axis=1)) < 1 << 62)
+    out[small] = np.einsum("ij,ij->i", q[small].astype(np.int64), x[small].astype(np.int64))
+    for i in np.flatnonzero(~small):
+        out[i] = sum(int(a) * int(b) for a, b in zip(q[i].tolist(), x[i].tolist(), strict=True))  # OverflowError beyond a long
+    return out
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, block: int = 16_384, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest products of each query with every other row.
 
-    Components are floor(scale * x). Ties go to the smaller id. Rows with a
+    Components are floor(scale * x), of any size: products beyond 62 bits are
+    summed as whole numbers of Python, and a score that fits no long fails
+    the query. Ties go to the smaller id. Rows with a
     null id or an unusable vector take no part, nor do vectors of another
     length than the query's. A query given by several equal rows counts once;
     a repeated candidate row is a result each time; no row with the query's
-    own id is a candidate. At most `block` queries are on the driver at once.
+    own id is a candidate. At most `block` queries, of BLOCK_BYTES in all, are
+    on the driver at once.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vector, scale)
     asked = usable(vectors.filter(is_query), vec_id, vector, scale).dropDuplicates(["vec_id"])
+    n, longest = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    block = max(1, min(block, BLOCK_BYTES // (8 * (longest or 1))))
+    seeds = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // SEEDS))) == 0)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def first(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
     scans, last = [], None
     while True:
-        page = (asked if last is None else asked.filter(F.col("vec_id") > last)).orderBy("vec_id").limit(block).collect()
-        if not page:
+        page = (asked if last is None else asked.filter(F.col("vec_id") > last)).orderBy("vec_id").limit(block).toArrow()
+        if not page.num_rows:
             break
-        last = page[-1]["vec_id"]
-        groups = {}
-        for r in page:
-            groups.setdefault(len(r["v"]), []).append(r)
-        queries = {d: (np.array([r["vec_id"] for r in g]), np.array([r["v"] for r in g], dtype=np.int64)) for d, g in groups.items()}
-        scans.append(rows.mapInArrow(_scan(spark.sparkContext.broadcast(queries), k), OUT))
-        if len(page) < block:
+        ids, v = page["vec_id"].to_numpy(), page["v"].combine_chunks()
+        last = int(ids[-1])
+        lengths = np.asarray(v.value_lengths())
+        queries = {int(d): (ids[lengths == d], matrix(v, d)[1]) for d in np.unique(lengths)}
+        unknown = {d: np.full(len(q[0]), -np.inf) for d, q in queries.items()}
+        shared = spark.sparkContext.broadcast((queries, unknown))
+        low = dict(first(seeds.mapInArrow(_scan(shared, k), OUT)).filter(F.col("rank") == k).select("query_id", "score").toArrow().to_pandas().itertuples(index=False))  # a number a query
+        known = {d: np.array([low.get(int(i), -np.inf) for i in q[0]], float) for d, q in queries.items()}
+        scans.append(rows.mapInArrow(_scan(spark.sparkContext.broadcast((queries, known)), k), OUT))
+        if page.num_rows < block:
             break
     if not scans:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = scans[0]
-    for other in scans[1:]:
-        found = found.unionByName(other)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return first(reduce(DataFrame.unionByName, scans)).select("query_id", "rank", "vec_id", "score")
 
 
 def _scan(shared, k: int):
     def run(batches):
-        state = {d: [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)] for d in shared.value}
-        bounds = {d: np.full(len(ids), -np.inf) for d, (ids, _) in shared.value.items()}
-        levels = {d: [features(q.astype(float), s) for s in segments(d)] for d, (_, q) in shared.value.items()}
+        asked, known = shared.value
+        state = {d: [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)] for d in asked}
+        bounds = {d: b.copy() for d, b in known.items()}
+        levels = {d: [features(q, s) for s in segments(d)] for d, (_, q) in asked.items()}
         for batch in batches:
-            for dim, (query_ids, q) in shared.value.items():
+            for dim, (query_ids, q) in asked.items():
                 at, x_all = matrix(batch.column(1), dim)
                 ids_all = np.asarray(batch.column(0))[at]
                 step = max(1, 4_000_000 // max(1, len(query_ids)))
                 for a in range(0, len(ids_all), step):
-                    x, ids = x_all[a : a + step].astype(np.int64), ids_all[a : a + step]
-                    exact = dim * int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) < 1 << 53
-                    fine = [features(x.astype(float), s) for s in segments(dim)]
+                    x, ids = x_all[a : a + step], ids_all[a : a + step]
+                    fine = [features(x, s) for s in segments(dim)]
                     slack = 1 + 1e-9 * dim * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0))
                     floor = bounds[dim] - slack  # rounding of the bounds never drops a pair
                     qi, xi = np.nonzero(levels[dim][0] @ fine[0].T >= floor[:, None])
@@ -124,17 +152,14 @@ def _scan(shared, k: int):
                         qi, xi = qi[keep], xi[keep]
                     other = query_ids[qi] != ids[xi]
                     qi, xi = qi[other], xi[other]
-                    kind = np.float64 if exact else np.int64
-                    score = np.concatenate([np.einsum("ij,ij->i", q[qi[b : b + 200_000]].astype(kind), x[xi[b : b + 200_000]].astype(kind)) for b in range(0, max(1, len(qi)), 200_000)]).astype(np.int64)
+                    score = np.concatenate([products(q[qi[b : b + 200_000]], x[xi[b : b + 200_000]]) for b in range(0, max(1, len(qi)), 200_000)])
                     s = state[dim]
                     state[dim] = s = list(best(np.r_[s[0], qi], np.r_[s[1], ids[xi]], np.r_[s[2], score], k))
                     n = np.bincount(s[0], minlength=len(query_ids))
-                    low = np.full(len(query_ids), -np.inf)
                     ends = np.cumsum(n) - 1
                     full = n >= k
-                    low[full] = s[2][ends[full]]
-                    bounds[dim] = low
-        for dim, (query_ids, _) in shared.value.items():
+                    bounds[dim][full] = np.maximum(bounds[dim][full], s[2][ends[full]])
+        for dim, (query_ids, _) in asked.items():
             s = state[dim]
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[s[0]]), pa.array(s[1]), pa.array(s[2])], ["query_id", "vec_id", "score"])
 
