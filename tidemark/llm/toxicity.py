@@ -1,16 +1,20 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Four transducers rewrite a clause's symbols one after the other and are
-composed into one: reported speech marks what follows a verb of saying,
-negation marks the next words, a target makes matches of its clause personal,
-and insults and threats carry the weights. The composed machine reads each
-clause that holds an insult or a threat and gives it a score; a text's score
-is a logistic function of its clauses' scores, calibrated on labelled texts.
+Four transducers rewrite a clause's symbols one after the other: a target
+makes insults and threats of its clause personal, whether it stands before or
+after them; reported speech marks what follows a verb of saying; negation
+marks the next words; and the last one weighs what is left. Since a target
+may follow, the first machine is a pair of transducers: one reads the clause
+from its end and marks matches with a target behind them, and the other three
+with the one that looks ahead of them are composed into one that reads on
+from the start. Clauses that hold an insult or a threat get a score; a text's
+score is a logistic function of its clauses' scores, calibrated on labelled
+texts.
 
 The insult lexicon is learned: words, and beginnings of words, that labelled
-toxic texts hold far more often than others (a lower bound of the log odds).
-Words of threat, targets, negation and reported speech are given below, and
-insults for a corpus without labels.
+toxic texts hold far more often than others (a lower bound of the log odds),
+besides a few that always count. Words of threat, targets, negation and
+reported speech are given below.
 """
 
 from __future__ import annotations
@@ -34,14 +38,30 @@ PREFIXES = (4, 5, 6)
 LEXICON = 8192
 KEPT = 400_000
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: Kinds after the backward reading: AIMED more than the kind for an insult or threat with a target behind it.
+AIMED = 6
 
 WORDS = {
-    THREAT: "kill killed destroy hurt punish attack burn crush beat töten schlagen tuer frapper matar golpear",
-    TARGET: "you your yours yourself u ur they them their he him his she her du dich dein ihr euch tu toi ton vous votre tú te eres usted ustedes",
-    NEGATION: "not no never isn't aren't wasn't don't doesn't didn't nobody neither nicht kein keine nie ne pas jamais ni nunca",
-    REPORT: "said says say quote quoted wrote claimed reported told alleged sagte schrieb dit écrit dijo escribió",
+    THREAT: """kill kills killed murder destroy hurt harm punish attack burn crush beat stab shoot strangle choke smash ruin slaughter
+        töten umbringen schlagen erschlagen erwürgen verprügeln zerstören vernichten verbrennen ermorden erschießen
+        tuer tuerai assassiner frapper battre détruire brûler étrangler écraser massacrer
+        matar mataré asesinar golpear destruir quemar apuñalar estrangular aplastar""",
+    TARGET: """you your yours yourself yourselves u ur ya they them their theirs he him his she her hers
+        du dich dir dein deine deiner deinen ihr euch euer eure sie ihn ihm ihnen
+        tu toi te ton ta tes vous votre vos eux lui leur
+        tú ti te tus usted ustedes vosotros vuestro ellos ellas él ella""",
+    NEGATION: """not no never none nor neither nobody nothing without cannot can't isn't aren't wasn't weren't don't doesn't didn't won't wouldn't shouldn't couldn't
+        nicht kein keine keinen keiner nie niemals niemand nichts ohne weder
+        ne pas jamais aucun aucune personne rien sans ni
+        nunca jamás nadie nada ningún ninguna sin tampoco""",
+    REPORT: """said says say saying quote quotes quoted wrote writes claimed claims reported reports told tells alleged stated called according
+        sagte sagt sagten schrieb schreibt behauptete behauptet berichtete erzählte nannte laut
+        dit disait écrit écrivait affirme affirmait raconte déclare selon
+        dijo dice decía escribió escribe afirmó afirma contó declaró según""",
 }
-DEFAULT_INSULTS = "idiot moron stupid trash scum loser pathetic worthless disgusting clown"
+#: Insults that always count, and their weight.
+BASE, BASE_WEIGHT = "idiot moron stupid trash scum loser pathetic worthless disgusting clown", 3.0
+THREAT_WEIGHT = 3.0
 
 
 @dataclass(frozen=True)
@@ -80,11 +100,11 @@ def negated(reach: int = 3) -> Transducer:
 
 
 def targeted() -> Transducer:
-    """Insults and threats after a target in the clause are aimed at it."""
+    """Insults and threats after a target in the reading are aimed at it."""
 
     def step(state, symbol):
         kind, *flags = symbol
-        if kind in (INSULT, THREAT) and state:
+        if kind in (INSULT, THREAT) and state and "targeted" not in flags:
             return state, (kind, *flags, "targeted"), 0.0
         return state or kind == TARGET, symbol, 0.0
 
@@ -117,18 +137,42 @@ def compose(first: Transducer, then: Transducer) -> Transducer:
 
 @functools.lru_cache
 def grammar() -> tuple[list[list[int]], list[list[float]], int]:
-    """Tables of the composed machine: next state and weight by state and symbol; the start's number."""
-    machine = functools.reduce(compose, (reported(), negated(), targeted(), weighed()))
+    """Tables of the composed forward machine: next state and weight by state and kind; the start's number.
+
+    A kind of AIMED or more is one that the backward reading has marked.
+    """
+    machine = functools.reduce(compose, (targeted(), reported(), negated(), weighed()))
     number = {s: i for i, s in enumerate(machine.states)}
-    steps = [[machine.step(s, (k,)) for k in range(6)] for s in machine.states]
+    symbols = [(k,) for k in range(AIMED)] + [(k, "targeted") for k in range(AIMED)]
+    steps = [[machine.step(s, x) for x in symbols] for s in machine.states]
     return [[number[t[0]] for t in row] for row in steps], [[t[2] for t in row] for row in steps], number[machine.start]
 
 
+def marked_backward(kinds: list[int]) -> list[int]:
+    """A clause's kinds after `targeted` has read them from the end."""
+    machine = targeted()
+    state, out = machine.start, []
+    for kind in reversed(kinds):
+        state, symbol, _ = machine.step(state, (kind,))
+        out.append(kind + AIMED * (len(symbol) > 1))
+    return out[::-1]
+
+
+def clause_score(clause: list[tuple[int, float, bool]]) -> float:
+    """The score of one clause by the backward and then the forward machine."""
+    step, gain, state = grammar()
+    total = 0.0
+    for kind, (_, weight, _) in zip(marked_backward([c[0] for c in clause]), clause, strict=True):
+        total += gain[state][kind] * weight
+        state = step[state][kind]
+    return total
+
+
 class Lexicon(dict):
     """What a white-space token is: (kind, weight, whether it ends a clause)."""
 
     def __init__(self, insults: dict[str, float]):
-        self.insults = insults
+        self.insults = {w: BASE_WEIGHT for w in BASE.split()} | insults
         self.fixed = {w: k for k, ws in WORDS.items() for w in ws.split()}
 
     def __missing__(self, token: str) -> tuple[int, float, bool]:
@@ -136,7 +180,7 @@ class Lexicon(dict):
         word = bare(token)
         weight = max((self.insults.get(key, 0.0) for key in keys(word)), default=0.0)
         kind = INSULT if weight > 0 else self.fixed.get(word, OTHER)
-        out = (kind, weight if weight > 0 else 3.0 if kind == THREAT else 0.0, ends)
+        out = (kind, weight if weight > 0 else THREAT_WEIGHT if kind == THREAT else 0.0, ends)
         if len(self) < KEPT:
             self[token] = out
         return out
@@ -167,17 +211,14 @@ def clause_scores(text: str | None, lexicon: Lexicon) -> tuple[list[float], int]
     found = list(map(lexicon.__getitem__, tokens(text))) if text else []
     if not any(f[1] for f in found):
         return [], len(found)
-    step, gain, start = grammar()
-    out, state, total, hit = [], start, 0.0, False
-    for kind, weight, ends in found:
-        if weight:
-            total, hit = total + gain[state][kind] * weight, True
-        state = step[state][kind]
-        if ends:
+    out, begin, hit = [], 0, False
+    for at, (_, weight, ends) in enumerate(found):
+        hit = hit or weight > 0
+        if ends or at == len(found) - 1:
             if hit:
-                out.append(total)
-            state, total, hit = start, 0.0, False
-    return out + [total] * hit, len(found)
+                out.append(clause_score(found[begin : at + 1]))
+            begin, hit = at + 1, False
+    return out, len(found)
 
 
 def features(scores: list[float], words: int) -> list[float]:
@@ -204,36 +245,48 @@ def learn_insults(sample: DataFrame) -> dict[str, float]:
     found = sample.select("label", "text").mapInArrow(work, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (a + 1)) - F.log((F.col("good") + 0.5) / (b + 1))
     weight = odds - 1.3 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    top = found.filter(F.col("bad") >= 5).withColumn("weight", weight).filter("weight > 1.4").orderBy(F.desc("weight"), "key").limit(LEXICON)
+    top = found.withColumn("weight", weight).filter("weight > 1.4").orderBy(F.desc("weight"), "key").limit(LEXICON)
     return {r["key"]: min(r["weight"], 6.0) for r in top.coalesce(1).collect()}
 
 
+#: Weights of the features before any label is seen; the ridge draws towards them.
+PRIOR = (-4.0, 2.0, 2.0, 1.0, 0.5)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Weights by Newton's method with a light ridge."""
-    w, ridge = np.zeros(x.shape[1]), np.diag([0.01] + [0.1] * (x.shape[1] - 1))
+    """Weights by Newton's method with a light ridge around PRIOR, which they stay at without rows."""
+    prior = np.array(PRIOR)
+    w, ridge = prior.copy(), np.diag([0.01] + [0.1] * (len(prior) - 1))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
-        w -= step
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ (w - prior))
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def one_of_alike(rows: DataFrame) -> DataFrame:
+    """(label, text): of texts of a label with the same least hash among all their three-word runs, the one of least hash.
+
+    Near copies mostly share that hash, so a group of them counts once; what
+    is left out depends on whole texts alone and is the same in every run.
+    """
+    words = F.split(F.lower("text"), r"\s+")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 3)))
+    alike = rows.select("label", "text", F.array_min(runs).alias("alike"))
+    return alike.groupBy("label", "alike").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
+
+
 def train(docs: DataFrame, known: DataFrame, text: str = "text") -> tuple[dict[str, float], np.ndarray]:
     """The insult lexicon and the weights of a text's features, from docs (doc_id, text) and labels known (doc_id, label).
 
-    SAMPLE of each label at most; of texts that begin with the same five
-    words one is used, so that a group of copies counts once. Without a toxic
-    and another row, the default insults and fixed weights hold.
+    SAMPLE of each label at most, of near copies one. A text that has both
+    labels counts for both. Without labels the base insults and PRIOR hold.
     """
     rows = labelled(docs.select("doc_id", F.col(text).alias("text")).filter("text IS NOT NULL"), known.filter(F.col("label").isin(0, 1)), SAMPLE)
-    opening = F.concat_ws(" ", F.slice(F.split(F.lower(F.substring("text", 1, 400)), r"\s+"), 1, 5))
-    rows = rows.select(F.col("label").cast("int").alias("label"), "text", opening.alias("opening"))
-    sample = rows.dropDuplicates(["label", "opening"]).select("label", "text").repartition(8, "text").persist()
+    sample = one_of_alike(rows.select(F.col("label").cast("int").alias("label"), "text")).repartition(8, "text").persist()
     insults = learn_insults(sample)
-    if not insults:
-        insults = {w: 4.0 for w in DEFAULT_INSULTS.split()}
 
     def work(batches):
         lexicon = Lexicon(insults)
@@ -243,10 +296,7 @@ def train(docs: DataFrame, known: DataFrame, text: str = "text") -> tuple[dict[s
 
     found = sample.mapInArrow(work, "label int, f array<double>").collect()  # the sample's rows at most
     sample.unpersist()
-    y = np.array([r["label"] for r in found], float)
-    if not (0 < y.sum() < len(y)):
-        return insults, np.array([-4.0, 2.0, 2.0, 1.0, 0.5])
-    return insults, logistic(np.array([r["f"] for r in found]), y)
+    return insults, logistic(np.array([r["f"] for r in found]).reshape(-1, len(PRIOR)), np.array([r["label"] for r in found], float))
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -264,7 +314,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text: str
         lexicon = Lexicon(insults)
         for piece in slices(batches):
             found = [clause_scores(t, lexicon) for t in piece.column(piece.num_columns - 1).to_pylist()]
-            x = np.array([features(*f) for f in found]).reshape(-1, 5)
+            x = np.array([features(*f) for f in found]).reshape(-1, len(PRIOR))
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(p, pa.float64()), pa.array([len(f[0]) for f in found], pa.int32())], [*piece.schema.names[:-1], "score", "clauses"])
 
