@@ -119,10 +119,24 @@ def test_topk(spark):
     assert topk_search.top_k(df.filter("false"), F.lit(True)).collect() == []
 
 
-def test_topk_fails_on_large_components(spark):
-    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [70_000.0, 1.0])], "vec_id long, embedding array<float>")
-    with pytest.raises(Exception, match="too large"):
-        topk_search.top_k(df, F.col("vec_id") == 0, k=1).collect()
+def test_topk_of_large_and_tiny_components(spark):
+    rng = np.random.default_rng(8)
+    v = (rng.normal(size=(90, 8)) * 10.0 ** rng.integers(-12, 7, (90, 1))).astype(np.float32)
+    v[3, 0] = -1e-30
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    e = [[int(np.floor(float(c) * 1024)) for c in x] for x in v]
+    dot = lambda a, b: sum(x * y for x, y in zip(e[a], e[b], strict=True))
+    got = {}
+    for r in topk_search.top_k(df, F.col("vec_id") % 10 == 0, k=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 90, 10):
+        order = sorted((i for i in range(90) if i != q), key=lambda i: (-dot(q, i), i))[:4]
+        assert sorted(got[q]) == [(n + 1, i, dot(q, i)) for n, i in enumerate(order)]
+    assert max(abs(r[2]) for x in got.values() for r in x) > 1 << 56
+    far = spark.createDataFrame([(0, [1e15]), (1, [1e15])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large|too big|Overflow"):
+        topk_search.top_k(far, F.col("vec_id") == 0, k=1).collect()
 
 
 def test_imatch(spark):
@@ -145,6 +159,28 @@ def test_imatch(spark):
     assert len(imatch.edit_report(frame(spark, ["one"])).collect()) == 1
 
 
+def test_imatch_ids_over_the_whole_range(spark):
+    ids = [-(2**62) - 5, 2**62 + 5, -(2**63), 2**63 - 1, *range(40)]
+    df = spark.createDataFrame([(i, f"word{n} text {n}") for n, i in enumerate(ids)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["edited_sha256"] for r in imatch.edit_report(df).collect()}
+    order = sorted(zip(ids, [f"word{n} text {n}" for n in range(len(ids))], strict=True))
+    for k, (i, t) in enumerate(order):
+        nxt, half = order[(k + 1) % len(order)][1], len(t) // 2
+        assert got[i] == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("run", "steps"), [(3, 4), (1, 256), (1000, 256)])
+def test_next_row_over_runs(spark, monkeypatch, run, steps):
+    """Ids in two far clumps, repeated and null ones: each row is followed by the next one."""
+    monkeypatch.setattr(imatch, "RUN", run)
+    monkeypatch.setattr(imatch, "STEPS", steps)
+    rows = [(i, str(i)) for i in [*range(50), *range(10**17, 10**17 + 30)]] + [(7, "7b"), (None, "x"), (None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["text"]: r["next_text"] for r in imatch.with_next(df, ["text"]).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert got == {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+
+
 def test_imatch_lexicon_holds_the_whole_band(spark):
     shared = [f"w{i}" for i in range(40_000)]  # df 2 of 4: in the band
     rows = [" ".join(shared + ["one"]), " ".join(shared), " ".join(f"r{i}" for i in range(5000)), "two"]  # r0.. have df 1: out of it
@@ -152,7 +188,7 @@ def test_imatch_lexicon_holds_the_whole_band(spark):
     lex = imatch.lexicon(df)
     inside = lambda words: F.size(imatch.marks(F.lit(" ".join(words)), lex))
     held, rare = spark.range(1).select(inside(shared), inside(["w0"] + [f"r{i}" for i in range(5000)])).first()
-    assert held == 40_000 and rare < 300
+    assert held == 40_000 and rare < 10
     assert imatch.lexicon(df.filter("false")) == b"\0"
 
 
@@ -205,7 +241,10 @@ def test_toxicity_grammar(spark):
     assert score("the idiot is here.") == 4.0 and score("Vequoir!") == 3.0 and score("fine.") == 0
     assert score("you idiot.") > score("an idiot.") > score("he was not an idiot.") > 0
     assert score("she said he was an idiot.") < score("he was an idiot.")
-    assert score("I will kill you.") == 0 and score("you I will kill.") > 0
+    assert score("I will kill you.") == score("you I will kill.") > 0 and score("I will kill time.") == 0
+    assert score("the idiot, you.") == score("you, the idiot.") == 4.0 * 1.3
+    assert 0 < score("she said I will kill you.") < score("I will kill you.") and 0 < score("I will never kill you.") < score("I will kill you.")
+    assert score("kill. you") == 0 and score("du idiot") == score("tu idiot") == score("usted idiot") == 4.0 * 1.3
     assert score("you are kind. an idiot") == 4.0 and toxicity.clause_scores(None, lexicon) == ([], 0)
 
     def make(r):
