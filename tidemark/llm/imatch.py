@@ -5,8 +5,8 @@ text's fingerprint hashes its sorted distinct lexicon terms, once whole and
 once for each of several randomised sub-lexicons of different density, so
 that texts which share much agree on some of them. The lexicon holds every
 term of the band and is looked up in a string of bits that each task gets
-with the plan, 32 slots a term and PROBES slots looked at; one in some
-5,000 terms outside the band is let in by others' slots, alike in every text.
+with the plan, SLOTS slots a term and PROBES slots looked at; one in some
+700 terms outside the band is let in by others' slots, alike in every text.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Slots of the lexicon for each of its terms, and slots held by a byte: seven, so that each byte is an ASCII sign.
-SLOTS, BITS = 32, 7
+SLOTS, BITS = 16, 7
 #: Slots that a term sets and that all must be set to find it; none but the first is looked at for most terms outside.
-PROBES = 4
-SHIFT = 13
+PROBES = 5
+SHIFT = 11
 #: Sub-lexicons: the first of the hash bits that must be zero, and how many of them: 2^-bits of the lexicon each.
 FIRSTS, DENSITIES = range(0, 56, 7), (4, 5, 6, 7, 8, 9, 10)
 #: Documents of a run of ids that a task looks at together; STEPS * STEPS runs at most.
@@ -41,7 +41,7 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = 0.15, high: float
     """A bit per slot, 1 where a term of the band falls: ln(N / df) / ln(N) in low..high.
 
     df counts all documents. The driver gets the band's hashes as Arrow
-    batches, 8 bytes a term; the string has 32 / 7 bytes a term.
+    batches, 8 bytes a term; the string has 16 / 7 bytes a term and stands in the plan once for each text.
     """
     n = docs.count()
     held = np.zeros(0, dtype=np.int64)
@@ -65,16 +65,17 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 def marks(text: Column, lex: bytes) -> Column:
     """The sorted hashes that stand for a text: lexicon terms, else all terms, else the text itself."""
 
-    def probe(h: Column) -> Column:
+    def probe(table: Column, h: Column) -> Column:
         slot = F.pmod(h, F.lit(len(lex) * BITS))
-        byte = F.ascii(F.substr(F.lit(lex), F.floor(slot / BITS).cast("int") + 1, F.lit(1)).cast("string"))
+        byte = F.ascii(F.substr(table, F.floor(slot / BITS).cast("int") + 1, F.lit(1)).cast("string"))
         return F.getbit(byte, F.pmod(slot, F.lit(BITS)).cast("int")) == 1
 
-    def held(h: Column) -> Column:
-        return reduce(lambda a, i: a & probe(h.bitwiseXOR(F.shiftright(h, SHIFT * i))), range(1, PROBES), probe(h))
+    def held(table: Column, h: Column) -> Column:
+        return reduce(lambda a, i: a & probe(table, h.bitwiseXOR(F.shiftright(h, SHIFT * i))), range(1, PROBES), probe(table, h))
 
     def chosen(every: Column) -> Column:
-        return bound(F.filter(every, held), lambda inside: F.when(F.size(inside) > 0, inside).when(F.size(every) > 0, every).otherwise(F.array(F.xxhash64(text))))
+        found = bound(F.lit(lex), lambda table: F.filter(every, lambda h: held(table, h)))
+        return bound(found, lambda inside: F.when(F.size(inside) > 0, inside).when(F.size(every) > 0, every).otherwise(F.array(F.xxhash64(text))))
 
     return F.sort_array(bound(terms(text), chosen))
 
