@@ -11,6 +11,11 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import slices
 
 #: The pattern that the byte-level BPE splits texts with; fixed by the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,3 +50,17 @@ class ByteBPE:
         if text.isascii() or int(np.frombuffer(text.encode("utf-32-le"), np.uint32).max()) < SURE:
             return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
         return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
+def with_token_count(docs: DataFrame, tokenizer_file: str, count: str = "n_tokens", text: str = "text") -> DataFrame:
+    """docs with the number of ids of each text in `count`, which is replaced if docs has it; 0 for a null text."""
+    rows = docs.drop(count).withColumn("_read", F.col(text).cast("string"))
+
+    def work(batches):
+        bpe = ByteBPE(tokenizer_file)
+        for piece in slices(batches):
+            n = [len(bpe.ids(t)) if t else 0 for t in piece.column(piece.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(n, pa.int64())], [*piece.schema.names[:-1], count])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(work, f"{fields}, `{count}` long")

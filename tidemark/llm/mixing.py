@@ -6,7 +6,8 @@ tokens times the epochs allowed, and what it can't take goes to its siblings
 first. Since a node is never given more than all below it can take, only what
 a whole family lacks reaches the family's own siblings. A leaf reads seeded
 epochs, each its documents in another order, and takes the prefix of that
-stream that its budget pays for. All amounts are whole tokens.
+stream that its budget pays for, to the token: the document at the edge gives
+the tokens that are left. What a token is, the caller says.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ WIDE = "decimal(38,0)"
 
 
 def word_count(text: Column) -> Column:
-    """Spaces plus one as a text's tokens; 0 for null and empty texts."""
-    return F.when(F.coalesce(F.char_length(text), F.lit(0)) == 0, 0).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit(" "))) + 1).cast("long")
+    """Words as a text's tokens: runs of signs other than ASCII space and controls 9-13; 0 for a null text."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def weight_of(level: str, weights: dict[str, dict[str, int]]) -> Column:
@@ -58,18 +59,21 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, i
     return leaves.drop("cap").join(given, levels)
 
 
-def mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], share: float, epochs: int, seed: str, tokens: Column, doc_id: str = "doc_id") -> DataFrame:
-    """docs with tokens, leaf_budget and copies: how often each document is read.
+def mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], share: float, epochs: int, seed: str, tokens: Column, doc_id: str = "doc_id", then: Column | None = None) -> DataFrame:
+    """docs with tokens, leaf_budget, copies (how often each document is read whole) and part_tokens (how many of its tokens are read once more).
 
     The whole budget is floor(share * all tokens), or what the leaves can give
-    if that is less. Null levels are the node '?'. A document of no tokens
-    is read as often as its place in the order says; a leaf without tokens is
-    not read. Rows with equal ids stand next to each other in every order; an
-    empty table gives an empty table; columns named as a result are replaced.
+    if that is less; the leaves' copies and parts add up to it. Null levels
+    are the node '?'. A document of no tokens is read as often as its place in
+    the order says; a leaf without tokens is not read. Rows with equal ids
+    stand next to each other in every order, by tokens and by `then` (what
+    still ties is alike in all that the order uses); an empty table gives an
+    empty table; columns named as a result are replaced.
     """
+    then = F.lit("") if then is None else then
     node = [f"_l{i}" for i in range(len(levels))]
-    keep = [c for c in docs.columns if c not in ("tokens", "leaf_budget", "copies")]
-    rows = docs.select(*keep, tokens.alias("tokens")).withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for n, c in zip(node, levels, strict=True)})
+    keep = [c for c in docs.columns if c not in ("tokens", "leaf_budget", "copies", "part_tokens")]
+    rows = docs.select(*keep, tokens.alias("tokens"), then.alias("_then")).withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for n, c in zip(node, levels, strict=True)})
     own = {n: weights.get(c, {}) for n, c in zip(node, levels, strict=True)}
     leaves = rows.groupBy(*node).agg(F.sum("tokens").alias("tokens"))
     # one row: the grand total
@@ -89,9 +93,10 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
 
     names = [*keep, "tokens", "leaf_budget"]
     inside = rows.filter(F.col("edge").isNull() | (F.col("_part") != F.col("edge._part")))
-    inside = inside.select(*names, (F.col("epoch") + F.coalesce((F.col("_part") < F.col("edge._part")).cast("long"), F.lit(0))).alias("copies"))
+    inside = inside.select(*names, (F.col("epoch") + F.coalesce((F.col("_part") < F.col("edge._part")).cast("long"), F.lit(0))).alias("copies"), F.lit(0).cast("long").alias("part_tokens"))
     cut = rows.filter(F.col("_part") == F.col("edge._part"))
-    ahead = Window.partitionBy(*node, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("_ahead", F.col("edge._before") + F.coalesce(F.sum("tokens").over(ahead), F.lit(0)))
-    cut = cut.select(*names, (F.col("epoch") + (F.col("_ahead") < F.col("rest")).cast("long")).alias("copies"))
+    ahead = Window.partitionBy(*node, "_part").orderBy("_place", "tokens", "_then").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("_left", F.col("rest") - F.col("edge._before") - F.coalesce(F.sum("tokens").over(ahead), F.lit(0)))
+    fits = (F.col("_left") > 0) & (F.col("tokens") <= F.col("_left"))
+    cut = cut.select(*names, (F.col("epoch") + fits.cast("long")).alias("copies"), F.when(~fits & (F.col("_left") > 0), F.col("_left")).otherwise(F.lit(0)).cast("long").alias("part_tokens"))
     return inside.unionByName(cut)

@@ -53,8 +53,8 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("domain", F.expr(DOMAIN))
-    found = mixing.mix(docs, LEVELS, WEIGHTS, share=0.8, epochs=3, seed="mix-1", tokens=mixing.word_count(F.col("text")))
-    return found.select("doc_id", "domain", "lang", "source", "tokens", "leaf_budget", "copies")
+    found = mixing.mix(docs, LEVELS, WEIGHTS, share=0.8, epochs=3, seed="mix-1", tokens=mixing.word_count(F.col("text")), then=F.md5(F.coalesce("text", F.lit(""))))
+    return found.select("doc_id", "domain", "lang", "source", "tokens", "leaf_budget", "copies", "part_tokens")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ def mixing_sql(share: float = 0.8, epochs: int = 3, seed: str = "mix-1") -> str:
 
     parts = [
         f"docs AS (SELECT doc_id, {DOMAIN} AS domain, lang AS own_lang, source AS own_source, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, "
-        "CAST(CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END AS BIGINT) AS tokens FROM documents)",
+        r"CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS tokens, md5(coalesce(text, '')) AS tie FROM documents)",
         f"leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {epochs} AS BIGINT) AS cap FROM docs GROUP BY ALL)",
         f"b0 AS (SELECT least(sum(cap), CAST(floor(sum(tokens) * {share}::DOUBLE) AS BIGINT)) AS budget FROM leaves)",
     ]
@@ -137,9 +137,9 @@ def mixing_sql(share: float = 0.8, epochs: int = 3, seed: str = "mix-1") -> str:
     parts += [
         "plan AS (SELECT domain, lang, source, leaves.tokens AS leaf_tokens, budget AS leaf_budget, CASE WHEN leaves.tokens > 0 THEN budget // leaves.tokens ELSE 0 END AS epoch FROM leaves JOIN b3 USING (domain, lang, source))",
         f"placed AS (SELECT docs.*, leaf_budget, epoch, leaf_budget - epoch * leaf_tokens AS rest, md5('{seed}:' || epoch || ':' || doc_id) AS place FROM docs JOIN plan USING (domain, lang, source))",
-        "ahead AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM placed)",
+        "ahead AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, tokens, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM placed)",
     ]
-    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, domain, own_lang AS lang, own_source AS source, tokens, leaf_budget, CAST(epoch + CASE WHEN ahead < rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM ahead"
+    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, domain, own_lang AS lang, own_source AS source, tokens, leaf_budget, CAST(epoch + CASE WHEN ahead < rest AND ahead + tokens <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies, CAST(CASE WHEN ahead < rest AND ahead + tokens > rest THEN rest - ahead ELSE 0 END AS BIGINT) AS part_tokens FROM ahead"
 
 
 def oracle_sql() -> dict[str, str]:
