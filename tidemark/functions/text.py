@@ -2,11 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no subject of their own.
-STOPWORDS = ("about above after again against all also and any are because been before being below between both but can could did does doing down during each few for from further had has have having here how into its itself just more most not now off once only other our out over own same she should some such than that the their them then there these they this those through too under until very was were what when where which while who whom why will with would you your").split()
+#: Words that no phrase begins or ends with.
+PHRASE_STOPWORDS = """
+a about after again against all also am an and any are as at be because been before being below between both but
+by can did do does doing down during each few for from further had has have having he her here hers him his how
+i if in into is it its just me might more most must my no nor not now of off on once only or other our
+out over own per said same says she should so some such than that the their them then there these
+they this those through to too under until up us very was we were what when where which while who whom why
+will with would you your
+""".split()
+
+#: Editorial words that name no subject.
+NOISE = """
+read reads click subscribe newsletter advertisement sponsored continue reading share comments min mins ago today yesterday
+new news latest update updates best top guide review reviews https http www com
+""".split()
+
+#: Words that are no distinctive term of a claim.
+CLAIM_STOPWORDS = """
+the and for with that this from have has had was were will would our its their they them these those than then
+into over under about which while also been being more most other such some any all can could should may might must
+company companies quarter year years million billion percent said says including during through between because after before
+""".split()
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def sentences(text: Column, shortest: int = 20) -> Column:
@@ -17,15 +44,27 @@ def sentences(text: Column, shortest: int = 20) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words with inner hyphens; no pure digits, 2 to 39 long."""
-    parts = F.split(F.lower(text), r"[^a-z0-9'&-]+")
+    parts = F.split(F.regexp_replace(F.lower(text), "[‘’]", "'"), r"[^a-z0-9'&-]+")
     bare = F.transform(parts, lambda w: F.regexp_replace(w, r"^[-']+|[-']+$", ""))
     return F.filter(bare, lambda w: (F.char_length(w) > 1) & (F.char_length(w) < 40) & ~w.rlike(r"^\d+$"))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by blanks, in order."""
-    count = F.size(tokens) - n + 1
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    count = lambda t: F.size(t) - n + 1
+    runs = lambda t: F.transform(F.sequence(F.lit(1), count(t)), lambda i: F.array_join(F.slice(t, i, n), " "))
+    return let(tokens, lambda t: F.when(count(t) >= 1, runs(t)).otherwise(F.array().cast("array<string>")))
+
+
+def phrases(tokens: Column, longest: int = 3, edges: list[str] = PHRASE_STOPWORDS + NOISE) -> Column:
+    """Distinct runs of 1 to `longest` tokens that neither begin nor end with a word in edges."""
+    kept = lambda run: ~F.element_at(run, 1).isin(edges) & ~F.element_at(run, -1).isin(edges)
+
+    def runs(t: Column, n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, n))
+        return F.when(F.size(t) >= n, F.transform(F.filter(every, kept), lambda run: F.array_join(run, " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, lambda t: F.array_distinct(F.concat(*[runs(t, n) for n in range(1, longest + 1)])))
 
 
 def fingerprint(sentence: Column) -> Column:
@@ -43,21 +82,25 @@ def headline_key(title: Column) -> Column:
 
 def shingles(sentence: Column, n: int = 8) -> Column:
     """Overlapping runs of n words of a sentence's fingerprint; a shorter one is its own; none of an empty one."""
-    held = F.split(fingerprint(sentence), " ")
-    return F.when(fingerprint(sentence) == "", F.array().cast("array<string>")).when(F.size(held) < n, F.array(fingerprint(sentence))).otherwise(ngrams(held, n))
+    none = F.array().cast("array<string>")
+    whole = lambda f: F.when(f == "", none).when(F.size(F.split(f, " ")) < n, F.array(f)).otherwise(ngrams(F.split(f, " "), n))
+    return let(fingerprint(sentence), whole)
 
 
-def distinctive_terms(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
+def distinctive_terms(text: Column, stopwords: list[str] = CLAIM_STOPWORDS) -> Column:
     """Numbers of two signs or more and words of five letters or more, distinct."""
-    low = F.lower(text)
-    numbers = F.transform(F.regexp_extract_all(low, F.lit(r"\$?\d[\d,.]*%?"), F.lit(0)), lambda t: F.regexp_replace(F.regexp_replace(t, "[,$]", ""), r"\.$", ""))
-    long_ = F.regexp_extract_all(low, F.lit("[a-z][a-z-]{4,}"), F.lit(0))
-    return F.array_distinct(F.concat(F.filter(numbers, lambda t: F.char_length(t) >= 2), F.filter(long_, lambda t: ~t.isin(stopwords))))
+    numbers = lambda low: F.transform(F.regexp_extract_all(low, F.lit(r"\$?\d[\d,.]*%?"), F.lit(0)), lambda t: F.regexp_replace(F.regexp_replace(t, "[,$]", ""), r"\.$", ""))
+    long_ = lambda low: F.regexp_extract_all(low, F.lit("[a-z][a-z-]{4,}"), F.lit(0))
+    return let(F.lower(text), lambda low: F.array_distinct(F.concat(F.filter(numbers(low), lambda t: F.char_length(t) >= 2), F.filter(long_(low), lambda t: ~t.isin(stopwords)))))
 
 
 def overlap(terms: Column, text: Column) -> Column:
     """The share of terms that a text contains anywhere; 0 without terms."""
-    low = F.lower(text)
+    return let(F.lower(text), lambda low: contained(terms, low))
+
+
+def contained(terms: Column, low: Column) -> Column:
+    """The share of terms that a text in lower case contains anywhere; 0 without terms."""
     return F.when(F.size(terms) == 0, 0.0).otherwise(F.size(F.filter(terms, lambda t: low.contains(t))) / F.size(terms))
 
 

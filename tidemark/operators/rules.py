@@ -1,47 +1,12 @@
-"""Rules as data: signal taxonomy and boilerplate verdicts over sentences."""
+"""Composite scores, risk classes and values out of company facts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.math import clamp, round_half_up
 
-#: A rule: type, direction, weight, pattern, and a pattern that rules it out.
-Rule = tuple[str, str, float, str, str | None]
-
-
-def extract(sentences: DataFrame, rules: list[Rule], text: str = "sentence") -> DataFrame:
-    """A row per sentence and rule that matches it: event_type, direction, strength, specificity.
-
-    The rules are part of the plan, so each sentence is read once.
-    """
-    numeric = F.col(text).rlike(r"\d")
-
-    def one(rule: Rule) -> Column:
-        kind, direction, weight, pattern, unless = rule
-        hit = F.col(text).rlike(pattern) & (~F.col(text).rlike(unless) if unless else F.lit(True))
-        strength = F.least(F.lit(1.0), F.lit(weight) * F.when(numeric, 1.0).otherwise(0.9))
-        return F.when(hit, F.struct(F.lit(kind).alias("event_type"), F.lit(direction).alias("direction"), round_half_up(strength).alias("strength"), F.when(numeric, 0.85).otherwise(0.45).alias("specificity")))
-
-    found = F.filter(F.array(*map(one, rules)), lambda x: x.isNotNull())
-    return sentences.withColumn("_s", F.explode(found)).select(*sentences.columns, "_s.*")
-
-
-def boilerplate(sentences: DataFrame, markers: str, noise: str, hypothetical: str, assertive: str, text: str = "sentence", before: str = "before", after: str = "after", section: str = "suppressed") -> DataFrame:
-    """sentences with reasons and is_boilerplate.
-
-    A marker counts in the sentence or its neighbours; a hypothetical one is
-    hedged unless it asserts a number.
-    """
-    s = F.col(text)
-    window = F.concat_ws(" ", before, text, after)
-    hedged = s.rlike(hypothetical) & ~(s.rlike(assertive) & s.rlike(r"\d"))
-    checks = [F.when(window.rlike(markers), F.lit("disclaimer_marker")), F.when(s.rlike(noise), F.lit("structural_noise")), F.when(F.col(section), F.lit("disclaimer_section")), F.when(hedged, F.lit("hypothetical"))]
-    out = sentences.withColumn("reasons", F.filter(F.array(*checks), lambda r: r.isNotNull()))
-    return out.withColumn("is_boilerplate", F.size("reasons") > 0)
-
-
 #: Weights of the composite score.
 WEIGHTS = {"catalyst": 0.2, "confirmation": 0.15, "execution": 0.15, "management": 0.1, "financial": 0.1, "valuation": 0.1, "price": 0.05, "attention": 0.05, "dilution": 0.2, "liquidity": 0.2, "contradiction": 0.25}
 

@@ -9,21 +9,14 @@ from tidemark.functions.math import round_half_up
 from tidemark.operators import evidence as E
 from tidemark.operators import folds as O
 from tidemark.operators import rules as R
-from tidemark.plans.text import STOP, s_ngrams, s_sentences, s_words
+from tidemark.plans.text import s_sentences
 from tidemark.plans.views import BARS, DOCS, SEGMENTS, bars, docs, segments, table
 from tidemark.sources import parsers as S
 
-RULES = [("guidance", "positive", 0.8, r"\b(the|and)\b.*\bof\b", r"\bnot\b"), ("litigation", "negative", 0.7, r"ing\b", None), ("backlog", "mixed", 0.5, r"\d", r"@")]
-SENTENCES = f"SELECT doc_id, i AS pos, l[i] AS sentence FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {s_sentences('text')} AS l FROM documents))"
-
 #: Ids of documents that share a feed or page, so that feeds grow in number and not in size.
 ITEMS = 500
 
 
-def sentences(s, d):
-    return table(s, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
-
-
 def bar_arrays(s, d):
     g = bars(s, d).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("day", "open", "high", "low", "close", "volume"))).alias("b"))
     null_close = lambda b: F.when(F.dayofmonth(b["day"]) != 13, b["close"])
@@ -78,23 +71,6 @@ z AS (SELECT k, floor(greatest(0.0::DOUBLE, least(100.0::DOUBLE, g + a + b + c +
 SELECT k AS c_custkey, overall, sure, CASE WHEN (k % 8 <> 0 AND k % 20 < 5) OR sure < 60 THEN 'high-risk speculative' WHEN sure < 75 THEN 'speculative' ELSE 'conservative' END AS risk FROM z"""
 
 
-def marked(s, d):
-    seg = E.suppressed(E.context(segments(s, d), "document_id", "seg_index", "text"), "document_id", "seg_index", F.col("text").contains("safe"))
-    return R.boilerplate(seg, r"(?i)safe|license", r"\|", r"(?i)\b(may|could|or)\b", r"(?i)\b(the|was)\b", text="text").select("document_id", "seg_index", F.array_join("reasons", ",").alias("reasons"), "is_boilerplate")
-
-
-BOILER = f"""WITH {SEGMENTS}, c AS (SELECT *, concat_ws(' ', lag(text) OVER w, text, lead(text) OVER w) AS win, coalesce(max(CASE WHEN contains(text, 'safe') THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY seg_index ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0) = 1 AS sup FROM segments WINDOW w AS (PARTITION BY document_id ORDER BY seg_index)),
-r AS (SELECT document_id, seg_index, list_filter([CASE WHEN regexp_matches(win, '(?i)safe|license') THEN 'disclaimer_marker' END, CASE WHEN regexp_matches(text, '\\|') THEN 'structural_noise' END, CASE WHEN sup THEN 'disclaimer_section' END,
-  CASE WHEN regexp_matches(text, '(?i)\\b(may|could|or)\\b') AND NOT (regexp_matches(text, '(?i)\\b(the|was)\\b') AND regexp_matches(text, '\\d')) THEN 'hypothetical' END], lambda x: x IS NOT NULL) AS r FROM c)
-SELECT document_id, seg_index, array_to_string(r, ',') AS reasons, len(r) > 0 AS is_boilerplate FROM r"""
-
-
-def _rule_sql(rule) -> str:
-    kind, direction, weight, pattern, unless = rule
-    no = f" AND NOT regexp_matches(sentence, '{unless}')" if unless else ""
-    return f"SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, '{kind}' AS event_type, '{direction}' AS direction, floor(least(1.0::DOUBLE, {weight}::DOUBLE * CASE WHEN regexp_matches(sentence, '\\d') THEN 1.0 ELSE 0.9 END) * 100 + 0.5) / 100 AS strength, CASE WHEN regexp_matches(sentence, '\\d') THEN 0.85 ELSE 0.45 END::DOUBLE AS specificity FROM s WHERE regexp_matches(sentence, '{pattern}'){no}"
-
-
 QUERIES = {
     "src19_parallel_bars": (lambda s, d: r6(S.parallel_bars(bar_arrays(s, d), "raw").select("symbol", F.to_date("ts").alias("day"), "open", "high", "low", "close", "volume")), f"WITH {BARS} SELECT symbol, day, round(CASE WHEN day(day) <> 7 THEN open ELSE close END, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, CASE WHEN day(day) <> 9 THEN volume ELSE 0 END::DOUBLE AS volume FROM bars WHERE day(day) <> 13"),
     "src22_positional_bars": (lambda s, d: r6(S.positional_bars(tuples(s, d), "symbol", "raw").withColumn("vwap", F.col("vwap").isNotNull())), f"WITH {BARS} SELECT symbol, day, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume, day(day) <> 3 AS vwap FROM bars"),
@@ -108,8 +84,6 @@ QUERIES = {
     "src33_ticker_tokens": (lambda s, d: S.ticker_tokens(table(s, d, "customer").select(F.concat(F.lit(" $"), F.lower(F.substring("c_mktsegment", 1, 4)), F.lit(";"), F.col("c_custkey").cast("string"), F.lit(" BRK.B")).alias("raw")), "raw"), "WITH t AS (SELECT upper(substr(c_mktsegment, 1, 4)) AS t FROM customer UNION SELECT CAST(c_custkey AS VARCHAR) FROM customer UNION SELECT 'BRK.B' FROM customer) SELECT t AS ticker, regexp_full_match(t, '[A-Z]{1,5}(\\.[A-Z]{1,2})?') AS valid FROM t"),
     "src05_seed_list": (lambda s, d: S.seed_list(table(s, d, "nation").agg(F.array_join(F.collect_list(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit("=https://x/?a="), F.col("n_name"))), ",").alias("raw")), "raw"), "SELECT 'N' || n_nationkey AS ticker, 'https://x/?a=' || n_name AS url FROM nation"),
     "src37_first_source": (lambda s, d: S.first_source([bars(s, d).filter("symbol < 'S5'").select("symbol", "day", "volume"), bars(s, d).select("symbol", "day", F.lit(0.0).alias("volume"))], "symbol"), f"WITH {BARS} SELECT symbol, day, CASE WHEN symbol < 'S5' THEN volume ELSE 0 END::DOUBLE AS volume FROM bars"),
-    "str07_08_extract": (lambda s, d: R.extract(sentences(s, d), RULES).select("doc_id", "pos", "event_type", "direction", "strength", "specificity"), f"WITH s AS ({SENTENCES}) " + " UNION ALL ".join(map(_rule_sql, RULES))),
-    "str10_boilerplate": (marked, BOILER),
     "math03_05_composite": (scored, COMPOSITE),
     "win27_pack_sentences": (lambda s, d: table(s, d, "documents").select("doc_id", F.size(O.pack_sentences(T.sentences(F.col("text")))).alias("paragraphs"), F.sha2(F.array_join(O.pack_sentences(T.sentences(F.col("text"))), "|"), 256).alias("digest")), f"""WITH l AS (SELECT doc_id, {s_sentences('text')} AS l FROM documents), p AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [] ELSE list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN length(acc[-1]) < 600 THEN list_concat(acc[1:len(acc) - 1], [acc[-1] || ' ' || x[1]]) ELSE list_concat(acc, x) END) END AS p FROM l)
 SELECT doc_id, CAST(len(p) AS INTEGER) AS paragraphs, sha256(array_to_string(p, '|')) AS digest FROM p"""),

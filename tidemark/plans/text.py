@@ -10,7 +10,8 @@ from tidemark.operators import evidence as E
 from tidemark.operators import lookup as L
 from tidemark.plans.views import DOCS, SEGMENTS, SIGNALS, SYMBOLS, docs, segments, signals, symbols, table
 
-STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+STOP = "[" + ", ".join(f"'{w}'" for w in T.CLAIM_STOPWORDS) + "]"
+EDGES = "[" + ", ".join(f"'{w}'" for w in T.PHRASE_STOPWORDS + T.NOISE) + "]"
 
 
 def s_sentences(t: str) -> str:
@@ -19,7 +20,7 @@ def s_sentences(t: str) -> str:
 
 
 def s_words(t: str) -> str:
-    return rf"list_filter(list_transform(string_split_regex(lower({t}), '[^a-z0-9''&-]+'), lambda w: regexp_replace(w, '^[-'']+|[-'']+$', '', 'g')), lambda w: length(w) > 1 AND length(w) < 40 AND NOT regexp_full_match(w, '\d+'))"
+    return rf"list_filter(list_transform(string_split_regex(regexp_replace(lower({t}), '[‘’]', '''', 'g'), '[^a-z0-9''&-]+'), lambda w: regexp_replace(w, '^[-'']+|[-'']+$', '', 'g')), lambda w: length(w) > 1 AND length(w) < 40 AND NOT regexp_full_match(w, '\d+'))"
 
 
 def s_fingerprint(t: str) -> str:
@@ -63,8 +64,8 @@ def claims(spark, sf_dir):
 
 CORROBORATE_SQL = f"""WITH {DOCS}, claims AS (SELECT id, ticker, host AS claim_host, published AS day, {s_terms(f"{s_sentences('text')}[1]")} AS terms FROM docs),
 p AS (SELECT c.id, d.id AS doc_id, c.ticker, CAST(d.published - c.day AS INTEGER) AS lag_days, d.tier, len(list_filter(c.terms, lambda t: contains(lower(d.text), t))) / len(c.terms) AS ov
-  FROM claims c JOIN docs d ON d.ticker = c.ticker AND d.host <> c.claim_host AND d.tier < 3 AND d.published - c.day BETWEEN -7 AND 180 WHERE len(c.terms) >= 4)
-SELECT id, doc_id, ticker, lag_days, {half_up('ov')} AS overlap, {half_up(f'ov * {S_TIER} * ({S_LAG})')} AS confidence FROM p WHERE ov >= 0.35"""
+  FROM claims c JOIN docs d ON d.ticker = c.ticker AND d.host <> c.claim_host AND d.published - c.day BETWEEN -7 AND 180 WHERE len(c.terms) >= 4)
+SELECT id, doc_id, ticker, lag_days, CASE WHEN tier >= 3 THEN 'amplifies_only' ELSE 'confirms' END AS relation, {half_up('ov')} AS overlap, {half_up(f'ov * {S_TIER} * ({S_LAG})')} AS confidence FROM p WHERE ov >= 0.35"""
 
 HOSTS = [("example.com", 1), ("news.example.org", 0), ("example.org", 2), ("shop.net", 3)]
 
@@ -94,7 +95,7 @@ QUERIES = {
     "str44_clock": (lambda s, d: table(s, d, "events").select("event_id", T.clock(F.col("event_id") * 977).alias("clock")), "SELECT event_id, CASE WHEN h > 0 THEN h || ':' || lpad(CAST(m AS VARCHAR), 2, '0') || ':' || lpad(CAST(r AS VARCHAR), 2, '0') ELSE m || ':' || lpad(CAST(r AS VARCHAR), 2, '0') END AS clock FROM (SELECT event_id, (event_id * 977 // 1000) // 3600 AS h, (event_id * 977 // 1000) % 3600 // 60 AS m, (event_id * 977 // 1000) % 60 AS r FROM events)"),
     "str05_agg15_repeated_shingles": (lambda s, d: E.repeated_shingles(docs(s, d), 3), f"WITH {DOCS}, s AS (SELECT ticker, {s_fingerprint('x')} AS f FROM (SELECT ticker, unnest({s_sentences('text')}) AS x FROM docs)), w AS (SELECT ticker, f, string_split(f, ' ') AS w FROM s WHERE f <> '') SELECT shingle, count(DISTINCT ticker) AS issuers FROM (SELECT ticker, unnest(CASE WHEN len(w) < 8 THEN [f] ELSE {s_ngrams('w', 8)} END) AS shingle FROM w) GROUP BY shingle HAVING count(DISTINCT ticker) >= 3"),
     "agg16_phrase_frequency": (lambda s, d: E.phrase_frequency(docs(s, d)), f"""WITH w AS (SELECT doc_id, {s_words('text')} AS w FROM documents), g AS (SELECT DISTINCT doc_id, phrase, words FROM (SELECT doc_id, unnest(w) AS phrase, 1 AS words FROM w UNION ALL SELECT doc_id, unnest({s_ngrams('w', 2)}), 2 FROM w UNION ALL SELECT doc_id, unnest({s_ngrams('w', 3)}), 3 FROM w))
-SELECT phrase, words, count(*) AS n FROM g WHERE NOT list_contains({STOP}, string_split(phrase, ' ')[1]) AND NOT list_contains({STOP}, string_split(phrase, ' ')[-1]) GROUP BY phrase, words HAVING count(*) >= 2"""),
+SELECT phrase, words, count(*) AS n FROM g WHERE NOT list_contains({EDGES}, string_split(phrase, ' ')[1]) AND NOT list_contains({EDGES}, string_split(phrase, ' ')[-1]) GROUP BY phrase, words HAVING count(*) >= 2"""),
     "join11_corroborate": (lambda s, d: E.corroborations(claims(s, d), docs(s, d)), CORROBORATE_SQL),
     "agg14_signal_rank": (lambda s, d: E.signal_rank(signals(s, d), "2024-10-01").select("ticker", round_half_up(F.col("score") + 1e-9).alias("score"), "signals"), f"WITH {SIGNALS} SELECT ticker, {half_up('sum(CASE direction WHEN ' + chr(39) + 'positive' + chr(39) + ' THEN strength * (0.5 + specificity / 2) WHEN ' + chr(39) + 'negative' + chr(39) + ' THEN -strength * (0.5 + specificity / 2) ELSE 0 END) + 1e-9')} AS score, count(*) AS signals FROM signals WHERE coalesce(is_boilerplate, 0) = 0 AND event_date <= DATE '2024-10-01' GROUP BY ticker"),
     "agg26_weighted_issuers": (lambda s, d: E.weighted_issuers(docs(s, d)), f"WITH {DOCS}, b AS (SELECT ticker, host, min(tier) AS t FROM docs GROUP BY ALL) SELECT ticker, count(*) AS issuers, {half_up('sum(CASE t WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.25 ELSE 0 END)::DOUBLE')} AS weighted FROM b GROUP BY ticker"),
