@@ -27,7 +27,7 @@ def drop_rolling(cues: Column) -> Column:
 
 
 def strip_roll(cues: Column) -> Column:
-    """Captions without the roll, as the reference's dedupeRolling: a cue that begins with the last kept one replaces it; of any other the longest run of words that ends the last kept one is cut off its front, and what is left is added."""
+    """Captions without the roll: a cue that begins with the last kept one replaces it; of any other the longest run of words that ends the last kept one is cut off its front, and what is left is added."""
     def step(acc: Column, s: Column) -> Column:
         last = F.coalesce(F.element_at(acc, -1), F.lit(""))
         kept = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import feeds, records, scalars, stories, technical, text
+from tidemark.plans import feeds, media, records, scalars, stories, technical, text
 from tidemark.plans.views import half_up
 
-PLANS = (technical, text, records, feeds, scalars, stories)
+PLANS = (technical, text, records, feeds, scalars, stories, media)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
