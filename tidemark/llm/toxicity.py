@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
 from tidemark.llm.common import labelled, slices
 
 #: Labelled rows that training reads at most, of toxic and of other ones: those of the lowest hash of the id.
@@ -272,9 +273,11 @@ def one_of_alike(rows: DataFrame) -> DataFrame:
     Near copies mostly share that hash, so a group of them counts once; what
     is left out depends on whole texts alone and is the same in every run.
     """
-    words = F.split(F.lower("text"), r"\s+")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 3)))
-    alike = rows.select("label", "text", F.array_min(runs).alias("alike"))
+
+    def least(words):
+        return F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 3))))
+
+    alike = rows.select("label", "text", let(F.split(F.lower("text"), r"\s+"), least).alias("alike"))
     return alike.groupBy("label", "alike").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
 
 
