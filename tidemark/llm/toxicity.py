@@ -257,12 +257,19 @@ PRIOR = (-4.0, 2.0, 2.0, 1.0, 0.5)
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Weights by Newton's method with a light ridge around PRIOR, which they stay at without rows."""
     prior = np.array(PRIOR)
-    w, ridge = prior.copy(), np.diag([0.01] + [0.1] * (len(prior) - 1))
+    w, ridge = prior.copy(), np.array([0.01] + [0.1] * (len(prior) - 1))
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.5 * ridge @ (w - prior) ** 2)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ (w - prior))
-        w = w - step
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * (w - prior))
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(step).max() < 1e-6 or size <= 1e-6:
             break
     return w
 
