@@ -163,6 +163,6 @@ def test_mixing_of_equal_ids(spark):
     """Rows that share an id are placed by tokens and then by the tie column, whatever the number of tasks."""
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([(1, "a " * (i % 4), str(i)) for i in range(40)], "doc_id long, text string, lang string")
-    runs = [bag(mixing.mix(df.repartition(n), [], {}, 0.5, 1, "s", mixing.word_count(F.col("text")), then=F.col("lang")).select("lang", "copies", "part_tokens").collect()) for n in (1, 7)]
+    df = spark.createDataFrame([(1, "a " * (i % 4), str(i), "x") for i in range(40)], "doc_id long, text string, lang string, source string")
+    runs = [bag(mixing.mix(df.repartition(n), ["source"], {}, 0.5, 1, "s", mixing.word_count(F.col("text")), then=F.col("lang")).select("lang", "copies", "part_tokens").collect()) for n in (1, 7)]
     assert runs[0] == runs[1]
