@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of scaled queries of a block that the driver and each task hold, and rows of the sample that gives the first bounds.
 BLOCK_BYTES, SEEDS = 64 << 20, 4096
+#: Share of pairs left from which on a level is computed for the pairs alone.
+DENSE = 0.02
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -130,6 +132,34 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, block: i
     return first(reduce(DataFrame.unionByName, scans)).select("query_id", "rank", "vec_id", "score")
 
 
+def survivors(q: np.ndarray, x: np.ndarray, coarse: list, fine: list, floor: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, exact product) of the pairs that no level rules out and whose product reaches the query's bound.
+
+    While more than DENSE of all pairs are left, a level is one product of
+    matrices, which costs less than picking the pairs; then it is theirs alone.
+    """
+    left, pairs = np.ones((len(q), len(x)), bool), None
+    for lq, lx in zip(coarse, fine, strict=True):
+        if pairs is None:
+            left &= lq @ lx.T >= floor[:, None]
+            if left.mean() < DENSE:
+                pairs = np.nonzero(left)
+        else:
+            qi, xi = pairs
+            keep = np.concatenate([np.einsum("ij,ij->i", lq[qi[b : b + 500_000]], lx[xi[b : b + 500_000]]) >= floor[qi[b : b + 500_000]] for b in range(0, max(1, len(qi)), 500_000)])
+            pairs = qi[keep], xi[keep]
+    if pairs is None and q.shape[1] * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) < 1 << 53:
+        score = q @ x.T  # whole numbers under 2^53: exact
+        if score.shape[1] > k + 1:  # one of the k + 1 highest may be the query itself
+            bounds = np.maximum(bounds, np.partition(score, -(k + 1), axis=1)[:, -(k + 1)])
+        qi, xi = np.nonzero(left & (score >= bounds[:, None]))
+        return qi, xi, score[qi, xi].astype(np.int64)
+    qi, xi = np.nonzero(left) if pairs is None else pairs
+    score = np.concatenate([products(q[qi[b : b + 200_000]], x[xi[b : b + 200_000]]) for b in range(0, max(1, len(qi)), 200_000)])
+    keep = score >= bounds[qi]
+    return qi[keep], xi[keep], score[keep]
+
+
 def _scan(shared, k: int):
     def run(batches):
         asked, known = shared.value
@@ -146,13 +176,9 @@ def _scan(shared, k: int):
                     fine = [features(x, s) for s in segments(dim)]
                     slack = 1 + 1e-9 * dim * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0))
                     floor = bounds[dim] - slack  # rounding of the bounds never drops a pair
-                    qi, xi = np.nonzero(levels[dim][0] @ fine[0].T >= floor[:, None])
-                    for lq, lx in zip(levels[dim][1:], fine[1:], strict=True):
-                        keep = np.concatenate([np.einsum("ij,ij->i", lq[qi[b : b + 500_000]], lx[xi[b : b + 500_000]]) >= floor[qi[b : b + 500_000]] for b in range(0, max(1, len(qi)), 500_000)])
-                        qi, xi = qi[keep], xi[keep]
+                    qi, xi, score = survivors(q, x, levels[dim], fine, floor, bounds[dim], k)
                     other = query_ids[qi] != ids[xi]
-                    qi, xi = qi[other], xi[other]
-                    score = np.concatenate([products(q[qi[b : b + 200_000]], x[xi[b : b + 200_000]]) for b in range(0, max(1, len(qi)), 200_000)])
+                    qi, xi, score = qi[other], xi[other], score[other]
                     s = state[dim]
                     state[dim] = s = list(best(np.r_[s[0], qi], np.r_[s[1], ids[xi]], np.r_[s[2], score], k))
                     n = np.bincount(s[0], minlength=len(query_ids))
