@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import feeds, markets, media, pages, records, scalars, stories, technical, text
+from tidemark.plans import directory, feeds, markets, media, pages, records, scalars, stories, technical, text
 from tidemark.plans.views import half_up
 
-PLANS = (technical, text, records, feeds, scalars, stories, media, pages, markets)
+PLANS = (technical, text, records, feeds, scalars, stories, media, pages, markets, directory)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
