@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
-#: Hosts that publish paid promotion, and hosts that refuse readers.
-PROMOTIONAL = ("stockpromo.com", "pennyalerts.net", "host3.com")
-BLOCKED = ("paywall.com", "host5.com")
+#: Hosts that publish paid promotion, hosts that refuse readers and hosts of throw-away mail, unless a caller gives its own lists.
+PROMOTIONAL = ("stockpromo.com", "pennyalerts.net")
+BLOCKED = ("paywall.com",)
 DISPOSABLE = ("mailinator.com", "tempmail.org")
 
 
@@ -116,3 +116,47 @@ def duration_ms(x: Column) -> Column:
 def age_text(seconds: Column) -> Column:
     n = lambda unit: F.floor(seconds / unit).cast("string")
     return F.when(seconds < 60, "just now").when(seconds < 3600, F.concat(n(60), F.lit("m ago"))).when(seconds < 86_400, F.concat(n(3600), F.lit("h ago"))).otherwise(F.concat(n(86_400), F.lit("d ago")))
+
+
+def csv_fields(line: Column) -> Column:
+    """The fields of a CSV line: quoted ones may hold commas, and doubled quotes stand for one."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',(?:"((?:[^"]|"")*+)"([^,]*)|([^,]*))'), F.lit(0))
+
+    def field(x: Column) -> Column:
+        body = F.substring(x, 2, 1_000_000)
+        quoted = F.regexp_extract(body, r'(?s)^"((?:[^"]|"")*+)"(.*)$', 1)
+        return F.when(body.rlike(r'(?s)^"(?:[^"]|"")*+"'), F.concat(F.replace(quoted, F.lit('""'), F.lit('"')), F.regexp_extract(body, r'(?s)^"(?:[^"]|"")*+"(.*)$', 1))).otherwise(body)
+
+    return F.transform(found, field)
+
+
+def csv_field(value: Column) -> Column:
+    """A value as a CSV field: quoted if it holds a comma, a quote or a line end."""
+    return F.when(value.rlike('["\\n\\r,]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, halves away from zero, no grouping."""
+    return F.round(x, digits).cast(f"decimal(38,{digits})").cast("string")
+
+
+def money(x: Column) -> Column:
+    """A price with two decimals, four under a dollar; a dash for none."""
+    return F.when(x.isNull() | F.isnan(x), "—").when(x < 1, F.concat(F.lit("$"), fixed(x, 4))).otherwise(F.concat(F.lit("$"), fixed(x, 2)))
+
+
+def signed_percent(x: Column) -> Column:
+    return F.when(x.isNull() | F.isnan(x), "—").otherwise(F.concat(F.when(x > 0, "+").otherwise(""), fixed(x, 2), F.lit("%")))
+
+
+def short_volume(x: Column) -> Column:
+    """A volume as 1.2B, 3.4M or 5K; a dash for none."""
+    return (
+        F.when(x.isNull() | F.isnan(x) | (x <= 0), "—").when(x >= 1e9, F.concat(fixed(x / 1e9, 1), F.lit("B"))).when(x >= 1e6, F.concat(fixed(x / 1e6, 1), F.lit("M")))
+        .when(x >= 1e3, F.concat(fixed(x / 1e3, 0), F.lit("K"))).otherwise(fixed(x, 0))
+    )
+
+
+def listed(x: Column) -> Column:
+    """A comma list in capitals without blanks or empty entries."""
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda t: F.upper(F.trim(t))), lambda t: t != "")

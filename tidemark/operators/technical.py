@@ -121,17 +121,33 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     return ranges.select("symbol", wilder_of(F.col("ranges"), n).alias(f"atr_{n}"))
 
 
-def _ema_series(x: np.ndarray, n: int) -> np.ndarray:
+def _smoothed(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
+    """The exponential mean at each place from the n-th on, seeded with the plain mean of the first n."""
     out = np.full(len(x), np.nan)
     if len(x) >= n:
-        k, prev = 2 / (n + 1), x[:n].sum() / n
-        out[n - 1] = prev
-        for i in range(n, len(x)):
-            prev = x[i] * k + prev * (1 - k)
-            out[i] = prev
+        out[n - 1 :] = pd.Series(np.r_[x[:n].sum() / n, x[n:]]).ewm(alpha=alpha, adjust=False).mean()
     return out
 
 
+def _ema_series(x: np.ndarray, n: int) -> np.ndarray:
+    return _smoothed(x, n, 2 / (n + 1))
+
+
+def rsi_series(bars: DataFrame, n: int = 14) -> DataFrame:
+    """(symbol, day, rsi) for every bar after the n-th: gains against losses under Wilder's mean; 100 without losses."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        change = np.diff(pdf["close"].to_numpy(float))
+        gain, loss = _smoothed(np.maximum(change, 0), n, 1 / n), _smoothed(np.maximum(-change, 0), n, 1 / n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
+        out = pd.DataFrame({"symbol": pdf["symbol"].to_numpy()[1:], "day": pdf["day"].to_numpy()[1:], "rsi": value})
+        return out[~np.isnan(gain)]
+
+    return bars.select("symbol", "day", "close").groupBy("symbol").applyInPandas(run, "symbol string, day date, rsi double")
+
+
 def macd_series(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """(symbol, day, macd, signal, histogram) for every bar: each symbol's history is one group."""
 

@@ -14,6 +14,7 @@ from tidemark.plans.records import HOLIDAYS, OPEN, years
 from tidemark.plans.text import s_fingerprint, s_markup, s_ngrams, s_sentences
 from tidemark.plans.views import BARS, DOCS, LEDGER, SEGMENTS, SYMBOLS, bars, docs, ledger, segments, symbols, table
 
+PROMO, BLOCKED = (*X.PROMOTIONAL, "host3.com"), (*X.BLOCKED, "host5.com")
 URL = "concat('https://', CASE WHEN id % 3 = 0 THEN 'www.' ELSE '' END, host, '/r?url=https%3A%2F%2Fx.com%2F', id)"
 S_URL = "'https://' || CASE WHEN id % 3 = 0 THEN 'www.' ELSE '' END || host || '/r?url=https%3A%2F%2Fx.com%2F' || id"
 MAIL = "concat(' ', c_name, CASE WHEN c_custkey % 3 = 0 THEN '+tag' ELSE '' END, '.x@', CASE c_custkey % 4 WHEN 0 THEN 'gmail.com' WHEN 1 THEN 'a.mailinator.com' WHEN 2 THEN 'corp.example.org' ELSE 'broken' END)"
@@ -27,10 +28,10 @@ def s_belongs(h: str, domains) -> str:
 def addresses(s, d):
     u = docs(s, d).withColumn("url", F.expr(URL))
     h = T.host(F.col("url"))
-    return u.select("id", h.alias("host"), X.belongs(h, X.PROMOTIONAL).alias("promo"), X.belongs(h, X.BLOCKED).alias("blocked"), X.issuer_owned(h, F.concat(F.lit("Host "), (F.col("id") % 9).cast("string"), F.lit(" Inc"))).alias("own"), X.looks_like_url(F.col("url")).alias("is_url"), X.unwrap_redirect(F.col("url")).alias("target"), X.allowed_by_robots(F.concat(F.lit("/r"), F.col("tier").cast("string")), F.array(F.lit("/r3"), F.lit("/private"))).alias("allowed"), X.source_kind(F.concat("url", F.when(F.col("id") % 5 == 0, ".mp4").otherwise("")), F.when(F.col("tier") == 0, "news").otherwise("other")).alias("kind"))
+    return u.select("id", h.alias("host"), X.belongs(h, PROMO).alias("promo"), X.belongs(h, BLOCKED).alias("blocked"), X.issuer_owned(h, F.concat(F.lit("Host "), (F.col("id") % 9).cast("string"), F.lit(" Inc"))).alias("own"), X.looks_like_url(F.col("url")).alias("is_url"), X.unwrap_redirect(F.col("url")).alias("target"), X.allowed_by_robots(F.concat(F.lit("/r"), F.col("tier").cast("string")), F.array(F.lit("/r3"), F.lit("/private"))).alias("allowed"), X.source_kind(F.concat("url", F.when(F.col("id") % 5 == 0, ".mp4").otherwise("")), F.when(F.col("tier") == 0, "news").otherwise("other")).alias("kind"))
 
 
-ADDRESSES = f"""WITH {DOCS}, u AS (SELECT *, {S_URL} AS url, 'host ' || (id % 9) || ' inc' AS c FROM docs) SELECT id, host, {s_belongs('host', X.PROMOTIONAL)} AS promo, {s_belongs('host', X.BLOCKED)} AS blocked,
+ADDRESSES = f"""WITH {DOCS}, u AS (SELECT *, {S_URL} AS url, 'host ' || (id % 9) || ' inc' AS c FROM docs) SELECT id, host, {s_belongs('host', PROMO)} AS promo, {s_belongs('host', BLOCKED)} AS blocked,
 contains(string_split(host, '.')[-2], replace(c, ' ', '')) OR contains(replace(c, ' ', ''), string_split(host, '.')[-2]) AS own, regexp_full_match(url, '(https?://)?[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+(/\\S*)?') AS is_url, 'https://x.com/' || id AS target, tier <> 3 AS allowed,
 CASE WHEN tier = 0 THEN 'news' WHEN id % 5 = 0 THEN 'video' ELSE 'transcript' END AS kind FROM u"""
 
