@@ -16,16 +16,6 @@ def pack_sentences(parts: Column, size: int = 600) -> Column:
     return F.aggregate(parts, F.array().cast("array<string>"), step)
 
 
-def drop_rolling(cues: Column) -> Column:
-    """Captions without the roll: a cue that begins with the last kept one replaces it, one that the last kept one ends with is dropped."""
-    def step(acc: Column, s: Column) -> Column:
-        last = F.coalesce(F.element_at(acc, -1), F.lit(""))
-        kept = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when((F.size(acc) > 0) & s.startswith(last), F.concat(kept, F.array(s))).when((F.size(acc) > 0) & last.endswith(s), acc).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(cues, F.array().cast("array<string>"), step)
-
-
 def strip_roll(cues: Column) -> Column:
     """Captions without the roll: a cue that begins with the last kept one replaces it; of any other the longest run of words that ends the last kept one is cut off its front, and what is left is added."""
     def step(acc: Column, s: Column) -> Column:

@@ -36,7 +36,7 @@ def tuples(s, d):
 
 
 def news_body(s, d):
-    hit = F.struct(F.substring("text", 1, 40).alias("title"), F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit("https://www.host"), (F.col("doc_id") % 7).cast("string"), F.lit(".com/a?d="), F.col("doc_id").cast("string"))).alias("link"), F.col("source"), F.lit("2 days ago").alias("date"))
+    hit = F.struct(F.concat("source", F.lit(" story "), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit("https://www.host"), (F.col("doc_id") % 7).cast("string"), F.lit(".com/a?d="), F.col("doc_id").cast("string"))).alias("link"), F.col("source"), F.lit("2 days ago").alias("date"))
     return table(s, d, "documents").groupBy(F.floor(F.col("doc_id") / ITEMS).alias("page")).agg(F.to_json(F.struct(F.collect_list(hit).alias("news_results"))).alias("raw"))
 
 
@@ -76,7 +76,7 @@ QUERIES = {
     "src22_positional_bars": (lambda s, d: r6(S.positional_bars(tuples(s, d), "symbol", "raw").withColumn("vwap", F.col("vwap").isNotNull())), f"WITH {BARS} SELECT symbol, day, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume, day(day) <> 3 AS vwap FROM bars"),
     "src16_multi_bars": (lambda s, d: r6(S.multi_bars(bars(s, d).groupBy("symbol").agg(F.collect_list(F.struct(F.col("day").cast("timestamp").alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"), F.col("vwap").alias("vw"))).alias("b")).select(F.to_json(F.create_map("symbol", "b")).alias("raw")), "raw").select("symbol", F.to_date("ts").alias("day"), "close", "volume")), f"WITH {BARS} SELECT symbol, day, round(close, 6) AS close, volume FROM bars"),
     "src17_snapshots": (lambda s, d: S.snapshots(table(s, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol")), table(s, d, "supplier").filter("s_suppkey % 3 <> 0").select(F.to_json(F.create_map(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")), F.struct(F.col("s_acctbal").alias("price"), F.lit(1.5).alias("prev")))).alias("raw")), "raw"), "SELECT 'S' || s_suppkey AS symbol, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS price, CASE WHEN s_suppkey % 3 <> 0 THEN 1.5 END::DOUBLE AS prev FROM supplier"),
-    "src13_serp_news": (lambda s, d: S.serp_news(news_body(s, d), "raw").select("title", "link", "source", "host"), "SELECT substr(text, 1, 40) AS title, 'https://www.host' || (doc_id % 7) || '.com/a?d=' || doc_id AS link, source, 'host' || (doc_id % 7) || '.com' AS host FROM documents WHERE doc_id % 9 <> 0"),
+    "src13_serp_news": (lambda s, d: S.serp_news(news_body(s, d), "raw").select("title", "link", "source", "host"), "SELECT source || ' story ' || doc_id AS title, 'https://www.host' || (doc_id % 7) || '.com/a?d=' || doc_id AS link, source, 'host' || (doc_id % 7) || '.com' AS host FROM documents WHERE doc_id % 9 <> 0"),
     "src10_feed_items": (lambda s, d: S.feed_items(rss(s, d), "raw"), "SELECT source || ' & ' || doc_id AS title, 'https://h.com/' || doc_id AS link, 'Mon' AS published, lang AS source FROM documents"),
     "src11_episodes": (lambda s, d: S.episodes(rss(s, d), "raw"), "SELECT source || ' & ' || doc_id AS title, 'https://h.com/a.mp3' AS url, 'audio/mpeg' AS type FROM documents WHERE doc_id % 2 = 0"),
     "src30_agg18_latest_value": (lambda s, d: R.latest_value(S.facts_long(facts_raw(s, d), "raw"), "1999-12-31"), f"WITH {FACTS} SELECT symbol, 'Revenues' AS concept, arg_max(val, row(\"end\", pos)) AS val FROM facts WHERE \"end\" <= DATE '1999-12-31' GROUP BY symbol"),
@@ -87,8 +87,6 @@ QUERIES = {
     "math03_05_composite": (scored, COMPOSITE),
     "win27_pack_sentences": (lambda s, d: table(s, d, "documents").select("doc_id", F.size(O.pack_sentences(T.sentences(F.col("text")))).alias("paragraphs"), F.sha2(F.array_join(O.pack_sentences(T.sentences(F.col("text"))), "|"), 256).alias("digest")), f"""WITH l AS (SELECT doc_id, {s_sentences('text')} AS l FROM documents), p AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [] ELSE list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN length(acc[-1]) < 600 THEN list_concat(acc[1:len(acc) - 1], [acc[-1] || ' ' || x[1]]) ELSE list_concat(acc, x) END) END AS p FROM l)
 SELECT doc_id, CAST(len(p) AS INTEGER) AS paragraphs, sha256(array_to_string(p, '|')) AS digest FROM p"""),
-    "win24_rolling_captions": (lambda s, d: segments(s, d).groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seg_index", F.substring("text", 1, F.col("seg_index").cast("int") % 3 + 1).alias("c")))), lambda x: x["c"]).alias("cues")).select("document_id", F.array_join(O.drop_rolling(F.col("cues")), "|").alias("kept")), f"""WITH {SEGMENTS}, l AS (SELECT document_id, list(substr(text, 1, CAST(seg_index % 3 + 1 AS INTEGER)) ORDER BY seg_index, text) AS c FROM segments GROUP BY document_id)
-SELECT document_id, array_to_string(list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN starts_with(x[1], acc[-1]) THEN list_concat(acc[1:len(acc) - 1], x) WHEN ends_with(acc[-1], x[1]) THEN acc ELSE list_concat(acc, x) END), '|') AS kept FROM l"""),
     "win24_str37_rolled_turns": (lambda s, d: segments(s, d).groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seg_index", "text"))), lambda x: x["text"]).alias("cues")).select("document_id", F.array_join(O.strip_roll(F.col("cues")), "|").alias("kept")), None),
     "topk05_greedy_phrases": (lambda s, d: O.greedy_phrases(E.phrase_frequency(docs(s, d))), None),
 }

@@ -118,5 +118,5 @@ QUERIES = {
     "math01_round_half_up": (lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", round_half_up(F.col("l_discount") * F.col("l_tax") * 100 + 1.005).alias("x")), "SELECT l_orderkey, l_linenumber, l_partkey, floor((l_discount * l_tax * 100 + 1.005::DOUBLE) * 100 + 0.5) / 100 AS x FROM lineitem"),
     "math09_change": (lambda s, d: table(s, d, "customer").select("c_custkey", round_half_up(percent_change(F.col("c_acctbal"), F.col("c_nationkey").cast("double")), 6).alias("change")), "SELECT c_custkey, round(CASE WHEN c_nationkey <> 0 THEN (c_acctbal - c_nationkey) / c_nationkey * 100 END, 6) AS change FROM customer"),
     "strm07_dedupe_events": (lambda s, d: E.latest_per(table(s, d, "events"), "user_id", F.col("ts"), F.col("event_id")).select("user_id", "event_id"), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"),
-    "strm08_interval_join": (lambda s, d: table(s, d, "events").filter("event_type = 'view'").select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("t")).join(table(s, d, "events").filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("u")), "user_id").filter("u BETWEEN t AND t + INTERVAL 1 HOUR").select("user_id", "a", "b"), "SELECT x.user_id, x.event_id AS a, y.event_id AS b FROM events x JOIN events y ON x.user_id = y.user_id AND x.event_type = 'view' AND y.event_type = 'purchase' AND y.ts BETWEEN x.ts AND x.ts + INTERVAL 1 HOUR"),
+    "strm08_interval_join": (lambda s, d: E.within_hours(table(s, d, "events").filter("event_type = 'view'").select("user_id", F.col("event_id").alias("a"), "ts"), table(s, d, "events").filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("b"), "ts"), "user_id", 1).select("user_id", "a", "b"), "SELECT x.user_id, x.event_id AS a, y.event_id AS b FROM events x JOIN events y ON x.user_id = y.user_id AND x.event_type = 'view' AND y.event_type = 'purchase' AND y.ts BETWEEN x.ts AND x.ts + INTERVAL 1 HOUR"),
 }

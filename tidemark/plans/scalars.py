@@ -55,11 +55,11 @@ NUMBERS = "SELECT c_custkey, round(greatest(0, least(5000, c_acctbal)), 4) AS cl
 
 
 def speech(s, d):
-    seg = segments(s, d).withColumn("line", F.concat(F.element_at(F.array(*map(F.lit, ("JANE DOE: ", "Bob Ray -- ", "The man: ", "no name ", "<c>Q: "))), (F.col("seg_index") % 5 + 1).cast("int")), F.substring("text", 1, 30)))
+    seg = segments(s, d).withColumn("line", F.concat(F.element_at(F.array(*map(F.lit, ("JANE DOE: ", "Bob Ray -- ", "The man: ", "no name ", "<c>Q: "))), (F.col("seg_index") % 5 + 1).cast("int")), F.col("text")))
     return seg.select("document_id", "seg_index", X.speaker(F.col("line")).alias("speaker"), X.cue(F.col("line")).alias("cue"), F.col("text").rlike(r"\d").alias("numeric"))
 
 
-SPEECH = f"""WITH {SEGMENTS}, l AS (SELECT *, ['JANE DOE: ', 'Bob Ray -- ', 'The man: ', 'no name ', '<c>Q: '][CAST(seg_index % 5 + 1 AS INTEGER)] || substr(text, 1, 30) AS line FROM segments)
+SPEECH = f"""WITH {SEGMENTS}, l AS (SELECT *, ['JANE DOE: ', 'Bob Ray -- ', 'The man: ', 'no name ', '<c>Q: '][CAST(seg_index % 5 + 1 AS INTEGER)] || text AS line FROM segments)
 SELECT document_id, seg_index, CASE seg_index % 5 WHEN 0 THEN 'Jane Doe' WHEN 1 THEN 'Bob Ray' END AS speaker, trim(regexp_replace(regexp_replace({s_markup('line')}, '\\{{[^}}]*\\}}', '', 'g'), '\\s+', ' ', 'g')) AS cue, regexp_matches(text, '\\d') AS numeric FROM l"""
 
 
@@ -116,12 +116,6 @@ OVERVIEW = f"""WITH {BARS}, l AS (SELECT symbol, arg_max(close, day) AS close, m
 SELECT c.symbol, c.at_ AS "at", close, day, score, score IS NOT NULL AS has_report FROM (SELECT 'S' || c_custkey AS symbol, c_custkey AS at_ FROM customer) c LEFT JOIN l USING (symbol) LEFT JOIN r USING (symbol)"""
 
 
-def mentions(s, d):
-    """Capital tickers named in texts, by frequency."""
-    up = F.upper(F.regexp_replace("text", r"[^\x00-\x7F]", "1"))
-    return table(s, d, "conversations").select(F.explode(F.regexp_extract_all(up, F.lit(r"\b([A-Z]{2,5})\b"), F.lit(1))).alias("ticker")).groupBy("ticker").agg(F.count("*").alias("n"))
-
-
 def sessions(s, d):
     """Sessions of users that are neither expired nor revoked."""
     o = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.col("o_orderdate").alias("expires"), (F.col("o_orderstatus") == "F").alias("revoked"))
@@ -150,7 +144,6 @@ QUERIES = {
     "join23_repeated_sentences": (membership, MEMBERSHIP),
     "json01_02_13_14_payload": (payload, "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN event_type END AS event_type, round(CASE WHEN event_id % 10 <> 0 THEN value END, 4) AS value, CASE WHEN event_id % 10 <> 0 THEN user_id END AS user_id FROM events"),
     "join10_25_26_27_30_overview": (overview, OVERVIEW),
-    "agg30_str14_mentions": (mentions, "SELECT ticker, count(*) AS n FROM (SELECT unnest(regexp_extract_all(upper(regexp_replace(text, '[^\\x00-\\x7F]', '1', 'g')), '\\b([A-Z]{2,5})\\b', 1)) AS ticker FROM conversations) GROUP BY ticker"),
     "join07_sessions": (sessions, "SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate > TIMESTAMP '1999-01-01' AND o_orderstatus <> 'F'"),
     "src25_strm03_cursor_page": (cursor, "SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-10' OR (ts = TIMESTAMP '2024-01-10' AND event_id > 5) ORDER BY ts, event_id LIMIT 200"),
     "src20_24_str19_20_21_proj06_assets": (assets, f"WITH {SYMBOLS} SELECT symbol, exchange, 'BRK.' || substr(exchange, 1, 1) AS dotted, 'ABP' AS ticker, regexp_replace(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), '^the ', '') AS searchable FROM symbols WHERE tradable AND name IS NOT NULL"),
@@ -160,8 +153,5 @@ QUERIES = {
     "agg35_36_37_directory": (lambda s, d: symbols(s, d).agg(F.count("*").alias("n"), F.max("symbol").alias("newest"), F.count_if("tradable").alias("tradable")), f"WITH {SYMBOLS} SELECT count(*) AS n, max(symbol) AS newest, count(*) FILTER (tradable) AS tradable FROM symbols"),
     "topk11_18_nulls_last_listing": (lambda s, d: overview(s, d).orderBy(F.asc_nulls_last("score"), "symbol").limit(50).select("symbol", "score"), f"SELECT symbol, score FROM ({OVERVIEW}) ORDER BY score ASC NULLS LAST, symbol LIMIT 50"),
     "win36_dated_points": (lambda s, d: bars(s, d).groupBy("symbol").agg(F.sort_array(F.collect_list("day")).alias("d")).select("symbol", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.get("d", F.floor(i * (F.size("d") - 1) / 9 + 0.5).cast("int"))))).alias("day")), f"WITH {BARS}, l AS (SELECT symbol, list(day ORDER BY day) AS d FROM bars GROUP BY symbol) SELECT symbol, unnest(list_distinct(list_transform(range(0, 10), lambda i: d[CAST(floor(i * (len(d) - 1) / 9 + 0.5) AS BIGINT) + 1]))) AS day FROM l"),
-    "dml07_08_reflag": (lambda s, d: docs(s, d).withColumn("flag", T.fingerprint(F.substring("text", 1, 200)).contains("the")).groupBy("ticker", "flag").agg(F.count("*").alias("n")), f"WITH {DOCS} SELECT ticker, contains({s_fingerprint('substr(text, 1, 200)')}, 'the') AS flag, count(*) AS n FROM docs GROUP BY ALL"),
-    "dml14_15_16_17_credit_once": (lambda s, d: ledger(s, d).filter("reason = 'grant'").select("user_id", F.col("id").alias("idem"), "delta").join(ledger(s, d).filter("id % 2 = 0").select(F.col("id").alias("idem")), "idem", "left_anti"), f"WITH {LEDGER} SELECT user_id, id AS idem, delta FROM ledger WHERE reason = 'grant' AND id % 2 <> 0"),
-    "dml23_24_remove_reconcile": (lambda s, d: ledger(s, d).filter("NOT (user_id = 7 AND reason = 'spend')").groupBy("user_id").agg(F.count("*").alias("n")), f"WITH {LEDGER} SELECT user_id, count(*) AS n FROM ledger WHERE NOT (user_id = 7 AND reason = 'spend') GROUP BY user_id"),
     "arr01_02_03_slices": (lambda s, d: segments(s, d).groupBy("document_id").agg(F.sort_array(F.collect_set("speaker")).alias("who"), F.sort_array(F.collect_list("seg_index")).alias("i")).select("document_id", F.array_join("who", ",").alias("who"), F.array_join(F.transform(F.slice("i", 1, 3), lambda x: x.cast("string")), ",").alias("first")), f"WITH {SEGMENTS} SELECT document_id, coalesce(array_to_string(list_sort(list_distinct(list(speaker) FILTER (speaker IS NOT NULL))), ','), '') AS who, array_to_string(list_sort(list(seg_index))[1:3], ',') AS first FROM segments GROUP BY document_id"),
 }

@@ -113,8 +113,7 @@ SELECT phrase, words, count(*) AS n FROM g WHERE NOT list_contains({EDGES}, stri
     "win22_carry_speaker": (lambda s, d: E.carry_speaker(segments(s, d)).select("document_id", "seg_index", "current_speaker"), f"WITH {SEGMENTS} SELECT document_id, seg_index, last_value(speaker IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY seg_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current_speaker FROM segments"),
     "win35_headlines_per_ticker": (lambda s, d: E.cap_per(docs(s, d), "ticker", 3, F.desc("published"), F.col("id")).select("ticker", "id", "published"), f"WITH {DOCS} SELECT ticker, id, published FROM docs QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY published DESC, id) <= 3"),
     "topk13_dedupe_hash": (lambda s, d: E.latest_per(table(s, d, "documents").withColumn("h", F.sha2("text", 256)), "h", F.col("doc_id")).select("doc_id", "h"), "SELECT min(doc_id) AS doc_id, sha256(text) AS h FROM documents GROUP BY 2"),
-    "topk14_headline_key": (lambda s, d: E.latest_per(docs(s, d).withColumn("key", T.fingerprint(F.substring("text", 1, 60))), "key", F.col("tier"), F.col("id")).select("key", "id", "tier"), f"WITH {DOCS} SELECT {s_fingerprint('substr(text, 1, 60)')} AS key, id, tier FROM docs QUALIFY row_number() OVER (PARTITION BY key ORDER BY tier, id) = 1"),
-    "topk14_whole_headline_key": (lambda s, d: E.latest_per(docs(s, d).withColumn("key", T.headline_key(F.col("text"))).withColumn("_same", F.struct("key", F.when(F.col("key") == "", F.col("id")))), "_same", F.col("tier"), F.col("id")).select("key", "id", "tier"), f"WITH {DOCS}, k AS (SELECT {s_headline_key('text')} AS key, id, tier FROM docs) SELECT key, id, tier FROM k QUALIFY row_number() OVER (PARTITION BY key, CASE WHEN key = '' THEN id END ORDER BY tier, id) = 1"),
+    "topk14_headline_key": (lambda s, d: E.latest_per(docs(s, d).withColumn("key", T.headline_key(F.col("text"))).withColumn("_same", F.struct("key", F.when(F.col("key") == "", F.col("id")))), "_same", F.col("tier"), F.col("id")).select("key", "id", "tier"), f"WITH {DOCS}, k AS (SELECT {s_headline_key('text')} AS key, id, tier FROM docs) SELECT key, id, tier FROM k QUALIFY row_number() OVER (PARTITION BY key, CASE WHEN key = '' THEN id END ORDER BY tier, id) = 1"),
     "topk08_bounded_evidence": (lambda s, d: E.cap_per(signals(s, d), "ticker", 10, F.desc("strength"), F.col("id")).select("ticker", F.lit("signal").alias("kind"), "id").unionByName(E.cap_per(docs(s, d).filter("tier < 3"), "ticker", 15, F.desc("published"), F.col("id")).select("ticker", F.lit("news").alias("kind"), "id")), f"WITH {SIGNALS}, {DOCS}, a AS (SELECT ticker, 'signal' AS kind, id FROM signals QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY strength DESC, id) <= 10), b AS (SELECT ticker, 'news' AS kind, id FROM docs WHERE tier < 3 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY published DESC, id) <= 15) SELECT * FROM a UNION ALL SELECT * FROM b"),
     "fil06_not_boilerplate": (lambda s, d: E.usable(signals(s, d)).select("id", "ticker"), f"WITH {SIGNALS} SELECT id, ticker FROM signals WHERE coalesce(is_boilerplate, 0) = 0"),
     "fil07_tier_defaults": (lambda s, d: signals(s, d).select("id", (F.coalesce("source_tier", F.lit(3)) < 3).alias("is_news"), (F.coalesce("source_tier", F.lit(0)) == 0).alias("is_primary")), f"WITH {SIGNALS} SELECT id, coalesce(source_tier, 3) < 3 AS is_news, coalesce(source_tier, 0) = 0 AS is_primary FROM signals"),
