@@ -44,9 +44,9 @@ def sentences(text: Column, shortest: int = 20) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words with inner hyphens; no pure digits, 2 to 39 long."""
-    parts = F.split(F.regexp_replace(F.lower(text), "[‘’]", "'"), r"[^a-z0-9'&-]+")
-    bare = F.transform(parts, lambda w: F.regexp_replace(w, r"^[-']+|[-']+$", ""))
-    return F.filter(bare, lambda w: (F.char_length(w) > 1) & (F.char_length(w) < 40) & ~w.rlike(r"^\d+$"))
+    low = F.regexp_replace(F.lower(text), "[‘’]", "'")
+    bare = F.regexp_extract_all(low, F.lit("[a-z0-9&](?:[a-z0-9'&-]*[a-z0-9&])?"), F.lit(0))  # runs without hyphens and quotes at their ends
+    return F.filter(bare, lambda w: (F.length(w) > 1) & (F.length(w) < 40) & (F.translate(w, "0123456789", "") != ""))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -58,13 +58,14 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def phrases(tokens: Column, longest: int = 3, edges: list[str] = PHRASE_STOPWORDS + NOISE) -> Column:
     """Distinct runs of 1 to `longest` tokens that neither begin nor end with a word in edges."""
-    kept = lambda run: ~F.element_at(run, 1).isin(edges) & ~F.element_at(run, -1).isin(edges)
+    marked = F.transform(tokens, lambda w: F.struct(w.alias("w"), (~w.isin(edges)).alias("ok")))
 
     def runs(t: Column, n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, n))
-        return F.when(F.size(t) >= n, F.transform(F.filter(every, kept), lambda run: F.array_join(run, " "))).otherwise(F.array().cast("array<string>"))
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.get(t, i)["ok"] & F.get(t, i + (n - 1))["ok"])
+        joined = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(t, i + k)["w"] for k in range(n)]))
+        return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
 
-    return let(tokens, lambda t: F.array_distinct(F.concat(*[runs(t, n) for n in range(1, longest + 1)])))
+    return let(marked, lambda t: F.array_distinct(F.concat(*[runs(t, n) for n in range(1, longest + 1)])))
 
 
 def fingerprint(sentence: Column) -> Column:
