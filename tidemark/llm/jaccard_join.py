@@ -389,14 +389,21 @@ def differences(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 
 
 def crowded_members(crowded: DataFrame, classes: DataFrame) -> DataFrame:
-    """(band, leader, rep) of the sets that crowded entries (entry, node) hold together: leaders included, entries within a set's slack left out."""
+    """(band, leader, rep) of the sets that crowded entries (entry, node) hold together: leaders included, entries within a set's slack left out.
+
+    The leader is the set with the most crowded entries, of equal ones that of
+    the smallest id: what copies were made from shares all that they share, so
+    few of them differ from it in the same way.
+    """
     names = classes.select(F.col("lo").alias("node"), "rep", "spare")
     low, weight = F.col("entry").bitwiseAND(63 | 128).cast("int"), F.when(F.col("entry").bitwiseAND(64) == 64, 2).otherwise(1)
     rows = crowded.join(names, "node").select("entry", "rep", low.alias("scheme"), weight.alias("weight"), "spare")
     load = rows.groupBy("rep", "scheme").agg(F.sum("weight").alias("load"), F.first("spare").alias("spare"))
-    kept = load.filter(F.col("load") > F.coalesce(F.element_at("spare", F.col("scheme")), F.lit(-1))).select("rep", "scheme")
+    band = F.col("scheme").bitwiseAND(63)
+    load = load.withColumn("apart", -F.sum("load").over(Window.partitionBy("rep", band)))
+    kept = load.filter(F.col("load") > F.coalesce(F.element_at("spare", F.col("scheme")), F.lit(-1))).select("rep", "scheme", "apart")
     rows = rows.select("entry", "rep", "scheme").join(kept, ["rep", "scheme"])
-    member = F.struct(F.col("scheme").bitwiseAND(63).alias("band"), "rep")
+    member = F.struct(band.alias("band"), "apart", "rep")
     meet = rows.groupBy("entry").agg(F.min(member).alias("b")).join(rows.select("entry", member.alias("a")), "entry").select("a", "b").distinct()
     return components(meet).select("component.band", F.col("component.rep").alias("leader"), "node.rep")
 
@@ -404,8 +411,8 @@ def crowded_members(crowded: DataFrame, classes: DataFrame) -> DataFrame:
 def crowded_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Links of leaders, and pairs of other members that may link.
 
-    The sets of a band that crowded entries hold together are a cluster, its
-    smallest id the leader. Each member is compared with the leader. Two
+    The sets of a band that crowded entries hold together are a cluster with
+    one leader. Each member is compared with the leader. Two
     members differ in just the elements in which one of them differs from the
     leader and the other doesn't, so a link between two that aren't both the
     leader's needs many differences in common. In one order for all, rarest
