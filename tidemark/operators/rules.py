@@ -35,9 +35,9 @@ def latest_value(facts: DataFrame, as_of: str) -> DataFrame:
     return rows.groupBy("symbol", "concept").agg(F.max_by("val", F.struct("end", "pos")).alias("val"))
 
 
-def yearly_growth(facts: DataFrame, as_of: str) -> DataFrame:
+def yearly_growth(facts: DataFrame, as_of: str, forms: str = "^10-K$") -> DataFrame:
     """(symbol, concept, growth): percent between the last two annual values of 300 days or more."""
-    annual = facts.filter((F.col("form") == "10-K") & (F.col("fp") == "FY") & (F.datediff("end", "start") >= 300) & (F.col("end") <= F.lit(as_of).cast("date")))
+    annual = facts.filter(F.col("form").rlike(forms) & (F.col("fp") == "FY") & (F.datediff("end", "start") >= 300) & (F.col("end") <= F.lit(as_of).cast("date")))
     last = F.slice(F.sort_array(F.collect_list(F.struct("end", "pos", "val")), False), 1, 2)
     two = annual.groupBy("symbol", "concept").agg(last.alias("l")).filter("size(l) = 2")
     now, prior = F.get("l", 0)["val"], F.get("l", 1)["val"]
