@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import labelled, slices
 
 SLOTS = 1 << 16
+#: Bytes of a model that is broadcast: SLOTS x 4 a language, so some 4,000 languages.
+LARGEST_MODEL = 1 << 30
 #: Training rows of a language: those of the lowest hash of the id.
 SAMPLE = 1500
 UNKNOWN = "und"
@@ -109,6 +111,8 @@ def identify(docs: DataFrame, languages: list[str], p: np.ndarray, text: str = "
     whose name sorts first. Repeated rows get equal results; an empty table
     gives an empty table; columns named as a result are replaced.
     """
+    if p.nbytes > LARGEST_MODEL:
+        raise ValueError(f"a model of {len(languages)} languages is too large to be sent to every task")
     shared = docs.sparkSession.sparkContext.broadcast((languages, p))  # languages x SLOTS x 4 bytes
     keep = [c for c in docs.columns if c not in (text, "lang_pred", "score", "mixture")]
 
