@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import imatch, jaccard_join, langid, materialise, mixing, packing, quality, token_counts, topk_search, toxicity
+from tidemark.llm import best_fit, fill_in_middle, imatch, jaccard_join, langid, materialise, mixing, packing, quality, token_counts, topk_search, toxicity
 from tidemark.llm.common import fold, table
 from tidemark.session import shared_dir
 
-BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+BYTE_BPE, PIECE_BPE, WORD_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"
 
 LEVELS = ["domain", "lang", "source"]
 WEIGHTS = {"domain": {"crawl": 3, "reference": 5, "forum": 2}, "lang": {"en": 6, "de": 2, "*": 1}, "source": {"src1": 3, "*": 1}}
@@ -74,10 +74,21 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_in_middle.restore(fill_in_middle.fill_in_middle(docs, rate=100, spm=50, seed="7:"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), capacity=4096, end_id=1)
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    found = (op1_jaccard_join, op2_packing, op3_materialise, op4_language_id, op5_quality, op6_topk, op7_mixing, op8_toxicity, op9_token_counts, op10_imatch)
+    found = (op1_jaccard_join, op2_packing, op3_materialise, op4_language_id, op5_quality, op6_topk, op7_mixing, op8_toxicity, op9_token_counts, op10_imatch, op11_fill_in_middle, op13_best_fit)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -111,6 +122,19 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+FILL_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS sha, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l FROM documents),
+h AS (SELECT *, CAST(len(l) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(sha, i, 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(l[1:a], ''), '') AS pre, coalesce(array_to_string(l[a + 1:b], ''), '') AS mid, coalesce(array_to_string(l[b + 1:], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(pre || mid || suf) AS restored_sha256
+FROM p
+"""
+
+
 def mixing_sql(share: float = 0.8, epochs: int = 3, seed: str = "mix-1") -> str:
     """The same budgets and prefixes level by level, on whole tables."""
 
@@ -146,4 +170,4 @@ def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op1_jaccard_join": JACCARD_SQL, "op6_topk": TOPK_SQL, "op7_mixing": mixing_sql()} | own
+    return {"op1_jaccard_join": JACCARD_SQL, "op6_topk": TOPK_SQL, "op7_mixing": mixing_sql(), "op11_fill_in_middle": FILL_SQL} | own
