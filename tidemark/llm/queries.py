@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import best_fit, fill_in_middle, imatch, jaccard_join, langid, materialise, mixing, packing, quality, token_counts, topk_search, toxicity
+from tidemark.llm import best_fit, divergence, fill_in_middle, imatch, jaccard_join, langid, materialise, mixing, packing, quality, token_counts, topk_search, toxicity
 from tidemark.llm.common import fold, table
 from tidemark.session import shared_dir
 
@@ -81,6 +81,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), capacity=4096, end_id=1)
 
@@ -88,7 +92,7 @@ def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    found = (op1_jaccard_join, op2_packing, op3_materialise, op4_language_id, op5_quality, op6_topk, op7_mixing, op8_toxicity, op9_token_counts, op10_imatch, op11_fill_in_middle, op13_best_fit)
+    found = (op1_jaccard_join, op2_packing, op3_materialise, op4_language_id, op5_quality, op6_topk, op7_mixing, op8_toxicity, op9_token_counts, op10_imatch, op11_fill_in_middle, op12_divergence, op13_best_fit)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -135,6 +139,28 @@ FROM p
 """
 
 
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+n AS (SELECT g.lang, g.source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT n.lang, n.source, k.term, coalesce(c.n, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (n.n + 2 * v.v) AS p
+  FROM n JOIN v ON v.lang = n.lang JOIN k ON k.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+q AS (SELECT x.lang, x.term, 1 + (1000000000::HUGEINT * (x.n + 2)) // (y.n + 2 * v.v) AS q FROM (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL) x
+  JOIN (SELECT lang, sum(n) AS n FROM n GROUP BY lang) y ON y.lang = x.lang JOIN v ON v.lang = x.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+e AS (SELECT 'pair' AS part, a.lang, a.source, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT 'term', p.lang, p.source, p.term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE c > 0 AND p > q),
+o AS (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def mixing_sql(share: float = 0.8, epochs: int = 3, seed: str = "mix-1") -> str:
     """The same budgets and prefixes level by level, on whole tables."""
 
@@ -170,4 +196,4 @@ def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op1_jaccard_join": JACCARD_SQL, "op6_topk": TOPK_SQL, "op7_mixing": mixing_sql(), "op11_fill_in_middle": FILL_SQL} | own
+    return {"op1_jaccard_join": JACCARD_SQL, "op6_topk": TOPK_SQL, "op7_mixing": mixing_sql(), "op11_fill_in_middle": FILL_SQL, "op12_divergence": DIVERGENCE_SQL} | own
