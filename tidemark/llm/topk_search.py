@@ -11,7 +11,8 @@ fine, and computes exact integer products for the survivors. The first
 bounds of all tasks are the k-th best scores in a sample of the candidates.
 
 Queries are taken in blocks of bounded size, read in the order of their ids;
-each block is one scan of the candidates with k rows a query and task out.
+each block is one scan of the candidates with k rows a query and task out,
+settled before the next block is read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 #: Bytes of scaled queries of a block that the driver and each task hold, and rows of the sample that gives the first bounds.
 BLOCK_BYTES, SEEDS = 64 << 20, 4096
 #: Share of pairs left from which on a level is computed for the pairs alone.
@@ -124,21 +127,26 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, block: i
         shared = spark.sparkContext.broadcast((queries, unknown))
         low = dict(first(seeds.mapInArrow(_scan(shared, k), OUT)).filter(F.col("rank") == k).select("query_id", "score").toArrow().to_pandas().itertuples(index=False))  # a number a query
         known = {d: np.array([low.get(int(i), -np.inf) for i in q[0]], float) for d, q in queries.items()}
-        scans.append(rows.mapInArrow(_scan(spark.sparkContext.broadcast((queries, known)), k), OUT))
+        shared.destroy()
+        shared = spark.sparkContext.broadcast((queries, known))
+        scans.append(settle(first(rows.mapInArrow(_scan(shared, k), OUT))))  # k rows a query: the block's broadcast is done with
+        shared.destroy()
         if page.num_rows < block:
             break
     if not scans:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return first(reduce(DataFrame.unionByName, scans)).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, scans).select("query_id", "rank", "vec_id", "score")
 
 
-def survivors(q: np.ndarray, x: np.ndarray, coarse: list, fine: list, floor: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def survivors(q: np.ndarray, x: np.ndarray, coarse: list, fine: list, floor: np.ndarray, bounds: np.ndarray, k: int, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, exact product) of the pairs that no level rules out and whose product reaches the query's bound.
 
+    `own` are the pairs of a query and a row of its id, which take no part.
     While more than DENSE of all pairs are left, a level is one product of
     matrices, which costs less than picking the pairs; then it is theirs alone.
     """
     left, pairs = np.ones((len(q), len(x)), bool), None
+    left[own] = False
     for lq, lx in zip(coarse, fine, strict=True):
         if pairs is None:
             left &= lq @ lx.T >= floor[:, None]
@@ -150,8 +158,9 @@ def survivors(q: np.ndarray, x: np.ndarray, coarse: list, fine: list, floor: np.
             pairs = qi[keep], xi[keep]
     if pairs is None and q.shape[1] * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) < 1 << 53:
         score = q @ x.T  # whole numbers under 2^53: exact
-        if score.shape[1] > k + 1:  # one of the k + 1 highest may be the query itself
-            bounds = np.maximum(bounds, np.partition(score, -(k + 1), axis=1)[:, -(k + 1)])
+        score[own] = -np.inf
+        if score.shape[1] > k:
+            bounds = np.maximum(bounds, np.partition(score, -k, axis=1)[:, -k])
         qi, xi = np.nonzero(left & (score >= bounds[:, None]))
         return qi, xi, score[qi, xi].astype(np.int64)
     qi, xi = np.nonzero(left) if pairs is None else pairs
@@ -176,9 +185,9 @@ def _scan(shared, k: int):
                     fine = [features(x, s) for s in segments(dim)]
                     slack = 1 + 1e-9 * dim * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0))
                     floor = bounds[dim] - slack  # rounding of the bounds never drops a pair
-                    qi, xi, score = survivors(q, x, levels[dim], fine, floor, bounds[dim], k)
-                    other = query_ids[qi] != ids[xi]
-                    qi, xi, score = qi[other], xi[other], score[other]
+                    place = np.minimum(np.searchsorted(query_ids, ids), len(query_ids) - 1)  # ids of queries ascend
+                    mine = np.flatnonzero(query_ids[place] == ids)
+                    qi, xi, score = survivors(q, x, levels[dim], fine, floor, bounds[dim], k, (place[mine], mine))
                     s = state[dim]
                     state[dim] = s = list(best(np.r_[s[0], qi], np.r_[s[1], ids[xi]], np.r_[s[2], score], k))
                     n = np.bincount(s[0], minlength=len(query_ids))
