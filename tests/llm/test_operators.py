@@ -119,6 +119,24 @@ def test_topk(spark):
     assert topk_search.top_k(df.filter("false"), F.lit(True)).collect() == []
 
 
+@pytest.mark.parametrize("times", [2, 11, 50])
+def test_topk_of_repeated_ids(spark, times):
+    """A query's id in many rows takes no place among its results, whatever the number of parts and blocks."""
+    r = np.random.RandomState(times)
+    v = {i: r.randn(16).round(3).tolist() for i in range(60)}
+    rows = [(i, v[i], "x") for i in v] + [(i, v[i], "y") for i in (0, 20, 21) for _ in range(times - 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    whole = [(i, np.floor(np.array(e) * 1024).astype(np.int64)) for i, e, _ in rows]
+    want = []
+    for q in (0, 20, 40):
+        mine = next(x for i, x in whole if i == q)
+        best = sorted(((-int(mine @ x), i) for i, x in whole if i != q))[:10]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    for parts in (1, 3):
+        got = topk_search.top_k(df.repartition(parts), F.col("vec_id") % 20 == 0, k=10, block=2).collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_topk_of_large_and_tiny_components(spark):
     rng = np.random.default_rng(8)
     v = (rng.normal(size=(90, 8)) * 10.0 ** rng.integers(-12, 7, (90, 1))).astype(np.float32)
@@ -245,6 +263,10 @@ def test_toxicity_grammar(spark):
     assert score("the idiot, you.") == score("you, the idiot.") == 4.0 * 1.3
     assert 0 < score("she said I will kill you.") < score("I will kill you.") and 0 < score("I will never kill you.") < score("I will kill you.")
     assert score("kill. you") == 0 and score("du idiot") == score("tu idiot") == score("usted idiot") == 4.0 * 1.3
+    for gap in ("\t", "\r", "\u00a0", "\u2003", "\x0b", " \r\n".strip("\n"), "  "):
+        assert score(f"you{gap}idiot.") == score("you idiot."), repr(gap)
+    assert score("you\nidiot.") == score("you\r\nidiot.") == 4.0  # a line is a clause
+    assert score("idiot" * 5000) == 0.0 and toxicity.tokens("a\u00a0b\tc\n\nd") == ["a", "b", "c", "\n", "\n", "d"]
     assert score("you are kind. an idiot") == 4.0 and toxicity.clause_scores(None, lexicon) == ([], 0)
 
     def make(r):

@@ -49,6 +49,11 @@ def test_held_out(spark, name, column, folds, out, least):
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet").toPandas()
     both = got[got.held_out].merge(labels, on="doc_id")
     assert auc(both.score.to_numpy(), both[column].to_numpy()) >= least
+    bad = both[both[column] == 1]
+    if column == "toxic":
+        assert bad.predicted.mean() >= 0.75 and both[both[column] == 0].predicted.mean() <= 0.02
+    else:
+        assert bad.predicted.mean() >= 0.9
 
 
 def test_language_held_out(spark):
