@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import records as X
@@ -12,9 +14,11 @@ from tidemark.operators import analysis as N
 from tidemark.operators import evidence as E
 from tidemark.operators import folds as O
 from tidemark.operators import lookup as L
+from tidemark.operators import search as H
 from tidemark.operators import technical as C
 from tidemark.plans.stories import FIRED, STORIES, all_signals, fired, stories
-from tidemark.plans.views import BARS, SEGMENTS, bars, segments, table
+from tidemark.plans.views import BARS, DOCS, SEGMENTS, bars, docs, segments, table
+from tidemark.session import shared_dir
 from tidemark.sources import parsers as P
 
 NOW = "1998-06-01"
@@ -216,11 +220,33 @@ array_to_string(list_filter([CASE WHEN len(dn) > 0 THEN 'Trading below its ' ||
 
 def searched(s, d, query):
     """Segments that a full-text query finds, or that hold it as it stands where no word does."""
-    rows = segments(s, d)
-    hits = L.fulltext(rows, ["document_id", "seg_index"], "text", query)
-    plain = rows.filter(F.lower("text").contains(query.lower().replace("%", "").replace("_", ""))).select("document_id", "seg_index")
-    none = hits.agg((F.count("*") == 0).alias("none"))
-    return hits.unionByName(plain.join(F.broadcast(none)).filter("none").drop("none"))
+    return H.found_or_held(segments(s, d), ["document_id", "seg_index"], "text", query)
+
+
+def asked(s, d):
+    """A query of two words for every conversation: the third of its first turn, and the first three letters of the fifth."""
+    w = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    return table(s, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("query_id"), F.concat_ws(" ", F.get(w, 2), F.left(F.get(w, 4), F.lit(3))).alias("query"))
+
+
+def indexed(s, d):
+    """Each query's segments, by an index over their texts and speakers."""
+    index = H.write_index(segments(s, d), ["document_id", "seg_index"], ["text", "speaker"], f"{shared_dir(s)}/index-{uuid.uuid4().hex}")
+    return index.search(asked(s, d))
+
+
+def indexed_tickers(s, d):
+    """The tickers whose documents each query finds."""
+    index = H.write_index(docs(s, d), ["ticker"], ["text", "ticker"], f"{shared_dir(s)}/index-{uuid.uuid4().hex}")
+    return index.search(asked(s, d)).distinct()
+
+
+ASKED = r"""asked AS (SELECT query_id, list_filter(l, lambda t: length(t) >= 2 OR regexp_matches(t, '[0-9]')) AS l FROM (SELECT query_id, regexp_extract_all(lower(q), '[\p{L}\p{N}]+') AS l
+  FROM (SELECT conv_id AS query_id, concat_ws(' ', w[3], left(w[5], 3)) AS q FROM (SELECT conv_id, regexp_extract_all(text, '\S+') AS w FROM conversations WHERE turn = 0))))"""
+
+
+def finds(text: str) -> str:
+    return f"SELECT * FROM (SELECT *, list_distinct(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS w FROM rows_) r JOIN asked a ON len(a.l) > 0 AND len(list_filter(a.l, lambda t: len(list_filter(r.w, lambda x: starts_with(x, t))) = 0)) = 0"
 
 
 def pick(values, key="p_partkey"):
@@ -262,6 +288,8 @@ QUERIES = {
     "agg32_levels": (lambda s, d: N.levels(bars(s, d)).select("symbol", round_half_up(F.col("price"), 4).alias("price"), "touches", "kind"), LEVELS),
     "agg33_str52_53_niches": (niche_rows, None),
     "math15_indicator_notes": (notes, NOTES),
+    "fil09_indexed_search": (indexed, f"WITH {SEGMENTS}, {ASKED}, rows_ AS (SELECT * FROM segments) SELECT query_id, document_id, seg_index FROM ({finds("concat_ws(' ', text, speaker)")})"),
+    "join12_indexed_tickers": (indexed_tickers, f"WITH {DOCS}, {ASKED}, rows_ AS (SELECT ticker, text FROM docs) SELECT DISTINCT query_id, ticker FROM ({finds("concat_ws(' ', text, ticker)")})"),
     "fil11_search_fallback": (lambda s, d: searched(s, d, "the th").withColumn("q", F.lit(1)).unionByName(searched(s, d, ". ").withColumn("q", F.lit(2))), f"WITH {SEGMENTS}, t AS (SELECT *, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM segments) SELECT document_id, seg_index, CAST(1 AS INTEGER) AS q FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'the'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0 UNION ALL SELECT document_id, seg_index, 2 FROM t WHERE contains(lower(text), '. ')"),
     "join12_fulltext_tickers": (lambda s, d: stories(s, d).join(L.fulltext(stories(s, d).select("id", F.concat_ws(" ", "text", "company", "ticker").alias("all_")), ["id"], "all_", "zela backlog"), "id", "left_semi").select("ticker").distinct().orderBy("ticker").limit(25), f"WITH {STORIES}, t AS (SELECT ticker, regexp_extract_all(lower(text || ' ' || company || ' ' || ticker), '[\\p{{L}}\\p{{N}}]+') AS w FROM stories) SELECT DISTINCT ticker FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'zela'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'backlog'))) > 0 ORDER BY ticker LIMIT 25"),
     "agg39_session_closes": (lambda s, d: table(s, d, "lineitem").groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.to_date("l_shipdate").alias("session")).agg(F.max_by("l_extendedprice", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")).alias("close")), "SELECT 'S' || l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS session, arg_max(l_extendedprice, row(l_shipdate, l_orderkey, l_linenumber, l_extendedprice)) AS close FROM lineitem GROUP BY 1, 2"),
