@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import slices
 from tidemark.session import settle, settle_table
 
+#: Rows that a task adds up at a time, and rows of a table with one row a language or group that are broadcast at most; more are joined by a shuffle.
+BLOCK, MOST_SHARED = 1_500_000, 1_000_000
 #: Runs of ASCII letters and of bytes beyond ASCII, in bytes of which A-Z are lower-cased.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: Ends a complete term; no term holds it.
@@ -57,9 +59,20 @@ def shared_levels(terms: pa.Array, first: np.ndarray) -> np.ndarray:
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, shared): a row for each different term of a row's whole text, in order; one of the term '' for a text without any. Nulls read as ''."""
+    """(lang, source, term, shared, docs, n): how many documents of a group hold a term after one with which it shares so many levels, and how often.
+
+    A document's terms are those of its whole text, in order. A task adds up
+    some BLOCK of its rows at a time; all further sums are Spark's. A text
+    without terms counts as one of the term ''. Nulls read as ''.
+    """
+    keys, names = ["lang", "source", "term", "shared"], ["lang", "source", "term", "shared", "docs", "n"]
 
     def work(batches):
+        held, size = [], 0
+
+        def summed():
+            return pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([("n", "count"), ("n", "sum")]).rename_columns(names).to_batches()
+
         for piece in slices(batches):
             terms, counts, sizes = [], [], []
             for t in piece.column(2).to_pylist():
@@ -72,11 +85,16 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
             first = np.zeros(len(terms), bool)
             first[np.cumsum([0, *sizes[:-1]])] = True
             column = strings(terms)
-            cols = [piece.column(0).take(row), piece.column(1).take(row), column, pa.array(counts, pa.int64()), pa.array(shared_levels(column, first))]
-            yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n", "shared"])
+            held.append(pa.table([piece.column(0).take(row), piece.column(1).take(row), column, pa.array(shared_levels(column, first)), pa.array(counts, pa.int64())], [*keys, "n"]))
+            size += len(terms)
+            if size > BLOCK:
+                yield from summed()
+                held, size = [], 0
+        if held:
+            yield from summed()
 
     read = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select(read(lang), read(source), read(text).cast("binary")).mapInArrow(work, "lang string, source string, term string, n long, shared int")
+    return docs.select(read(lang), read(source), read(text).cast("binary")).mapInArrow(work, "lang string, source string, term string, shared int, docs long, n long")
 
 
 def _bucket(*keys) -> Column:
@@ -96,7 +114,7 @@ def kept_terms(rows: DataFrame, least: int = 10) -> DataFrame:
         if before is not None:
             new = new.filter(F.octet_length("term") >= length // 2).withColumn("bucket", _bucket("lang", _cut(F.col("term"), length // 2))).join(F.broadcast(before), "bucket", "left_semi")
         prefix = _cut(F.concat("term", F.lit(END)), length)
-        kept = settle(new.groupBy("lang", prefix.alias("prefix")).agg(F.count("*").alias("docs")).filter(F.col("docs") >= least))
+        kept = settle(new.groupBy("lang", prefix.alias("prefix")).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least))
         whole = F.substring("prefix", -1, 1) == F.lit(END).cast("binary")
         found.append(kept.filter(whole).select("lang", F.rtrim(F.col("prefix").cast("string"), F.lit(END)).alias("term"), "docs"))
         before = kept.filter(~whole).select(_bucket("lang", "prefix").alias("bucket")).distinct()
@@ -125,6 +143,12 @@ def _differs(p: str, q: str) -> str:
     return f"((({p}) - ({q})) * (({p}) - ({q}))) DIV (({p}) + ({q}))"
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A settled table, broadcast if it is small: no language's rows then meet in one task."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= MOST_SHARED else df
+
+
 def audit(docs: DataFrame, least: int = 10, top: int = 10, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank): how each (lang, source) group's shares of the kept terms differ.
 
@@ -148,11 +172,11 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10, text: str = "text", l
     kept = settle(kept_terms(rows, least))
     counts = settle(counted(rows, kept))
 
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("size"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    sizes = _few(kept.groupBy("lang").agg(F.count("*").alias("size")))
+    totals = _few(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")))
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("size", F.lit(0)).alias("size"))
-    groups = settle(groups.withColumn("p0", F.when(F.col("size") > 0, F.expr(f"1 + (CAST({ONE} AS DECIMAL(10, 0)) * 2) DIV CAST(total + 2 * size AS DECIMAL(20, 0))")).cast("long")))
+    groups = _few(groups.withColumn("p0", F.when(F.col("size") > 0, F.expr(f"1 + (CAST({ONE} AS DECIMAL(10, 0)) * 2) DIV CAST(total + 2 * size AS DECIMAL(20, 0))")).cast("long")))
     held = settle(counts.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", _share("n", "total", "size").alias("p"), "p0"))
 
     # the two sources of a pair are named in both orders; a, b: the shares where neither holds a term
@@ -173,7 +197,7 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10, text: str = "text", l
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", value.alias("value")).withColumn("rank", F.row_number().over(best))
 
     overall = counts.groupBy("lang", "term").agg(F.sum("n").alias("m"))
-    sums = totals.groupBy("lang").agg(F.sum("total").alias("overall")).join(sizes, "lang")
+    sums = _few(totals.groupBy("lang").agg(F.sum("total").alias("overall")).join(sizes, "lang"))
     overall = overall.join(sums, "lang").select("lang", "term", _share("m", "overall", "size").alias("q"))
     terms = held.join(overall, ["lang", "term"]).filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_differs("p", "q")).alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
