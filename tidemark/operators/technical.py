@@ -6,12 +6,12 @@ null, never a partial value.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.math import clamp, percent_change, round_half_up
+from tidemark.operators.scans import exponential, numbered, wilder, with_means
+from tidemark.session import settle_table
 
 
 def order():
@@ -121,58 +121,26 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     return ranges.select("symbol", wilder_of(F.col("ranges"), n).alias(f"atr_{n}"))
 
 
-def _smoothed(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
-    """The exponential mean at each place from the n-th on, seeded with the plain mean of the first n."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        out[n - 1 :] = pd.Series(np.r_[x[:n].sum() / n, x[n:]]).ewm(alpha=alpha, adjust=False).mean()
-    return out
-
-
-def _ema_series(x: np.ndarray, n: int) -> np.ndarray:
-    return _smoothed(x, n, 2 / (n + 1))
-
-
 def rsi_series(bars: DataFrame, n: int = 14) -> DataFrame:
     """(symbol, day, rsi) for every bar after the n-th: gains against losses under Wilder's mean; 100 without losses."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        change = np.diff(pdf["close"].to_numpy(float))
-        gain, loss = _smoothed(np.maximum(change, 0), n, 1 / n), _smoothed(np.maximum(-change, 0), n, 1 / n)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
-        out = pd.DataFrame({"symbol": pdf["symbol"].to_numpy()[1:], "day": pdf["day"].to_numpy()[1:], "rsi": value})
-        return out[~np.isnan(gain)]
-
-    return bars.select("symbol", "day", "close").groupBy("symbol").applyInPandas(run, "symbol string, day date, rsi double")
+    change = F.col("x") - F.col("previous")
+    means = {"gain": wilder(F.greatest(change, F.lit(0.0)), n, 1), "loss": wilder(F.greatest(-change, F.lit(0.0)), n, 1)}
+    found = with_means(numbered(bars), means).filter("gain IS NOT NULL")
+    return found.select("symbol", "day", F.when(F.col("loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("gain") / F.col("loss"))).alias("rsi"))
 
 
 def macd_series(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """(symbol, day, macd, signal, histogram) for every bar: each symbol's history is one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        x = pdf["close"].to_numpy(float)
-        line = _ema_series(x, fast) - _ema_series(x, slow)
-        at = np.flatnonzero(~np.isnan(line))
-        sig = np.full(len(x), np.nan)
-        sig[at] = _ema_series(line[at], signal)
-        nullable = [[None if np.isnan(v) else float(v) for v in s] for s in (line, sig, line - sig)]
-        return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "day": pdf["day"].to_numpy(), "macd": nullable[0], "signal": nullable[1], "histogram": nullable[2]})
-
-    return bars.select("symbol", "day", "close").groupBy("symbol").applyInPandas(run, "symbol string, day date, macd double, signal double, histogram double")
+    """(symbol, day, macd, signal, histogram) for every bar."""
+    x = F.col("x")
+    lines = with_means(numbered(bars), {"fast": exponential(x, fast), "slow": exponential(x, slow)}).withColumn("macd", F.col("fast") - F.col("slow"))
+    lines = settle_table(lines.select("symbol", "day", "block", "j", "k", "macd"))
+    found = with_means(lines, {"signal": exponential(F.col("macd"), signal, max(fast, slow) - 1)})
+    return found.select("symbol", "day", "macd", "signal", (F.col("macd") - F.col("signal")).alias("histogram"))
 
 
 def ema_series(bars: DataFrame, n: int = 9) -> DataFrame:
     """(symbol, day, ema) for every bar from the n-th on."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        out = pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "day": pdf["day"].to_numpy(), "ema": _ema_series(pdf["close"].to_numpy(float), n)})
-        return out[out["ema"].notna()]
-
-    return bars.select("symbol", "day", "close").groupBy("symbol").applyInPandas(run, "symbol string, day date, ema double")
+    return with_means(numbered(bars), {"ema": exponential(F.col("x"), n)}).filter("ema IS NOT NULL").select("symbol", "day", "ema")
 
 
 def latest(bars: DataFrame) -> DataFrame:
