@@ -10,7 +10,7 @@ from tidemark.operators import evidence as E
 from tidemark.operators import ledger as L
 from tidemark.operators import signals as G
 from tidemark.plans.text import s_fingerprint, s_ngrams, s_sentences
-from tidemark.plans.views import table
+from tidemark.plans.views import spread, table
 
 #: Sentences of stories: {C} company, {T} ticker, {R} another ticker, {N} a number.
 TEMPLATES = [
@@ -44,7 +44,7 @@ def listed(xs: list[str]) -> str:
 
 def stories(s, d):
     """(id, ticker, company, rival, event_date, headline, text): one a part."""
-    p = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.expr(LETTERS.format(k="p_partkey")).alias("ticker"), F.expr(LETTERS.format(k="p_partkey % 97 + 1")).alias("rival"), ((F.col("p_size") * 7 + F.col("p_partkey")) % 880 + 12).cast("string").alias("n"))
+    p = spread(table(s, d, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), F.expr(LETTERS.format(k="p_partkey")).alias("ticker"), F.expr(LETTERS.format(k="p_partkey % 97 + 1")).alias("rival"), ((F.col("p_size") * 7 + F.col("p_partkey")) % 880 + 12).cast("string").alias("n"))
     company = F.concat(F.lit("Zel"), F.lower("ticker"), F.element_at(F.array(*map(F.lit, (" Corp", " Holdings, Inc.", " Group", ""))), (F.col("id") % 4 + 1).cast("int")))
     p = p.withColumn("company", company)
     every = F.array(*map(F.lit, TEMPLATES))

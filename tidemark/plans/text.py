@@ -8,7 +8,7 @@ from tidemark.functions import text as T
 from tidemark.functions.math import lag_weight, round_half_up, spread_percent, tier_weight
 from tidemark.operators import evidence as E
 from tidemark.operators import lookup as L
-from tidemark.plans.views import DOCS, SEGMENTS, SIGNALS, SYMBOLS, docs, segments, signals, symbols, table
+from tidemark.plans.views import DOCS, SEGMENTS, SIGNALS, SYMBOLS, docs, segments, signals, spread, symbols, table
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.CLAIM_STOPWORDS) + "]"
 EDGES = "[" + ", ".join(f"'{w}'" for w in T.PHRASE_STOPWORDS + T.NOISE) + "]"
@@ -94,7 +94,7 @@ QUERIES = {
     "str35_token_estimate": (lambda s, d: table(s, d, "documents").select("doc_id", F.ceil(F.char_length("text") / 4).alias("tokens")), "SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents"),
     "str44_clock": (lambda s, d: table(s, d, "events").select("event_id", T.clock(F.col("event_id") * 977).alias("clock")), "SELECT event_id, CASE WHEN h > 0 THEN h || ':' || lpad(CAST(m AS VARCHAR), 2, '0') || ':' || lpad(CAST(r AS VARCHAR), 2, '0') ELSE m || ':' || lpad(CAST(r AS VARCHAR), 2, '0') END AS clock FROM (SELECT event_id, (event_id * 977 // 1000) // 3600 AS h, (event_id * 977 // 1000) % 3600 // 60 AS m, (event_id * 977 // 1000) % 60 AS r FROM events)"),
     "str05_agg15_repeated_shingles": (lambda s, d: E.repeated_shingles(docs(s, d), 3), f"WITH {DOCS}, s AS (SELECT ticker, {s_fingerprint('x')} AS f FROM (SELECT ticker, unnest({s_sentences('text')}) AS x FROM docs)), w AS (SELECT ticker, f, string_split(f, ' ') AS w FROM s WHERE f <> '') SELECT shingle, count(DISTINCT ticker) AS issuers FROM (SELECT ticker, unnest(CASE WHEN len(w) < 8 THEN [f] ELSE {s_ngrams('w', 8)} END) AS shingle FROM w) GROUP BY shingle HAVING count(DISTINCT ticker) >= 3"),
-    "agg16_phrase_frequency": (lambda s, d: E.phrase_frequency(docs(s, d)), f"""WITH w AS (SELECT doc_id, {s_words('text')} AS w FROM documents), g AS (SELECT DISTINCT doc_id, phrase, words FROM (SELECT doc_id, unnest(w) AS phrase, 1 AS words FROM w UNION ALL SELECT doc_id, unnest({s_ngrams('w', 2)}), 2 FROM w UNION ALL SELECT doc_id, unnest({s_ngrams('w', 3)}), 3 FROM w))
+    "agg16_phrase_frequency": (lambda s, d: E.phrase_frequency(spread(docs(s, d), "id")), f"""WITH w AS (SELECT doc_id, {s_words('text')} AS w FROM documents), g AS (SELECT DISTINCT doc_id, phrase, words FROM (SELECT doc_id, unnest(w) AS phrase, 1 AS words FROM w UNION ALL SELECT doc_id, unnest({s_ngrams('w', 2)}), 2 FROM w UNION ALL SELECT doc_id, unnest({s_ngrams('w', 3)}), 3 FROM w))
 SELECT phrase, words, count(*) AS n FROM g WHERE NOT list_contains({EDGES}, string_split(phrase, ' ')[1]) AND NOT list_contains({EDGES}, string_split(phrase, ' ')[-1]) GROUP BY phrase, words HAVING count(*) >= 2"""),
     "join11_corroborate": (lambda s, d: E.corroborations(claims(s, d), docs(s, d)), CORROBORATE_SQL),
     "agg14_signal_rank": (lambda s, d: E.signal_rank(signals(s, d), "2024-10-01").select("ticker", round_half_up(F.col("score") + 1e-9).alias("score"), "signals"), f"WITH {SIGNALS} SELECT ticker, {half_up('sum(CASE direction WHEN ' + chr(39) + 'positive' + chr(39) + ' THEN strength * (0.5 + specificity / 2) WHEN ' + chr(39) + 'negative' + chr(39) + ' THEN -strength * (0.5 + specificity / 2) ELSE 0 END) + 1e-9')} AS score, count(*) AS signals FROM signals WHERE coalesce(is_boilerplate, 0) = 0 AND event_date <= DATE '2024-10-01' GROUP BY ticker"),

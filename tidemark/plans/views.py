@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt out by a key where a scan gives fewer parts than the session has cores twice over, as one small file does; else as they are.
+
+    For rows whose further work costs far more than a shuffle of them.
+    """
+    parts = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts, *key) if df.rdd.getNumPartitions() < parts else df
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, day, open, high, low, close, volume, vwap): open and close by the order of four fields, as keys repeat."""
     line = table(spark, sf_dir, "lineitem").filter("l_quantity > 0")
