@@ -59,3 +59,14 @@ def test_held_only_if_nothing_is_found(spark):
     df = spark.createDataFrame([(1, "Alpha beta"), (2, "50% off. x"), (3, None), (4, "of f. x")], "k long, text string")
     run = lambda q: sorted(r[0] for r in search.found_or_held(df, ["k"], "text", q).collect())
     assert run("alp be") == [1] and run("f. x") == [2, 4] and run("OFF%.") == [2] and run("beta alp zz") == []
+
+
+def test_long_beginnings_resolve(spark):
+    """A query longer than any bound on prefixes still finds the name that it begins."""
+    from tidemark.operators.directory import resolved
+
+    name = "Zeta Very Long Holdings International Incorporated of the North"
+    symbols = spark.createDataFrame([("ZVL", name, "NYSE", True), ("ZV", "Zeta Very", "NYSE", True)], "symbol string, name string, exchange string, tradable boolean")
+    asked = spark.createDataFrame([(name[:n],) for n in (10, 24, 25, 40, 60)] + [("zv",), ("",), (None,)], "query string")
+    got = {r["query"]: (r["symbol"], r["rank"]) for r in resolved(asked, symbols).collect()}
+    assert all(got[name[:n].strip()] == ("ZVL", 80) for n in (25, 40, 60)) and got["zv"] == ("ZV", 100)

@@ -21,25 +21,26 @@ def normal_query(raw: Column) -> Column:
     return F.trim(F.substring(kept, 1, 64))
 
 
-def prefixes(text: Column, longest: int) -> Column:
-    """The beginnings of a text, up to `longest` characters."""
-    return F.when(F.char_length(text) > 0, F.transform(F.sequence(F.lit(1), F.least(F.char_length(text), F.lit(longest))), lambda n: F.substring(text, 1, n))).otherwise(F.array().cast("array<string>"))
+def prefixes(text: Column, lengths: list[int]) -> Column:
+    """The beginnings of a text of the given lengths, as far as it has so many characters."""
+    return F.transform(F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.char_length(text)), lambda n: F.left(text, n))
 
 
-def resolved(queries: DataFrame, symbols: DataFrame, longest: int = 24) -> DataFrame:
+def resolved(queries: DataFrame, symbols: DataFrame) -> DataFrame:
     """(query, symbol, rank): the one symbol that a query means; null where it would be a guess.
 
     An exact symbol answers. A name or symbol that begins with the query does
     if the query hasn't a ticker's shape. Best rank, primary listing, shorter
-    and earlier symbol break ties. Queries over `longest` characters match
-    whole names and symbols only.
+    and earlier symbol break ties. Names and symbols are keyed by their
+    beginnings of just the lengths that queries have.
     """
     asked = queries.select(normal_query(F.col("query")).alias("query")).distinct()
     low = F.lower("query")
     keyed = asked.filter("query <> ''").select("query", F.explode(F.array_distinct(F.array(F.struct(low.alias("key"), F.lit("s").alias("of")), F.struct(T.searchable(F.col("query")).alias("key"), F.lit("n").alias("of"))))).alias("k")).select("query", "k.*")
+    lengths = sorted(r[0] for r in keyed.filter("key <> ''").select(F.char_length("key")).distinct().collect())  # normal queries have 64 characters at most
     open_ = symbols.filter(F.coalesce("tradable", F.lit(True)))
     s, n = F.lower("symbol"), T.searchable(F.col("name"))
-    begin = lambda c, of: F.transform(F.array_distinct(F.concat(prefixes(c, longest), F.array(c))), lambda p: F.struct(p.alias("key"), F.lit(of).alias("of")))
+    begin = lambda c, of: F.transform(prefixes(c, lengths), lambda p: F.struct(p.alias("key"), F.lit(of).alias("of")))
     index = open_.select("symbol", "exchange", F.explode(F.concat(begin(s, "s"), begin(n, "n"))).alias("k")).select("symbol", "exchange", "k.*")
     found = keyed.join(index, ["key", "of"])
     rank = F.when((F.col("of") == "s") & (F.lower("symbol") == F.lower("query")), 100).when(F.col("of") == "s", 90).otherwise(80)

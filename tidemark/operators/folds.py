@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 
 def pack_sentences(parts: Column, size: int = 600) -> Column:
     """Paragraphs: a sentence joins the last one while that is shorter than `size`."""
@@ -33,30 +35,33 @@ def strip_roll(cues: Column) -> Column:
 def greedy_phrases(candidates: DataFrame, limit: int = 12) -> DataFrame:
     """(rank, phrase, n): the most frequent phrases, none of which holds or is held by one kept before it.
 
-    Candidates go in the order of count, words and letters, in pages of
-    50 * limit, which bounds each fold. While fewer than `limit` are kept and
-    a page was full, the next page follows; what clashes with a kept phrase is
-    filtered out before it is cut.
+    Candidates (phrase, words, n), each phrase once, go in the order of
+    count, words and letters. A phrase clashes with the runs of its words
+    that are candidates too. In rounds, a phrase that comes before all that
+    it still clashes with is kept and those are dropped, which keeps just
+    what going through them one by one would. Rounds end when `limit` kept
+    phrases come before all that are open.
     """
-    padded = lambda p: F.concat(F.lit(" "), p, F.lit(" "))
-    page, kept, after = 50 * limit, [], None
-
-    def clashes(c: Column, k: Column) -> Column:
-        return padded(k).contains(padded(c)) | padded(c).contains(padded(k))
-
-    while len(kept) < limit:
-        left = candidates
-        for k in kept:
-            left = left.filter(~clashes(F.col("phrase"), F.lit(k["phrase"])))
-        if after:
-            n, w, p = F.col("n"), F.col("words"), F.col("phrase")
-            left = left.filter((n < after["n"]) | ((n == after["n"]) & ((w < after["words"]) | ((w == after["words"]) & (p > after["phrase"])))))
-        rows = left.orderBy(F.desc("n"), F.desc("words"), "phrase").limit(page).select("phrase", "words", "n").collect()
-        for r in rows:
-            held = f" {r['phrase']} "
-            if len(kept) < limit and not any(held in f" {k['phrase']} " or f" {k['phrase']} " in held for k in kept):
-                kept.append(r)
-        if len(rows) < page:
+    key = F.struct((-F.col("n")).alias("n"), (-F.col("words")).alias("words"), "phrase").alias("key")
+    nodes = settle(candidates.filter("phrase IS NOT NULL").select("phrase", key))
+    w = F.split("phrase", " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.size(w) - i + 1), lambda n: F.array_join(F.slice(w, i, n), " "))))
+    held = nodes.select(F.col("phrase").alias("a"), F.col("key").alias("a_key"), F.explode(F.array_distinct(runs)).alias("b")).filter("a <> b")
+    held = held.join(nodes.select(F.col("phrase").alias("b"), F.col("key").alias("b_key")), "b")
+    links = settle(held.select("a", "a_key", "b", "b_key").unionByName(held.select(F.col("b").alias("a"), F.col("b_key").alias("a_key"), F.col("a").alias("b"), F.col("a_key").alias("b_key"))))
+    free = nodes.join(links.select(F.col("a").alias("phrase")), "phrase", "left_anti").select("key")
+    kept = settle(free.orderBy("key").limit(limit))
+    while not links.isEmpty():
+        first = settle(links.groupBy("a", "a_key").agg(F.min("b_key").alias("least")).filter("a_key < least").select("a", F.col("a_key").alias("key")))
+        gone = first.select("a").unionByName(links.join(first, "a", "left_semi").select(F.col("b").alias("a"))).distinct()
+        left = links.join(gone, "a", "left_anti")
+        # a phrase whose last clash was dropped is free now, and kept
+        open_ = settle(left.join(gone.select(F.col("a").alias("b")), "b", "left_anti"))
+        alone = left.select("a", F.col("a_key").alias("key")).distinct().join(open_, "a", "left_anti").select("key")
+        kept = settle(kept.unionByName(first.select("key")).unionByName(alone).orderBy("key").limit(limit))
+        links = open_
+        ahead = links.agg(F.min("a_key").alias("next")).join(kept.agg(F.count("*").alias("k"), F.max("key").alias("last"))).filter(F.col("next").isNull() | ((F.col("k") == limit) & (F.col("last") < F.col("next"))))  # a row on each side
+        if not ahead.isEmpty():
             break
-        after = rows[-1]
-    return candidates.sparkSession.createDataFrame([(i + 1, r["phrase"], r["n"]) for i, r in enumerate(kept)], "rank int, phrase string, n bigint")
+    rank = F.row_number().over(Window.orderBy("key"))  # `limit` rows
+    return kept.select(rank.alias("rank"), F.col("key.phrase").alias("phrase"), (-F.col("key.n")).alias("n"))
