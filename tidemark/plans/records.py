@@ -13,8 +13,29 @@ from tidemark.plans.views import LEDGER, TABLES, ledger, table
 SINCE, START, END = "2000-01-01", "2024-01-01", "2027-12-31"
 
 
-def years(spark):
-    return spark.range(1990, 2061).select(F.col("id").cast("int").alias("year"))
+def years(s, d):
+    """(event_id, year): a year of 1990 to 2060 for each event."""
+    return table(s, d, "events").select("event_id", (1990 + F.col("event_id") % 71).cast("int").alias("year"))
+
+
+def event_days(s, d):
+    """(event_id, day): a day of some four years for each event."""
+    return table(s, d, "events").select("event_id", F.date_add(F.to_date("ts"), (F.col("event_id") % 1400).cast("int")).alias("day"))
+
+
+def on_trading_days(s, d):
+    """Events on trading days, with the calendar's columns."""
+    return event_days(s, d).join(F.broadcast(D.trading_days(s, START, END)), "day")  # a calendar of four years
+
+
+def holidays_of_events(s, d):
+    """(day, name, events): holidays of the years that events name, and how many do."""
+    held = years(s, d).groupBy("year").agg(F.count("*").alias("events"))
+    return D.holidays(held.select("year")).withColumn("year", F.year("day")).join(held, "year").drop("year")
+
+
+YEARS = "years AS (SELECT event_id, CAST(1990 + event_id % 71 AS INTEGER) AS year FROM events)"
+EVENT_DAYS = "event_days AS (SELECT event_id, CAST(ts AS DATE) + CAST(event_id % 1400 AS INTEGER) AS day FROM events)"
 
 
 EASTER = """easter_ AS (SELECT y AS year, make_date(y, (h + m - 7 * n + 114) // 31, (h + m - 7 * n + 114) % 31 + 1) AS easter FROM (SELECT *, (a + 11 * h + 22 * m) // 451 AS n FROM (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS m
@@ -108,10 +129,10 @@ QUERIES = {
     "dml10_monthly_grant": (lambda s, d: ledger(s, d).filter("reason = 'spend'").select("user_id", F.date_format("created", "yyyy-MM").alias("period")).distinct().join(ledger(s, d).filter("reason = 'grant'").select("user_id", F.date_format("created", "yyyy-MM").alias("period")), ["user_id", "period"], "left_anti").withColumn("delta", F.lit(100)), f"WITH {LEDGER} SELECT *, 100 AS delta FROM (SELECT user_id, strftime(created, '%Y-%m') AS period FROM ledger WHERE reason = 'spend' EXCEPT SELECT user_id, strftime(created, '%Y-%m') FROM ledger WHERE reason = 'grant')"),
     "dml11_add_within_cap": (lambda s, d: L.add_within(watch(s, d).filter("at % 2 = 0"), watch(s, d).filter("at % 2 = 1"), "user_id", "ticker", 6, F.col("at")).select("user_id", "ticker"), f"WITH {WATCH}, t AS (SELECT * FROM watch WHERE at_ % 2 = 0), a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_) AS r FROM watch w WHERE at_ % 2 = 1 AND (user_id, ticker) NOT IN (SELECT (user_id, ticker) FROM t)) SELECT user_id, ticker FROM a LEFT JOIN (SELECT user_id, count(*) AS h FROM t GROUP BY 1) USING (user_id) WHERE r <= 6 - coalesce(h, 0)"),
     "date02_eastern_day": (lambda s, d: table(s, d, "events").select("event_id", D.eastern_date(F.col("ts")).alias("day")), "SELECT event_id, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS day FROM events"),
-    "date03_wall_to_utc": (lambda s, d: D.trading_days(s, START, END).select("day", D.eastern_to_utc(F.col("day"), 4).cast("timestamp_ntz").alias("opens")), f"WITH {OPEN} SELECT CAST(day AS DATE) AS day, timezone('UTC', timezone('America/New_York', CAST(day AS TIMESTAMP) + INTERVAL 4 HOUR)) AS opens FROM open_"),
-    "date04_holidays": (lambda s, d: D.holidays(years(s)), f"WITH {HOLIDAYS} SELECT CAST(day AS DATE) AS day, name FROM holidays"),
-    "date05_easter": (lambda s, d: years(s).select("year", D.easter(F.col("year")).alias("easter")), f"WITH {EASTER} SELECT CAST(year AS INTEGER) AS year, easter FROM easter_"),
-    "date06_09_trading_days": (lambda s, d: D.trading_days(s, START, END), f"WITH {OPEN} SELECT day, lag(day) OVER (ORDER BY day) AS previous, row_number() OVER (PARTITION BY date_trunc('week', day) ORDER BY day) = 1 AS first_of_week FROM open_"),
+    "date03_wall_to_utc": (lambda s, d: event_days(s, d).select("event_id", D.eastern_to_utc(F.col("day"), 4).cast("timestamp_ntz").alias("opens")), f"WITH {EVENT_DAYS} SELECT event_id, timezone('UTC', timezone('America/New_York', CAST(day AS TIMESTAMP) + INTERVAL 4 HOUR)) AS opens FROM event_days"),
+    "date04_holidays": (holidays_of_events, f"WITH {HOLIDAYS}, {YEARS} SELECT CAST(day AS DATE) AS day, name, count(*) AS events FROM holidays JOIN years ON year(day) = year GROUP BY ALL"),
+    "date05_easter": (lambda s, d: years(s, d).select("event_id", "year", D.easter(F.col("year")).alias("easter")), f"WITH {EASTER}, {YEARS} SELECT event_id, years.year, easter FROM years JOIN easter_ ON easter_.year = years.year"),
+    "date06_09_trading_days": (on_trading_days, f"WITH {OPEN}, {EVENT_DAYS}, c AS (SELECT day, lag(day) OVER (ORDER BY day) AS previous, row_number() OVER (PARTITION BY date_trunc('week', day) ORDER BY day) = 1 AS first_of_week FROM open_) SELECT event_id, c.* FROM event_days JOIN c USING (day)"),
     "date10_11_weeks": (lambda s, d: table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().select("day", D.week_key(F.col("day")).alias("week"), F.to_date(F.date_trunc("week", "day")).alias("monday")), "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, strftime(CAST(o_orderdate AS DATE), '%G-W%V') AS week, CAST(date_trunc('week', o_orderdate) AS DATE) AS monday FROM orders"),
     "date14_15_periods": (lambda s, d: orders(s, d).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("period"), (F.year("o_orderdate") * 12 + F.month("o_orderdate") - (1995 * 12 + 1)).alias("months"), F.date_add(F.to_date("o_orderdate"), F.ceil(F.col("o_orderkey") % 60 * 1.45).cast("int")).alias("due")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS period, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 23941 AS INTEGER) AS months, CAST(o_orderdate AS DATE) + CAST(ceil(o_orderkey % 60 * 1.45) AS INTEGER) AS due FROM orders"),
     "date16_relative": (lambda s, d: table(s, d, "part").select("p_partkey", D.relative_date(F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, (" day ago", " days ago", " weeks ago", " months ago", " years ago", " moons ago"))), (F.col("p_partkey") % 6 + 1).cast("int"))), F.lit("2026-01-15").cast("date")).alias("day")), "SELECT p_partkey, CASE WHEN p_partkey % 6 < 5 THEN DATE '2026-01-15' - CAST(p_size * CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 7 WHEN 3 THEN 30 ELSE 365 END AS INTEGER) END AS day FROM part"),

@@ -10,7 +10,7 @@ from tidemark.functions import text as T
 from tidemark.functions.math import clamp, round_half_up
 from tidemark.operators import evidence as E
 from tidemark.operators import performance as P
-from tidemark.plans.records import HOLIDAYS, OPEN, years
+from tidemark.plans.records import EVENT_DAYS, HOLIDAYS, OPEN, YEARS, on_trading_days, years
 from tidemark.plans.text import s_fingerprint, s_markup, s_ngrams, s_sentences
 from tidemark.plans.views import BARS, DOCS, LEDGER, SEGMENTS, SYMBOLS, bars, docs, ledger, segments, symbols, table
 
@@ -76,7 +76,7 @@ FROM (SELECT *, CAST(epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts)) AS BIGINT)
 
 def weekdays(s, d):
     y = F.col("year")
-    return years(s).select("year", D.nth_weekday(y, 11, 4, 4).alias("thanksgiving"), D.last_weekday(y, 5, 1).alias("memorial"), D.observed(F.make_date(y, F.lit(12), F.lit(25))).alias("christmas"))
+    return years(s, d).select("event_id", "year", D.nth_weekday(y, 11, 4, 4).alias("thanksgiving"), D.last_weekday(y, 5, 1).alias("memorial"), D.observed(F.make_date(y, F.lit(12), F.lit(25))).alias("christmas"))
 
 
 def watch_stats(s, d):
@@ -138,8 +138,8 @@ QUERIES = {
     "math02_08_11_13_14_fil26_numbers": (numbers, NUMBERS),
     "str09_11_12_43_fil29_speech": (speech, SPEECH),
     "date01_17_18_19_23_24_26_27_clocks": (clocks, CLOCKS),
-    "date20_21_22_weekdays": (weekdays, f"WITH {HOLIDAYS} SELECT CAST(e.year AS INTEGER) AS year, CAST(t.day AS DATE) AS thanksgiving, CAST(m.day AS DATE) AS memorial, CAST(c.day AS DATE) AS christmas FROM easter_ e JOIN holidays t ON t.name = 'thanksgiving' AND year(t.day) = e.year JOIN holidays m ON m.name = 'memorial' AND year(m.day) = e.year JOIN holidays c ON c.name = 'christmas' AND year(c.day) = e.year"),
-    "date07_08_previous_day": (lambda s, d: D.trading_days(s, "2024-01-01", "2027-12-31").filter("day BETWEEN DATE '2025-01-01' AND DATE '2025-12-31'").select("day", "previous"), f"WITH {OPEN} SELECT * FROM (SELECT CAST(day AS DATE) AS day, lag(day) OVER (ORDER BY day) AS previous FROM open_) WHERE day BETWEEN DATE '2025-01-01' AND DATE '2025-12-31'"),
+    "date20_21_22_weekdays": (weekdays, f"WITH {HOLIDAYS}, {YEARS} SELECT event_id, v.year, CAST(t.day AS DATE) AS thanksgiving, CAST(m.day AS DATE) AS memorial, CAST(c.day AS DATE) AS christmas FROM years v JOIN easter_ e ON e.year = v.year JOIN holidays t ON t.name = 'thanksgiving' AND year(t.day) = e.year JOIN holidays m ON m.name = 'memorial' AND year(m.day) = e.year JOIN holidays c ON c.name = 'christmas' AND year(c.day) = e.year"),
+    "date07_08_previous_day": (lambda s, d: on_trading_days(s, d).filter("day BETWEEN DATE '2025-01-01' AND DATE '2025-12-31'").select("event_id", "day", "previous"), f"WITH {OPEN}, {EVENT_DAYS}, c AS (SELECT CAST(day AS DATE) AS day, lag(day) OVER (ORDER BY day) AS previous FROM open_) SELECT event_id, c.* FROM event_days JOIN c USING (day) WHERE c.day BETWEEN DATE '2025-01-01' AND DATE '2025-12-31'"),
     "agg23_watch_statistics": (watch_stats, f"WITH {BARS}, {CHANGE} SELECT count(*) AS n, count(*) FILTER (change > 0) AS gainers, count(*) FILTER (change < 0) AS losers, round(avg(change), 5) AS mean, round(median(change), 5) AS median, arg_max(symbol, change) AS best, arg_min(symbol, change) AS worst FROM c"),
     "join23_repeated_sentences": (membership, MEMBERSHIP),
     "json01_02_13_14_payload": (payload, "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN event_type END AS event_type, round(CASE WHEN event_id % 10 <> 0 THEN value END, 4) AS value, CASE WHEN event_id % 10 <> 0 THEN user_id END AS user_id FROM events"),
