@@ -160,3 +160,11 @@ def short_volume(x: Column) -> Column:
 def listed(x: Column) -> Column:
     """A comma list in capitals without blanks or empty entries."""
     return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda t: F.upper(F.trim(t))), lambda t: t != "")
+
+
+def signal_payload(site: str) -> Column:
+    """The event of a signal (signal_id, ticker, kind, direction, score, event_type, event_date, speaker, source_url) as JSON: what is missing is null, the quote stays out."""
+    names = ("signal_id", "ticker", "kind", "direction", "score", "event_type", "event_date", "speaker", "source_url")
+    score = F.when(~F.isnan("score") & (F.abs("score") < float("inf")), F.col("score")).alias("score")
+    fields = [score if n == "score" else F.col(n) for n in names]
+    return F.to_json(F.struct(*fields, F.concat(F.lit(f"{site}/"), F.url_encode(F.col("ticker"))).alias("url")), {"ignoreNullFields": "false"})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import records as X
 from tidemark.functions import rulebook as B
 from tidemark.functions import text as T
 from tidemark.operators import evidence as E
@@ -182,7 +183,27 @@ STORED = "now_ AS (SELECT DISTINCT signal_id, event_type, is_boilerplate AS fres
 HASHED = "cast(conv(substr(md5(signal_id), 1, 6), 16, 10) AS bigint)"
 
 COLUMNS = "id, pos, ticker, event_type, direction, strength, specificity, quote, before, after, evidence_hash, signal_id, is_boilerplate"
+def signal_events(s, d):
+    """The payload of every signal found; some carry a filing's kind, a speaker or a source."""
+    given = lambda m, text: F.when(F.col("id") % m == 0, text)
+    rows = all_signals(s, d).select("signal_id", "ticker", F.col("event_type").alias("kind"), "direction", F.col("strength").alias("score"), given(3, F.lit("8-K")).alias("event_type"), F.get(F.split("signal_id", ":"), 1).alias("event_date"), given(4, F.lit('the "CFO"')).alias("speaker"), given(5, F.concat(F.lit("https://example.com/x/"), F.col("id").cast("string"))).alias("source_url"))
+    return rows.select("signal_id", X.signal_payload("https://example.org/report").alias("payload"))
+
+
+def number_rules(s, d):
+    """(doc_id, sentences, specific, claims): sentences of each document with a number that makes a signal specific, and one that makes a claim."""
+    rows = spread(table(s, d, "documents"), "doc_id").select("doc_id", T.sentences(F.coalesce("text", F.lit(""))).alias("x"))
+    held = lambda pattern: F.size(F.filter("x", lambda t: t.rlike(pattern)))
+    return rows.select("doc_id", F.size("x").alias("sentences"), held(B.SIGNAL_NUMBER).alias("specific"), held(B.CLAIM_NUMBER).alias("claims"))
+
+
+_EVENT = """'{"signal_id":"' || signal_id || '","ticker":"' || ticker || '","kind":"' || event_type || '","direction":"' || direction || '","score":' || strength || ',"event_type":' || CASE WHEN id % 3 = 0 THEN '"8-K"' ELSE 'null' END
+  || ',"event_date":"' || string_split(signal_id, ':')[2] || '","speaker":' || CASE WHEN id % 4 = 0 THEN '"the \\"CFO\\""' ELSE 'null' END || ',"source_url":' || CASE WHEN id % 5 = 0 THEN '"https://example.com/x/' || id || '"' ELSE 'null' END || ',"url":"https://example.org/report/' || ticker || '"}'"""
+
+
 QUERIES = {
+    "json14_signal_events": (signal_events, f"WITH {fired('TRUE')} SELECT signal_id, {_EVENT} AS payload FROM found"),
+    "str09_number_rules": (number_rules, f"""WITH x AS (SELECT doc_id, {s_sentences("coalesce(text, '')")} AS x FROM documents) SELECT doc_id, CAST(len(x) AS INTEGER) AS sentences, CAST(len(list_filter(x, lambda t: {s_any('t', [B.SIGNAL_NUMBER])})) AS INTEGER) AS specific, CAST(len(list_filter(x, lambda t: {s_any('t', [B.CLAIM_NUMBER])})) AS INTEGER) AS claims FROM x"""),
     "str07_08_extract": (extracted, f"WITH {fired('len(reasons) = 0')} SELECT {COLUMNS} FROM found"),
     "str08_flagged_signals": (lambda s, d: all_signals(s, d).groupBy("event_type", "is_boilerplate").agg(F.count("*").alias("n"), F.sum(F.expr("cast(strength * 100 AS int)")).alias("strength")), f"WITH {fired('TRUE')} SELECT event_type, is_boilerplate, count(*) AS n, CAST(sum(CAST(floor(strength * 100) AS INTEGER)) AS BIGINT) AS strength FROM found GROUP BY ALL"),
     "str10_boilerplate": (lambda s, d: classified(s, d).select("id", "pos", "in_section", F.array_join("reasons", ",").alias("reasons"), "is_boilerplate"), f"WITH {VERDICTS} SELECT id, pos, in_section, array_to_string(reasons, ',') AS reasons, len(reasons) > 0 AS is_boilerplate FROM judged"),
