@@ -2,12 +2,12 @@
 
 A piece model with identity normalisation never merges across the start of a
 run of word marks, nor across a line feed that is a piece of its own. A text
-is therefore the concatenation of pre-tokens whose piece counts add up. A
-first scan gathers frequent pre-tokens (each task sends a short summary of
-all its texts, never the pre-tokens themselves); their lengths form a table
-of bounded size that is broadcast. A second scan adds up lengths: from the
-table, else from the worker's own cache, else by encoding the pre-token.
-The table is only a short cut: every count is the library's own.
+is therefore the concatenation of pre-tokens whose piece counts add up. The
+lengths of those that are frequent in a bounded sample of texts form a table
+of bounded size that is broadcast. One scan of all texts adds up lengths:
+from the table, else from the worker's own cache, else by encoding the
+pre-token, so no pre-token is ever shuffled. The table is only a short cut:
+every count is the library's own.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from tidemark.llm.common import slices
 MARK = "▁"
 #: Longer pre-tokens are encoded without being kept.
 LONGEST_KEPT = 64
+#: Texts, about, whose pre-tokens fill the table; counts do not depend on them, only how often the table answers.
+SAMPLE = 8192
 
 
 class PreTokens:
@@ -76,22 +78,20 @@ class PreTokens:
         return [len(ids) - k for ids, k in zip(self.model.encode(asked, num_threads=1), less, strict=True)]
 
 
-def frequent_pretokens(docs: DataFrame, model_file: str, text: str = "text", table_size: int = 65_536, per_task: int = 8_192) -> DataFrame:
-    """(pretoken, n): the table_size most frequent pre-tokens of all texts, by summaries of per_task entries a task."""
+def frequent_pretokens(docs: DataFrame, model_file: str, text: str = "text", table_size: int = 65_536) -> DataFrame:
+    """(pretoken, n): the table_size most frequent pre-tokens of some SAMPLE texts, counted by the one task to which these texts are sent."""
 
     def summarise(batches):
         split, seen = PreTokens(model_file).split, Counter()
         for piece in slices(batches):
             for t in piece.column(0).to_pylist():
-                if t:
-                    seen.update(split(t))
-            if len(seen) > 40 * per_task:
-                seen = Counter(dict(seen.most_common(20 * per_task)))
-        top = [(k, v) for k, v in seen.most_common(per_task) if len(k) <= LONGEST_KEPT]
+                seen.update(k for k in split(t) if len(k) <= LONGEST_KEPT)
+        top = seen.most_common(table_size)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], ["pretoken", "n"])
 
-    found = docs.select(F.col(text)).mapInArrow(summarise, "pretoken string, n long")
-    return found.groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(table_size)
+    share = F.lit(max(1, docs.count() // SAMPLE))
+    some = docs.select(F.col(text).alias("_read")).filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), share) == 0)  # by place: copies of a text are no larger share
+    return some.filter("_read <> ''").repartition(1).mapInArrow(summarise, "pretoken string, n long")
 
 
 def count_tokens(docs: DataFrame, model_file: str, text: str = "text", limit: int = 4096, table_size: int = 65_536, cache_size: int = 300_000) -> DataFrame:
@@ -103,7 +103,7 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", limit: in
     lengths besides the table.
     """
     keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
-    words = [r["pretoken"] for r in frequent_pretokens(docs, model_file, text, table_size).coalesce(1).collect()]  # at most table_size
+    words = [r["pretoken"] for r in frequent_pretokens(docs, model_file, text, table_size).collect()]  # at most table_size
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(words, PreTokens(model_file).lengths(words), strict=True)) if words else {})
 
     def count(batches):
