@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.functions.math import percent_change
 
 
+def beside(bars: DataFrame, facts: DataFrame) -> DataFrame:
+    """bars with a row of facts for each symbol, null as one of them: facts are combined before they are shuffled, so a busy symbol's rows meet in no window."""
+    return bars.join(facts.withColumnRenamed("symbol", "_of"), F.col("symbol").eqNullSafe(F.col("_of"))).drop("_of")
+
+
 def period_changes(bars: DataFrame, days: tuple[int, ...]) -> DataFrame:
     """Percent change of the last close against the latest close at least n days before it: an as-of join by one aggregation."""
-    whole = Window.partitionBy("symbol")
-    ends = bars.withColumn("last_day", F.max("day").over(whole)).withColumn("last_close", F.max_by("close", "day").over(whole))
+    ends = beside(bars, bars.groupBy("symbol").agg(F.max("day").alias("last_day"), F.max_by("close", "day").alias("last_close")))
     then = [F.max_by(F.when(F.col("day") <= F.date_sub("last_day", n), F.col("close")), F.when(F.col("day") <= F.date_sub("last_day", n), F.col("day"))).alias(f"c{n}") for n in days]
     out = ends.groupBy("symbol", "last_close").agg(*then)
     return out.select("symbol", *[percent_change(F.col("last_close"), F.col(f"c{n}")).alias(f"change_{n}") for n in days])
@@ -44,11 +48,11 @@ def equal_weight_index(bars: DataFrame, since: str) -> DataFrame:
 
 def extremes(bars: DataFrame, rows: int = 365) -> DataFrame:
     """High and low of the last rows with their first days, last turnover, number of bars."""
-    back = bars.withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("day"))))
-    recent = F.col("back") <= rows
-    first_high = F.min(F.when(recent, F.struct((-F.col("high")).alias("x"), F.col("day"))))
-    first_low = F.min(F.when(recent, F.struct(F.col("low").alias("x"), F.col("day"))))
-    out = back.groupBy("symbol").agg(first_high.alias("h"), first_low.alias("l"), F.max(F.when(F.col("back") == 1, F.col("volume") * F.col("close"))).alias("volume_quote"), F.count("*").alias("bars"))
+    back = bars.withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("day")))).filter(F.col("back") <= rows)
+    first_high = F.min(F.struct((-F.col("high")).alias("x"), F.col("day")))
+    first_low = F.min(F.struct(F.col("low").alias("x"), F.col("day")))
+    found = back.groupBy("symbol").agg(first_high.alias("h"), first_low.alias("l"), F.max(F.when(F.col("back") == 1, F.col("volume") * F.col("close"))).alias("volume_quote"))
+    out = beside(found, bars.groupBy("symbol").agg(F.count("*").alias("bars")))
     return out.select("symbol", (-F.col("h.x")).alias("high_365"), F.col("l.x").alias("low_365"), F.col("h.day").alias("high_day"), F.col("l.day").alias("low_day"), "volume_quote", "bars")
 
 
@@ -112,8 +116,7 @@ def movers(bars: DataFrame, since: str, n: int) -> DataFrame:
 
 def volume_profile(bars: DataFrame, bins: int) -> DataFrame:
     """Volume by price: each bar's volume spread evenly over the bins that it touches."""
-    whole = Window.partitionBy("symbol")
-    ends = bars.withColumns({"lo": F.min("low").over(whole), "hi": F.max("high").over(whole)}).filter("hi > lo")
+    ends = beside(bars, bars.groupBy("symbol").agg(F.min("low").alias("lo"), F.max("high").alias("hi")).filter("hi > lo"))
     width = (F.col("hi") - F.col("lo")) / bins
 
     def bin_of(x):

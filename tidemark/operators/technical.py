@@ -1,4 +1,4 @@
-"""Technical indicators over daily bars: window frames where a frame says it, folds where a value depends on the one before.
+"""Technical indicators over daily bars: frames over blocks of rows where a frame says it, folds where a value depends on the one before.
 
 Bars have (symbol, day, open, high, low, close, volume, vwap). Warm-up gives
 null, never a partial value.
@@ -10,66 +10,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.math import clamp, percent_change, round_half_up
+from tidemark.operators.halos import back, frame, framed, full, own, recent
 from tidemark.operators.scans import exponential, numbered, wilder, with_means
 from tidemark.session import settle_table
 
 
-def order():
-    return Window.partitionBy("symbol").orderBy("day")
-
-
-def last_rows(n: int):
-    return order().rowsBetween(1 - n, 0)
-
-
-def gated(value: Column, n: int) -> Column:
-    """A value over the last n rows, null before the n-th."""
-    return F.when(F.row_number().over(order()) >= n, value)
+#: Rows of a year of sessions: the longest frame of `indicators`.
+YEAR = 252
 
 
 def sma(n: int, column: str = "close") -> Column:
-    return gated(F.avg(column).over(last_rows(n)), n)
+    return full(F.avg(column).over(back(n)), n)
 
 
 def momentum(n: int, column: str = "close") -> Column:
-    return percent_change(F.col(column), F.lag(column, n).over(order()))
+    return percent_change(F.col(column), F.lag(column, n).over(frame()))
 
 
+@framed(lambda periods=(20, 50, 200): max(periods))
 def with_sma(bars: DataFrame, periods: tuple[int, ...] = (20, 50, 200)) -> DataFrame:
     return bars.withColumns({f"sma_{n}": sma(n) for n in periods})
 
 
+@framed(lambda n=20, k=2.0: n)
 def with_bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
-    middle, sd = sma(n), gated(F.stddev_pop("close").over(last_rows(n)), n)
+    middle, sd = sma(n), full(F.stddev_pop("close").over(back(n)), n)
     return bars.withColumns({"middle": middle, "upper": middle + k * sd, "lower": middle - k * sd})
 
 
+@framed(lambda periods=(20, 60, 120): max(periods) + 1)
 def with_momentum(bars: DataFrame, periods: tuple[int, ...] = (20, 60, 120)) -> DataFrame:
     return bars.withColumns({f"momentum_{n}": momentum(n) for n in periods})
 
 
-def with_year_range(bars: DataFrame, rows: int = 252) -> DataFrame:
+@framed(lambda rows=YEAR: rows)
+def with_year_range(bars: DataFrame, rows: int = YEAR) -> DataFrame:
     """High and low of the last 252 rows and the close's distance from either in percent."""
-    high, low = F.max("high").over(last_rows(rows)), F.min("low").over(last_rows(rows))
+    high, low = F.max("high").over(back(rows)), F.min("low").over(back(rows))
     return bars.withColumns({"high_52w": high, "low_52w": low}).withColumns({"from_high": percent_change(F.col("close"), F.col("high_52w")), "from_low": percent_change(F.col("close"), F.col("low_52w"))})
 
 
+@framed(lambda n=20: n)
 def with_volume(bars: DataFrame, n: int = 20) -> DataFrame:
     """Mean volume, volume relative to it (null when either is 0) and mean turnover at the last close."""
-    bars = bars.withColumn("avg_volume", gated(F.avg("volume").over(last_rows(n)), n))
+    bars = bars.withColumn("avg_volume", full(F.avg("volume").over(back(n)), n))
     relative = F.when((F.col("avg_volume") != 0) & (F.col("volume") != 0), F.col("volume") / F.col("avg_volume"))
     return bars.withColumns({"relative_volume": relative, "avg_dollar_volume": F.col("avg_volume") * F.col("close")})
 
 
+@framed(lambda n=20: n + 1)
 def with_breakout(bars: DataFrame, n: int = 20) -> DataFrame:
     """Close above the highest or below the lowest of the n rows before."""
-    before = order().rowsBetween(-n, -1)
+    before = frame().rowsBetween(-n, -1)
     above, below = F.col("close") > F.max("high").over(before), F.col("close") < F.min("low").over(before)
     return bars.withColumns({"breakout": F.coalesce(above, F.lit(False)), "breakdown": F.coalesce(below, F.lit(False))})
 
 
+@framed(2)
 def with_gap(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("gap_percent", percent_change(F.col("open"), F.lag("close").over(order())))
+    return bars.withColumn("gap_percent", percent_change(F.col("open"), F.lag("close").over(frame())))
 
 
 def closes(bars: DataFrame) -> DataFrame:
@@ -151,8 +150,8 @@ def latest(bars: DataFrame) -> DataFrame:
 
 def indicators(bars: DataFrame) -> DataFrame:
     """The whole set for each symbol's last bar, one row a symbol."""
-    frames = with_gap(with_breakout(with_volume(with_year_range(with_momentum(with_bollinger(with_sma(bars)))))))
-    last = latest(frames)
+    frames = with_gap(with_breakout(with_volume(with_year_range(with_momentum(with_bollinger(with_sma(recent(bars, YEAR))))))))
+    last = latest(own(frames))
     folds = closes(bars).withColumn("c", F.transform("bars", lambda b: b["close"])).withColumn("change", changes_of(F.col("c")))
     up, down = F.transform("change", lambda x: F.greatest(x, F.lit(0.0))), F.transform("change", lambda x: F.greatest(-x, F.lit(0.0)))
     folds = folds.select("symbol", ema_of(F.col("c"), 9).alias("ema_9"), ema_of(F.col("c"), 21).alias("ema_21"), wilder_of(up, 14).alias("gain"), wilder_of(down, 14).alias("loss"), wilder_of(true_ranges(F.col("bars")), 14).alias("atr_14"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.math import round_half_up
 from tidemark.operators import performance as P
 from tidemark.operators import technical as T
+from tidemark.operators.halos import own, recent
 from tidemark.plans.views import BARS, bars
 
 CRITERIA = {"price_min": 900, "price_max": 2000, "avg_volume_min": 20, "rsi_min": 30, "rsi_max": 70, "above_sma_20": True, "above_sma_200": True, "golden_cross": True, "relative_volume_min": 0.5, "momentum_20_min": -20, "trend": "bullish"}
@@ -20,8 +21,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def over(fn, *columns: str, last: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = fn(bars(spark, sf_dir))
-        return rounded((T.latest(out) if last else out).select("symbol", *([] if last else ["day"]), *columns))
+        rows = bars(spark, sf_dir)
+        out = T.latest(own(fn(recent(rows, T.YEAR)))) if last else fn(rows)
+        return rounded(out.select("symbol", *([] if last else ["day"]), *columns))
 
     return run
 
