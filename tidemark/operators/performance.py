@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.math import percent_change
+from tidemark.operators.selection import median
+from tidemark.session import settle_table
 
 
 def beside(bars: DataFrame, facts: DataFrame) -> DataFrame:
@@ -97,14 +99,15 @@ def window_performance(bars: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def backtest_metrics(returns: DataFrame) -> DataFrame:
-    """Count, mean, exact median, win rate, worst loss and hit rates of `value`."""
-    v = F.col("value")
+    """Count, mean, exact median, win rate, worst loss and hit rates of `value`; the median is selected by counts of rows before this returns."""
+    returns, v = settle_table(returns.select("value")), F.col("value")
+    middle = F.lit(median(returns, "value")).cast("double")
 
     def rate(cond):
         return F.avg(F.when(cond, 100.0).otherwise(0.0))
 
     return returns.filter(v.isNotNull()).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), rate(v > 0).alias("win_rate"), F.least(F.lit(0.0), F.min(v)).alias("max_drawdown"),
+        F.count(v).alias("n"), F.avg(v).alias("mean"), middle.alias("median"), rate(v > 0).alias("win_rate"), F.least(F.lit(0.0), F.min(v)).alias("max_drawdown"),
         rate(v >= 25).alias("hit_25"), rate(v >= 50).alias("hit_50"), rate(v >= 100).alias("hit_100"),
     )
 

@@ -10,9 +10,11 @@ from tidemark.functions import text as T
 from tidemark.functions.math import clamp, round_half_up
 from tidemark.operators import evidence as E
 from tidemark.operators import performance as P
+from tidemark.operators.selection import median
 from tidemark.plans.records import EVENT_DAYS, HOLIDAYS, OPEN, YEARS, on_trading_days, years
 from tidemark.plans.text import s_fingerprint, s_markup, s_ngrams, s_sentences
 from tidemark.plans.views import BARS, DOCS, LEDGER, SEGMENTS, SYMBOLS, bars, docs, ledger, segments, symbols, table
+from tidemark.session import settle_table
 
 PROMO, BLOCKED = (*X.PROMOTIONAL, "host3.com"), (*X.BLOCKED, "host5.com")
 URL = "concat('https://', CASE WHEN id % 3 = 0 THEN 'www.' ELSE '' END, host, '/r?url=https%3A%2F%2Fx.com%2F', id)"
@@ -80,8 +82,9 @@ def weekdays(s, d):
 
 
 def watch_stats(s, d):
-    r = P.range_change(bars(s, d), "2000-01-01")
-    return r.agg(F.count("*").alias("n"), F.count_if(F.col("change") > 0).alias("gainers"), F.count_if(F.col("change") < 0).alias("losers"), round_half_up(F.avg("change"), 5).alias("mean"), round_half_up(F.median("change"), 5).alias("median"), F.max_by("symbol", "change").alias("best"), F.min_by("symbol", "change").alias("worst"))
+    r = settle_table(P.range_change(bars(s, d), "2000-01-01"))
+    middle = F.lit(median(r, "change")).cast("double")
+    return r.agg(F.count("*").alias("n"), F.count_if(F.col("change") > 0).alias("gainers"), F.count_if(F.col("change") < 0).alias("losers"), round_half_up(F.avg("change"), 5).alias("mean"), round_half_up(middle, 5).alias("median"), F.max_by("symbol", "change").alias("best"), F.min_by("symbol", "change").alias("worst"))
 
 
 CHANGE = "c AS (SELECT symbol, CASE WHEN count(*) >= 2 AND arg_min(close, day) <> 0 THEN (arg_max(close, day) - arg_min(close, day)) / arg_min(close, day) * 100 END AS change FROM bars WHERE day >= DATE '2000-01-01' GROUP BY symbol)"

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.math import round_half_up
+from tidemark.functions.math import percent_change, round_half_up
 from tidemark.operators import performance as P
 from tidemark.operators import technical as T
 from tidemark.operators.halos import own, recent
-from tidemark.plans.views import BARS, bars
+from tidemark.operators.known import with_known
+from tidemark.plans.views import BARS, bars, table
 
 CRITERIA = {"price_min": 900, "price_max": 2000, "avg_volume_min": 20, "rsi_min": 30, "rsi_max": 70, "above_sma_20": True, "above_sma_200": True, "golden_cross": True, "relative_volume_min": 0.5, "momentum_20_min": -20, "trend": "bullish"}
 
@@ -141,6 +142,21 @@ def _asof_sql() -> str:
     return f"WITH {BARS}, l AS (SELECT *, max(day) OVER (PARTITION BY symbol) AS last_day, last_value(close) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_close FROM bars) SELECT symbol, {parts} FROM l GROUP BY symbol, last_close, last_day"
 
 
+def priced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line with its supplier's last close on or before the order's day, the first on or after it, and the change between them."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    asked = lines.select("l_orderkey", "l_linenumber", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.to_date("o_orderdate").alias("ordered"))
+    rows = bars(spark, sf_dir)
+    known = with_known(asked, rows, "ordered", {"day": "known_day", "close": "known_close"})
+    found = with_known(known, rows, "ordered", {"day": "next_day", "close": "next_close"}, forward=True)
+    return rounded(found.withColumn("change", percent_change(F.col("next_close"), F.col("known_close"))))
+
+
+PRICED_ORDERS = f"""WITH {BARS}, a AS (SELECT l_orderkey, l_linenumber, 'S' || l_suppkey AS symbol, CAST(o_orderdate AS DATE) AS ordered FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+k AS (SELECT a.*, b.day AS known_day, b.close AS known_close FROM a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.ordered >= b.day)
+SELECT k.l_orderkey, k.l_linenumber, k.symbol, k.ordered, known_day, round(known_close, 6) AS known_close, b.day AS next_day, round(b.close, 6) AS next_close, round({pct('b.close', 'known_close')}, 6) AS change FROM k ASOF LEFT JOIN bars b ON k.symbol = b.symbol AND k.ordered <= b.day"""
+
+
 QUERIES = {
     "win01_sma": (over(lambda b: T.with_sma(b), "sma_20", "sma_50", "sma_200", last=True), f"WITH {BARS},\n{FRAMES} SELECT symbol, round(sma_20, 6) AS sma_20, round(sma_50, 6) AS sma_50, round(sma_200, 6) AS sma_200 FROM frames WHERE back = 1"),
     "win02_sma_series": (over(lambda b: T.with_sma(b), "sma_20", "sma_50", "sma_200"), f"WITH {BARS},\n{FRAMES} SELECT symbol, day, round(sma_20, 6) AS sma_20, round(sma_50, 6) AS sma_50, round(sma_200, 6) AS sma_200 FROM frames"),
@@ -163,6 +179,7 @@ QUERIES = {
     "flagship_screen": (flagship, f"{FULL}, {SCORE}, z AS (SELECT symbol, close, trend, NOT coalesce(avg_volume < 10, false) AND NOT coalesce(rsi_14 > 80, false) AS passed, {TOTAL} AS score FROM score) SELECT symbol, round(close, 6) AS close, trend, passed, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY passed ORDER BY score DESC, symbol) AS INTEGER) AS rank FROM z"),
     "join15_asof_changes": (plain(lambda b: P.period_changes(b, PERIODS)), _asof_sql()),
     "join16_asof_forward": (plain(lambda b: P.forward_return(b, AS_OF)), f"WITH {BARS} SELECT symbol, round(coalesce(arg_min(close, day) FILTER (day >= DATE '{AS_OF}'), arg_min(close, day)), 6) AS entry, round(arg_max(close, day), 6) AS exit, round({pct('arg_max(close, day)', f'coalesce(arg_min(close, day) FILTER (day >= DATE {chr(39)}{AS_OF}{chr(39)}), arg_min(close, day))')}, 6) AS return_percent FROM bars GROUP BY symbol"),
+    "join15_16_priced_orders": (priced_orders, PRICED_ORDERS),
     "join17_18_carry_forward": (plain(lambda b: P.on_calendar(b, AS_OF)), f"""WITH {BARS}, grid AS (SELECT symbol, day FROM (SELECT DISTINCT symbol FROM bars) CROSS JOIN (SELECT DISTINCT day FROM bars WHERE day >= DATE '{AS_OF}'))
 SELECT g.symbol, g.day, round(last_value(close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS close FROM grid g LEFT JOIN bars b USING (symbol, day)"""),
     "agg24_equal_weight_index": (plain(lambda b: P.equal_weight_index(b, AS_OF)), f"""WITH {BARS}, grid AS (SELECT symbol, day FROM (SELECT DISTINCT symbol FROM bars) CROSS JOIN (SELECT DISTINCT day FROM bars WHERE day >= DATE '{AS_OF}')),
