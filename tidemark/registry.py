@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import desk, directory, feeds, markets, media, pages, records, reports, scalars, stories, technical, text
+from tidemark.plans import desk, directory, feeds, markets, media, pages, records, reports, scalars, stories, streams, technical, text
 from tidemark.plans.views import half_up
 
-PLANS = (technical, text, records, feeds, scalars, stories, media, pages, markets, directory, desk, reports)
+PLANS = (technical, text, records, feeds, scalars, stories, media, pages, markets, directory, desk, reports, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
