@@ -40,7 +40,7 @@ def caption_cues(raw: Column) -> Column:
     """The cues of a WebVTT or SRT file, as written: a timing line, and the lines up to a blank one or the next timing line."""
 
     def cue(block: Column) -> Column:
-        lines = F.transform(F.split(block, "\n"), F.trim)
+        lines = F.transform(F.split(block, "\n"), lambda x: F.trim(x))
         body = F.slice(lines, 2, F.size(lines))
         blank = F.array_position(body, "")
         body = F.when(blank > 0, F.slice(body, 1, blank.cast("int") - 1)).otherwise(body)
