@@ -117,6 +117,14 @@ def quotes_by_request(s, d):
     return O.quoted(ask, q, t, p).withColumn("bps", F.floor(F.col("bps") * 100 + 0.5) / 100)
 
 
+def annotated(s, d):
+    """Tickers of every second key with a part's name and whether it has a report: joined by key, as the letters of keys beyond five digits are those of others."""
+    p = table(s, d, "part")
+    saved, named = p.select((F.col("p_partkey") * 2).alias("k")), p.filter("p_size > 10").select(F.col("p_partkey").alias("k"), "p_name")
+    reports = p.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.lit(True).alias("r")).distinct()
+    return saved.join(named, "k", "left").join(reports, "k", "left").select(F.expr(LETTERS.format(k="k")).alias("ticker"), "p_name", F.coalesce("r", F.lit(False)).alias("has_report"))
+
+
 QUERIES = {
     "str18_normal_queries": (lambda s, d: asked(s, d).select(O.normal_query(F.col("query")).alias("query")).groupBy("query").agg(F.count("*").alias("n")), f"SELECT {s_normal(S_ASKED)} AS query, count(*) AS n FROM part GROUP BY 1"),
     "topk02_resolved_symbols": (lambda s, d: O.resolved(asked(s, d), symbols(s, d)), RESOLVED),
@@ -135,5 +143,5 @@ SELECT event_id, send_date, skipped, CASE WHEN skipped IS NULL THEN 'daily:' ||
 u AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'weekly' ELSE 'daily' END AS f, count(*) AS n FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1) SELECT k AS period_key, t AS first_tick, n AS users FROM p JOIN u USING (f)"""),
     "join04_05_recipients": (lambda s, d: S.recipients(users(s, d), lists(s, d), sent(s, d), "daily:2024-01-05", "daily").select("user_id", F.array_join("tickers", ",").alias("tickers")), "SELECT c_custkey AS user_id, array_to_string(list_sort(list_distinct(list('T' || (o_orderkey % 13)))), ',') AS tickers FROM customer JOIN orders ON o_custkey = c_custkey WHERE coalesce(CASE WHEN c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'weekly' ELSE 'daily' END END, 'daily') = 'daily' AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 4 <> 0 GROUP BY c_custkey"),
     "date08_sessions_between": (lambda s, d: S.trading_days_between(table(s, d, "events").select("event_id", F.to_date("ts").alias("a"), F.date_add(F.to_date("ts"), (F.col("event_id") % 40).cast("int") - 3).alias("b")), days(s), "a", "b"), f"WITH {OPEN} SELECT event_id, CAST(ts AS DATE) AS a, CAST(ts AS DATE) + CAST(event_id % 40 - 3 AS INTEGER) AS b, CAST((SELECT count(*) FROM open_ WHERE day BETWEEN CAST(ts AS DATE) AND CAST(ts AS DATE) + CAST(event_id % 40 - 3 AS INTEGER)) AS INTEGER) AS sessions FROM events"),
-    "join26_annotated_tickers": (lambda s, d: table(s, d, "part").select(F.expr(LETTERS.format(k="p_partkey * 2")).alias("ticker")).join(table(s, d, "part").filter("p_size > 10").select(F.expr(LETTERS.format(k="p_partkey")).alias("ticker"), "p_name"), "ticker", "left").join(table(s, d, "part").filter("p_partkey % 3 = 0").select(F.expr(LETTERS.format(k="p_partkey")).alias("ticker"), F.lit(True).alias("r")), "ticker", "left").select("ticker", "p_name", F.coalesce("r", F.lit(False)).alias("has_report")), f"WITH a AS (SELECT p_partkey * 2 AS k FROM part) SELECT {S_LETTERS.format(k='k')} AS ticker, p_name, k % 3 = 0 AND k IN (SELECT p_partkey FROM part) AS has_report FROM a LEFT JOIN part ON p_partkey = k AND p_size > 10"),
+    "join26_annotated_tickers": (annotated, f"WITH a AS (SELECT p_partkey * 2 AS k FROM part) SELECT {S_LETTERS.format(k='k')} AS ticker, p_name, k % 3 = 0 AND k IN (SELECT p_partkey FROM part) AS has_report FROM a LEFT JOIN part ON p_partkey = k AND p_size > 10"),
 }
