@@ -28,6 +28,14 @@ def on_trading_days(s, d):
     return event_days(s, d).join(F.broadcast(D.trading_days(s, START, END)), "day")  # a calendar of four years
 
 
+def opens(s, d):
+    """(event_id, day, trading, opens): the instant of 4:00 in New York on the day of every event, and on every trading day that has none."""
+    calendar, events = D.trading_days(s, START, END).select("day", F.lit(True).alias("trading")), event_days(s, d)  # a calendar of four years
+    idle = calendar.join(events.select("day").distinct(), "day", "left_anti").select(F.lit(None).cast("long").alias("event_id"), "day", "trading")
+    rows = events.join(F.broadcast(calendar), "day", "left").select("event_id", "day", F.coalesce("trading", F.lit(False)).alias("trading")).unionByName(idle)
+    return rows.withColumn("opens", D.eastern_to_utc(F.col("day"), 4).cast("timestamp_ntz"))
+
+
 def holidays_of_events(s, d):
     """(day, name, events): holidays of the years that events name, and how many do."""
     held = years(s, d).groupBy("year").agg(F.count("*").alias("events"))
@@ -129,7 +137,7 @@ QUERIES = {
     "dml10_monthly_grant": (lambda s, d: ledger(s, d).filter("reason = 'spend'").select("user_id", F.date_format("created", "yyyy-MM").alias("period")).distinct().join(ledger(s, d).filter("reason = 'grant'").select("user_id", F.date_format("created", "yyyy-MM").alias("period")), ["user_id", "period"], "left_anti").withColumn("delta", F.lit(100)), f"WITH {LEDGER} SELECT *, 100 AS delta FROM (SELECT user_id, strftime(created, '%Y-%m') AS period FROM ledger WHERE reason = 'spend' EXCEPT SELECT user_id, strftime(created, '%Y-%m') FROM ledger WHERE reason = 'grant')"),
     "dml11_add_within_cap": (lambda s, d: L.add_within(watch(s, d).filter("at % 2 = 0"), watch(s, d).filter("at % 2 = 1"), "user_id", "ticker", 6, F.col("at")).select("user_id", "ticker"), f"WITH {WATCH}, t AS (SELECT * FROM watch WHERE at_ % 2 = 0), a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_) AS r FROM watch w WHERE at_ % 2 = 1 AND (user_id, ticker) NOT IN (SELECT (user_id, ticker) FROM t)) SELECT user_id, ticker FROM a LEFT JOIN (SELECT user_id, count(*) AS h FROM t GROUP BY 1) USING (user_id) WHERE r <= 6 - coalesce(h, 0)"),
     "date02_eastern_day": (lambda s, d: table(s, d, "events").select("event_id", D.eastern_date(F.col("ts")).alias("day")), "SELECT event_id, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS day FROM events"),
-    "date03_wall_to_utc": (lambda s, d: event_days(s, d).select("event_id", D.eastern_to_utc(F.col("day"), 4).cast("timestamp_ntz").alias("opens")), f"WITH {EVENT_DAYS} SELECT event_id, timezone('UTC', timezone('America/New_York', CAST(day AS TIMESTAMP) + INTERVAL 4 HOUR)) AS opens FROM event_days"),
+    "date03_wall_to_utc": (opens, f"WITH {OPEN}, {EVENT_DAYS}, d AS (SELECT event_id, CAST(coalesce(e.day, o.day) AS DATE) AS day, o.day IS NOT NULL AS trading FROM event_days e FULL OUTER JOIN open_ o ON o.day = e.day) SELECT event_id, day, trading, timezone('UTC', timezone('America/New_York', CAST(day AS TIMESTAMP) + INTERVAL 4 HOUR)) AS opens FROM d"),
     "date04_holidays": (holidays_of_events, f"WITH {HOLIDAYS}, {YEARS} SELECT CAST(day AS DATE) AS day, name, count(*) AS events FROM holidays JOIN years ON year(day) = year GROUP BY ALL"),
     "date05_easter": (lambda s, d: years(s, d).select("event_id", "year", D.easter(F.col("year")).alias("easter")), f"WITH {EASTER}, {YEARS} SELECT event_id, years.year, easter FROM years JOIN easter_ ON easter_.year = years.year"),
     "date06_09_trading_days": (on_trading_days, f"WITH {OPEN}, {EVENT_DAYS}, c AS (SELECT day, lag(day) OVER (ORDER BY day) AS previous, row_number() OVER (PARTITION BY date_trunc('week', day) ORDER BY day) = 1 AS first_of_week FROM open_) SELECT event_id, c.* FROM event_days JOIN c USING (day)"),
