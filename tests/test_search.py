@@ -70,3 +70,14 @@ def test_long_beginnings_resolve(spark):
     asked = spark.createDataFrame([(name[:n],) for n in (10, 24, 25, 40, 60)] + [("zv",), ("",), (None,)], "query string")
     got = {r["query"]: (r["symbol"], r["rank"]) for r in resolved(asked, symbols).collect()}
     assert all(got[name[:n].strip()] == ("ZVL", 80) for n in (25, 40, 60)) and got["zv"] == ("ZV", 100)
+
+
+def test_each_key_once_a_query(spark, tmp_path):
+    """With `once`, pairs of a query and a row are made distinct before any of them is shuffled: no exchange deals rows out by both."""
+    rows = [(f"k{i % 3}", " ".join(random.Random(i).choices(WORDS, k=6))) for i in range(200)]
+    index = search.write_index(spark.createDataFrame(rows, "k string, text string"), ["k"], ["text"], str(tmp_path / "index"))
+    asked = [(1, "the zeb"), (2, "guid q3"), (2, "the zeb"), (3, "nothing the")]
+    got = index.search(spark.createDataFrame(asked, "query_id long, query string"), once=True)
+    assert sorted(map(tuple, got.collect())) == sorted({(q, k) for q, s in asked for k, t in rows if finds(s, t)})
+    dealt = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in line and "row#" in line]
+    assert not [line for line in dealt if "words#" in line or "_set#" in line]

@@ -7,9 +7,10 @@ a prefix is a range of it; `postings`, (term, row), in the same order; and
 search reads no text.
 
 Every word of a query must begin a term of a row. A search looks up the words
-in the dictionary as prefixes of the lengths that were asked for, takes of
-each query the word that the fewest rows hold, reads its postings, and tests
-the query's other words on the terms of those rows alone.
+in the dictionary as prefixes of the lengths that were asked for, reads their
+postings and groups them by row: the asked words that a row holds. A query
+meets the rows that hold the one of its words that the fewest do, and its
+other words are looked up among those that the row holds.
 """
 
 from __future__ import annotations
@@ -65,11 +66,13 @@ class Index:
     def keys(self) -> list[str]:
         return [c for c in self.rows.columns if c not in ("row", "terms")]
 
-    def search(self, queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
-        """(query_id, the keys): a row for each indexed row in which every word of the query begins a term.
+    def search(self, queries: DataFrame, query_id: str = "query_id", text: str = "query", once: bool = False) -> DataFrame:
+        """(query_id, the keys): a row for each indexed row in which every word of the query begins a term; with `once`, each keys once a query.
 
         A query without words, a null one too, finds nothing. Queries of the
         same words are looked up once; repeated queries and rows count each.
+        Pairs of a query and a row are neither shuffled nor written before
+        they are found, and with `once` not before they are made distinct.
         """
         asked = queries.select(F.col(query_id).alias("_query"), asked_words(F.col(text)).alias("words")).filter(F.size("words") > 0)
         words = settle(asked.select("words").distinct())
@@ -79,17 +82,23 @@ class Index:
         prefixes = self.terms.select("term", "n", F.explode(F.transform(begun, lambda n: F.left("term", n))).alias("word"))
         spelled = settle(prefixes.join(words.select("word").distinct(), "word"))  # (word, term, n)
 
-        held = words.join(spelled.groupBy("word").agg(F.sum("n").alias("n")), "word")
-        lead = held.groupBy("words").agg(F.count("*").alias("k"), F.min_by("word", F.struct("n", "word")).alias("word")).filter(F.col("k") == F.size("words"))
-        wanted = settle(lead.join(spelled, "word").select("words", "term"))
+        numbers = settle(spelled.groupBy("word").agg(F.sum("n").alias("n")).withColumn("w", F.monotonically_increasing_id()))
+        known = words.join(numbers, "word").groupBy("words").agg(F.count("*").alias("k"), F.min_by("w", F.struct("n", "w")).alias("lead"), F.collect_set("w").alias("all")).filter(F.col("k") == F.size("words"))
+        known = settle(known.withColumn("_set", F.monotonically_increasing_id()))
+        sets = settle_table(known.select("_set", "lead", F.array_remove("all", F.col("lead")).alias("others")))
+        named_by = settle_table(asked.join(known.select("words", "_set"), "words").select("_query", "_set"))
+        wanted = settle_table(spelled.join(numbers.select("word", "w"), "word").join(known.select(F.explode("all").alias("w")).distinct(), "w").select("w", "term"))
+
         postings = self.postings
         named = [r[0] for r in wanted.select("term").distinct().limit(NAMED + 1).collect()]
         if len(named) <= NAMED:
             postings = postings.filter(F.col("term").isin(named))
-        near = postings.join(wanted, "term").select("words", "row").distinct()
-        others = F.forall("words", lambda w: F.exists("terms", lambda t: F.startswith(t, w)))
-        found = near.join(self.rows, "row").filter(others).select("words", *self.keys)
-        return asked.join(found, "words").select(F.col("_query").alias(query_id), *self.keys)
+        held = postings.join(wanted, "term").groupBy("row").agg(F.collect_set("w").alias("held"))
+        rows = held.join(self.rows.select("row", *[F.col(c).alias(f"_key_{c}") for c in self.keys]), "row").withColumn("lead", F.explode("held"))
+        found = rows.join(sets, "lead").filter(F.forall("others", lambda w: F.array_contains("held", w))).select("_set", *[F.col(f"_key_{c}").alias(c) for c in self.keys])
+        found = found.distinct() if once else found
+        out = named_by.join(found, "_set").select(F.col("_query").alias(query_id), *self.keys)
+        return out.distinct() if once else out
 
 
 def write_index(rows: DataFrame, keys: list[str], texts: list[str], folder: str) -> Index:
@@ -100,11 +109,11 @@ def write_index(rows: DataFrame, keys: list[str], texts: list[str], folder: str)
     """
     spark = rows.sparkSession
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), *keys, terms_of(F.concat_ws(" ", *texts)).alias("terms"))
-    numbered.write.parquet(f"{folder}/rows")
+    numbered.write.option("compression", "zstd").parquet(f"{folder}/rows")
     each = spark.read.parquet(f"{folder}/rows").select(F.explode("terms").alias("term"), "row")
-    each.repartitionByRange("term", "row").sortWithinPartitions("term", "row").write.parquet(f"{folder}/postings")
+    each.repartitionByRange("term", "row").sortWithinPartitions("term", "row").write.option("compression", "zstd").parquet(f"{folder}/postings")
     counts = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count("*").alias("n"))
-    counts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+    counts.repartitionByRange("term").sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"{folder}/terms")
     return Index(spark, folder)
 
 
