@@ -67,8 +67,16 @@ def ticked(ticks: DataFrame, days: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def trading_days_between(rows: DataFrame, days: DataFrame, start: str, end: str) -> DataFrame:
-    """rows with sessions: how many trading days lie in start..end, counted on the calendar, which is one row of all its days."""
+    """rows with sessions: how many trading days lie in start..end, both dates; 0 if one is null.
+
+    The calendar is one row: how many trading days have passed by each date
+    from its first to its last, so a row looks up two places, whatever the
+    calendar's length.
+    """
     every = days.agg(F.sort_array(F.collect_list("day")).alias("_days"))  # a calendar: some 250 rows a year
-    upto = lambda d, strict: F.size(F.filter("_days", lambda x: (x < d) if strict else (x <= d)))
+    until_next = lambda d, i: F.coalesce(F.datediff(F.get("_days", i + 1), d), F.lit(1))
+    passed = F.flatten(F.transform("_days", lambda d, i: F.array_repeat(i + 1, until_next(d, i))))
+    every = every.select(F.get("_days", F.lit(0)).alias("_first"), F.size("_days").alias("_n"), passed.alias("_passed"))
+    upto = lambda d: F.when(d < F.col("_first"), 0).otherwise(F.coalesce(F.get("_passed", F.datediff(d, F.col("_first"))), F.when(d.isNotNull(), F.col("_n"))))
     out = rows.join(F.broadcast(every))
-    return out.withColumn("sessions", F.greatest(upto(F.col(end), False) - upto(F.col(start), True), F.lit(0))).drop("_days")
+    return out.withColumn("sessions", F.greatest(upto(F.col(end)) - upto(F.date_sub(F.col(start), 1)), F.lit(0))).drop("_first", "_n", "_passed")
