@@ -9,9 +9,8 @@ from tidemark.functions.math import percent_change, round_half_up
 from tidemark.operators import performance as P
 from tidemark.operators import technical as T
 from tidemark.operators.halos import own, recent
-from tidemark.operators.known import with_known
+from tidemark.operators.known import with_around
 from tidemark.plans.views import BARS, bars, table
-from tidemark.session import settle_table
 
 CRITERIA = {"price_min": 900, "price_max": 2000, "avg_volume_min": 20, "rsi_min": 30, "rsi_max": 70, "above_sma_20": True, "above_sma_200": True, "golden_cross": True, "relative_volume_min": 0.5, "momentum_20_min": -20, "trend": "bullish"}
 
@@ -147,9 +146,8 @@ def priced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line with its supplier's last close on or before the order's day, the first on or after it, and the change between them."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     asked = lines.select("l_orderkey", "l_linenumber", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.to_date("o_orderdate").alias("ordered"))
-    rows = settle_table(bars(spark, sf_dir))
-    known = with_known(asked, rows, "ordered", {"day": "known_day", "close": "known_close"})
-    found = with_known(known, rows, "ordered", {"day": "next_day", "close": "next_close"}, forward=True)
+    closes = bars(spark, sf_dir).select("symbol", "day", "close")
+    found = with_around(asked, closes, "ordered", {"day": "known_day", "close": "known_close"}, {"day": "next_day", "close": "next_close"}, daily=True)
     return rounded(found.withColumn("change", percent_change(F.col("next_close"), F.col("known_close"))))
 
 
