@@ -22,6 +22,10 @@ DECLARED, INSIDE, ANYWHERE, PARAGRAPH, BODY = 400, 400, 250, 60, 200
 
 def decode_entities(text: Column) -> Column:
     """Text with entities decoded, decimal numbers included; a number of no printable character becomes a blank."""
+    return T.let(text, lambda t: F.when(t.contains("&"), _decoded(t)).otherwise(t))
+
+
+def _decoded(text: Column) -> Column:
     for pattern, sign in ENTITIES:
         text = F.regexp_replace(text, pattern, sign)
 
@@ -76,9 +80,20 @@ def declared(nodes: Column, path: str) -> Column:
     return F.get(F.filter(F.transform(nodes, lambda n: F.trim(F.get_json_object(n, path))), lambda v: F.coalesce(v, F.lit("")) != ""), 0)
 
 
-def body_of_linked_data(html: Column) -> Column:
-    """The first articleBody of over BODY characters in a page's valid blocks, decoded; '' without one."""
-    blocks = F.filter(F.regexp_extract_all(html, F.lit(LINKED), F.lit(1)), lambda b: F.try_parse_json(b).isNotNull())
+def without(text: Column, low: Column, part: str, begin: str = r"\b") -> Column:
+    """Text without an element's parts, each a blank then; `low`, the text or what it came from in lower case, tells whether it has any.
+
+    A blank in a part's place joins no signs, so an end tag that `low` lacks doesn't come up later.
+    """
+    return T.let(text, lambda t: F.when(low.contains(f"</{part}>"), F.regexp_replace(t, rf"(?is)<{part}{begin}.*?</{part}>", " ")).otherwise(t))
+
+
+def body_of_linked_data(html: Column, low: Column | None = None) -> Column:
+    """The first articleBody of over BODY characters in a page's valid blocks, decoded; '' without one. `low`: the page in lower case."""
+    found = F.regexp_extract_all(html, F.lit(LINKED), F.lit(1))
+    if low is not None:
+        found = F.when(low.contains("ld+json"), found).otherwise(F.array().cast("array<string>"))
+    blocks = F.filter(found, lambda b: F.try_parse_json(b).isNotNull())
     follow = F.flatten(F.transform(blocks, lambda b: F.slice(F.split(b, r'"articleBody"\s*:\s*"'), 2, 1_000_000)))
 
     def value(rest: Column) -> Column:
@@ -96,27 +111,37 @@ def body_of_linked_data(html: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Decoded text with single blanks and at most one empty line."""
-    return F.trim(F.regexp_replace(F.regexp_replace(decode_entities(text), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    blanks = F.regexp_replace(decode_entities(text), r" [ \t]+|\t[ \t]*", " ")  # lone blanks, which are most, stay as they are
+    return F.trim(T.let(blanks, lambda t: F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)))
 
 
 def body_paragraphs(html: Column) -> Column:
     """Paragraphs of over PARAGRAPH characters outside scripts, styles and page furniture, parted by empty lines."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
+    return T.let(F.struct(html.alias("html"), F.lower(html).alias("low")), lambda x: _paragraphs(x["html"], x["low"]))
+
+
+def _paragraphs(html: Column, low: Column) -> Column:
+    bare = without(without(html, low, "script", ""), low, "style", "")
     for part in ("nav", "header", "footer", "aside", "form"):
-        bare = F.regexp_replace(bare, rf"(?is)<{part}\b.*?</{part}>", " ")
+        bare = without(bare, low, part)
     found = F.regexp_extract_all(bare, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))
-    return F.array_join(F.filter(F.transform(found, lambda p: tidy(F.regexp_replace(p, r"<[^>]+>", " "))), lambda p: F.char_length(p) > PARAGRAPH), "\n\n")
+    plain = lambda p: F.when(p.contains("<"), F.regexp_replace(p, r"<[^>]+>", " ")).otherwise(p)
+    return F.array_join(F.filter(F.transform(found, lambda p: tidy(plain(p))), lambda p: F.char_length(p) > PARAGRAPH), "\n\n")
 
 
 def article_text(html: Column) -> Column:
     """The body that a page declares if it is long, else that of its article element if long, else all its paragraphs, else whichever there is."""
-    inside = F.regexp_extract(html, r"(?is)(<article\b.*?</article>)", 1)
+
+    def parts(x: Column) -> Column:
+        page, low = x["html"], x["low"]
+        inside = F.when(low.contains("</article>") | low.isNull(), F.regexp_extract(page, r"(?is)(<article\b.*?</article>)", 1)).otherwise("")
+        return F.struct(body_of_linked_data(page, low).alias("ld"), body_paragraphs(inside).alias("own"), _paragraphs(page, low).alias("page"))
 
     def choose(parts: Column) -> Column:
         ld, own, page = parts["ld"], parts["own"], parts["page"]
         return F.when(F.char_length(ld) > DECLARED, ld).when(F.char_length(own) > INSIDE, own).when(F.char_length(page) > ANYWHERE, page).when(ld != "", ld).otherwise(own)
 
-    return T.let(F.struct(body_of_linked_data(html).alias("ld"), body_paragraphs(inside).alias("own"), body_paragraphs(html).alias("page")), choose)
+    return T.let(F.struct(html.alias("html"), F.lower(html).alias("low")), lambda x: T.let(parts(x), choose))
 
 
 def page_meta(html: Column) -> Column:
