@@ -81,3 +81,25 @@ def test_each_key_once_a_query(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted({(q, k) for q, s in asked for k, t in rows if finds(s, t)})
     dealt = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in line and "row#" in line]
     assert not [line for line in dealt if "words#" in line or "_set#" in line]
+
+
+def planned(spark, run):
+    """The plan of run()'s result, as it is before any size is measured."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return run()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_no_table_of_queries_is_broadcast(spark, tmp_path, monkeypatch):
+    """Queries, sets of words and terms grow with the input; but for small ones they are neither broadcast nor held by the driver."""
+    df = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=6))) for i in range(200)], "k long, text string")
+    index = search.write_index(df, ["k"], ["text"], str(tmp_path / "index"))
+    asked = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=2))) for i in range(50)], "query_id long, query string")
+    want = sorted(index.search(asked).collect())
+    monkeypatch.setattr(search, "NEAR", 2)
+    for once in (False, True):
+        plan = planned(spark, lambda once=once: index.search(asked, once=once))
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert sorted(index.search(asked).collect()) == want and len(want) > 100
