@@ -103,3 +103,20 @@ def test_no_table_of_queries_is_broadcast(spark, tmp_path, monkeypatch):
         plan = planned(spark, lambda once=once: index.search(asked, once=once))
         assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert sorted(index.search(asked).collect()) == want and len(want) > 100
+
+
+def test_pairs_are_tried_by_bits(spark, tmp_path, monkeypatch):
+    """Blocks, packs of queries, groups of words and handed batches of any size give the same rows, and no row of a plan is a pair that may fit."""
+    rows = [(f"k{i % 7}" if i % 11 else None, " ".join(random.Random(i).choices(WORDS, k=i % 9))) for i in range(300)]
+    asked = [(i % 90, " ".join(w[: 1 + i % 4] for w in random.Random(-i).choices(WORDS, k=1 + i % 4))) for i in range(200)] + [(7, "the zeb")] * 40
+    df, queries = spark.createDataFrame(rows, "k string, text string").repartition(2), spark.createDataFrame(asked, "query_id long, query string")
+    want = [(q, k) for q, s in asked for k, t in rows if finds(s, t)]
+    for i, sizes in enumerate([{}, {"BLOCK": 4, "PACK": 16, "PACKS": 2}, {"BLOCK": 6, "LAID": 16, "HANDED": 5}]):
+        for name, value in sizes.items():
+            monkeypatch.setattr(search, name, value)
+        index = search.write_index(df, ["k"], ["text"], str(tmp_path / f"index{i}"))
+        got = index.search(queries)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+        assert sorted(map(str, map(tuple, index.search(queries, once=True).collect()))) == sorted(map(str, set(want)))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "array_contains" not in plan
